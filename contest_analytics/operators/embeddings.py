@@ -401,14 +401,19 @@ def fingerprint_hash(fp) -> Column:
 
 
 def shingles(text, size: int = 5) -> Column:
-    """Distinct word n-grams of the whole text (the text itself when shorter)."""
+    """Distinct word n-grams of the whole text (all its words when shorter).
+
+    Built by zipping the words with their own shifts: a lambda that slices the
+    words at every position would split the text anew each time.
+    """
     w = F.filter(F.split(F.lower(as_col(text)), r"\s+"), lambda x: x != "")
     n = F.size(w)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))),
-        lambda i: F.array_join(F.slice(w, i, size), " "),
-    )
-    return F.array_distinct(grams)
+    grams = w
+    for k in range(1, size):
+        shifted = F.slice(w, F.lit(k + 1), F.greatest(n - k, F.lit(0)))
+        grams = F.zip_with(grams, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
+    full = F.filter(grams, lambda g: g.isNotNull())
+    return F.when(n >= size, F.array_distinct(full)).otherwise(F.array(F.array_join(w, " ")))
 
 
 def known_content_penalty(

@@ -45,9 +45,12 @@ def family_members(mapping: DataFrame, family="family", member="tag") -> DataFra
 
 
 def keyword_pattern(keywords: Sequence[str]) -> str:
-    """Whole-word, case-insensitive alternation with the longest keywords first."""
+    """Whole-word, case-insensitive alternation with the longest keywords first.
+
+    U: letters of every script count as word characters.
+    """
     longest = sorted(keywords, key=lambda k: (-len(k), k))
-    return r"(?i)\b(?:" + "|".join(re.escape(k) for k in longest) + r")\b"
+    return r"(?iU)\b(?:" + "|".join(re.escape(k) for k in longest) + r")\b"
 
 
 def derive_targets(

@@ -1,7 +1,10 @@
 """Imports every module that registers queries."""
 
 from contest_analytics.plans import (  # noqa: F401
+    embedding_queries,
     leaderboard_queries,
+    lookup_queries,
+    preference_queries,
     submission_queries,
 )
 from contest_analytics.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -114,10 +114,12 @@ def attach_metadata(
 
 
 def path_to_key(path) -> Column:
-    """Last two path parts without the extension."""
-    return F.regexp_replace(
-        F.regexp_extract(as_col(path), r"((?:[^/]+/)?[^/]+)$", 1), r"(?<=[^/])\.[^./]*$", ""
-    )
+    """Last two path parts, joined by '/', without the last extension."""
+    p = as_col(path)
+    parent = F.regexp_extract(p, r"([^/]+)/+[^/]+/*$", 1)
+    name = F.regexp_extract(p, r"([^/]+)/*$", 1)
+    stem = F.regexp_replace(name, r"(?<=.)\.[^.]+$", "")
+    return F.concat_ws("/", F.nullif(parent, F.lit("")), stem)
 
 
 def referenced_assets(annotations: DataFrame, a: str = "audio_a", b: str = "audio_b") -> DataFrame:
