@@ -308,6 +308,18 @@ def group_agreement(df: DataFrame, key: str, layer: str, vec: str = "vec") -> Da
     return mean_pairwise_cosine(unit, [key], "_m").select(key, "agreement")
 
 
+def diagonal_sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of ``a @ b.T`` along its diagonals j - i = -len(a)+1 .. len(b)-1.
+
+    Writing each row of the product one place further right turns diagonals into
+    columns.
+    """
+    rows, cols = len(a), len(b)
+    wide = np.zeros((rows, rows + cols))
+    wide[:, :cols] = a[::-1] @ b.T
+    return wide.ravel()[: rows * (rows + cols - 1)].reshape(rows, -1).sum(0)
+
+
 def lagged_products(
     df: DataFrame, keys: Sequence[str], values: str, is_vector: bool, block: int = 512
 ) -> DataFrame:
@@ -328,21 +340,19 @@ def lagged_products(
                 b = np.array([r[values] for r in rrows], dtype=float)
                 if not is_vector:
                     a, b = a[:, None], b[:, None]
-                prod = a @ b.T
                 base = int(rrows[0]["idx"]) - int(lrows[0]["idx"])
                 offs = np.arange(-len(a) + 1, len(b))
-                lags = offs + base
+                sums, lags = diagonal_sums(a, b), offs + base
                 keep = lags > 0
                 frames.append(
                     pd.DataFrame(
                         {
                             **{k: pdf[k].iloc[i] for k in keys},
                             "lag": lags[keep],
-                            "s": [prod.trace(o) for o in offs[keep]],
-                            "n": [
-                                min(len(a), len(b) - o) if o >= 0 else min(len(a) + o, len(b))
-                                for o in offs[keep]
-                            ],
+                            "s": sums[keep],
+                            "n": np.minimum(
+                                np.minimum(len(a), len(b) - offs), np.minimum(len(a) + offs, len(b))
+                            )[keep],
                         }
                     )
                 )

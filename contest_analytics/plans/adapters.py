@@ -37,6 +37,10 @@ def _views(engine: str) -> dict[str, tuple[str, list[str]]]:
         if spark
         else "array_to_string(string_split(text, ' ')[1:50], ' ')"
     )
+    first12 = f"slice({doubles}, 1, 12)" if spark else f"({doubles})[1:12]"
+    mapped = (
+        "transform({1}, x -> {0})" if spark else "list_transform({1}, lambda x: {0})"
+    )
     signals = [
         f"((l_partkey * {p}) % 1000) / 1e3 as {s}" for s, p in zip(C.SIGNALS, PRIMES)
     ]
@@ -154,6 +158,18 @@ def _views(engine: str) -> dict[str, tuple[str, list[str]]]:
             "embeddings",
             ["label as series_id", "vec_id", f"{doubles} as vec"],
         ),
+        "v_spectra": (
+            "embeddings",
+            ["label as series_id", "vec_id", f"{mapped.format('abs(x)', doubles)} as vec"],
+        ),
+        "v_chroma": (
+            "embeddings",
+            [
+                "label as series_id",
+                "vec_id",
+                f"{mapped.format('x * x', first12)} as vec",
+            ],
+        ),
     }
 
 

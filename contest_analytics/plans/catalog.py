@@ -5,6 +5,8 @@ from contest_analytics.plans import (  # noqa: F401
     leaderboard_queries,
     lookup_queries,
     preference_queries,
+    series_queries,
+    spectrum_queries,
     submission_queries,
 )
 from contest_analytics.plans.registry import ORACLES, QUERIES  # noqa: F401

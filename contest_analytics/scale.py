@@ -15,8 +15,9 @@ rows per key); the tests set it to a handful of rows and expect equal results.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -134,10 +135,16 @@ def ordered(
     """
     if hot is None:
         hot = is_hot(df, keys)
-    indexed = with_index(df, keys, order, hot=hot)
+    return tiles(with_index(df, keys, order, hot=hot), keys, before, after, hot)
+
+
+def tiles(
+    indexed: DataFrame, keys: Sequence[str], before: int, after: int, hot: bool
+) -> DataFrame:
+    """Cuts rows that already carry ``idx``; see :func:`ordered`."""
     if not hot:
         return indexed.withColumn(TILE, F.lit(0).cast("long")).withColumn(OWN, F.lit(True))
-    size = max(_conf_int(df.sparkSession, "tileRows", TILE_ROWS), before, after, 1)
+    size = max(_conf_int(indexed.sparkSession, "tileRows", TILE_ROWS), before, after, 1)
     tile = F.floor((F.col("idx") - 1) / size)
     pos = F.pmod(F.col("idx") - 1, F.lit(size))
     copies = [F.struct(tile.alias(TILE), F.lit(True).alias(OWN))]
@@ -156,6 +163,40 @@ def ordered(
     return spread.select(*indexed.columns, f"_copy.{TILE}", f"_copy.{OWN}")
 
 
+def resolve_in_tiles(
+    indexed: DataFrame,
+    keys: Sequence[str],
+    halo: int,
+    decide: Callable[[pd.DataFrame, bool, bool], pd.DataFrame],
+    schema: str,
+    hot: bool,
+) -> DataFrame:
+    """Ordered scans whose state comes from nearby rows, exactly, for long keys.
+
+    ``decide(rows, from_start, to_end)`` gets one tile with ``halo`` rows around it
+    and tells in a column ``unresolved`` which rows need to see further. The halo
+    grows until none is left. A key that is not hot is one tile and always resolves.
+    ``indexed`` carries ``idx`` and ``_size``, the number of rows of its key.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx").reset_index(drop=True)
+        from_start = int(pdf["idx"].iloc[0]) == 1
+        to_end = int(pdf["idx"].iloc[-1]) == int(pdf["_size"].iloc[0])
+        return decide(pdf, from_start, to_end)
+
+    while True:
+        cut = tiles(indexed, keys, halo, halo, hot)
+        out = cut.groupBy(*keys, TILE).applyInPandas(run, schema)
+        if not hot:
+            return out.drop("unresolved")
+        shared_dir(indexed.sparkSession)
+        out = out.checkpoint()
+        if out.filter("unresolved").isEmpty():
+            return out.drop("unresolved")
+        halo *= 4
+
+
 def around(keys: Sequence[str]) -> W:
     """Window over one tile of :func:`ordered` output."""
     return W.partitionBy(*keys, TILE).orderBy("idx")
@@ -222,3 +263,25 @@ def block_cells(
         F.col("rows").alias("right_rows"),
     )
     return left.join(right, [*keys, "_cell"]).filter("left_block <= right_block").drop("_cell")
+
+
+def running_sum(
+    df: DataFrame, keys: Sequence[str], value: Column, name: str, idx: str = "idx"
+) -> DataFrame:
+    """Adds the running total of ``value`` in ``idx`` order, for keys of any size.
+
+    A prefix sum inside each tile plus the total of the tiles before it; the second
+    window sees one row per tile.
+    """
+    size = _conf_int(df.sparkSession, "tileRows", TILE_ROWS)
+    cut = df.withColumn("_t", F.floor((F.col(idx) - 1) / size)).withColumn("_v", value)
+    inside = W.partitionBy(*keys, "_t").orderBy(idx).rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(*keys).orderBy("_t").rowsBetween(W.unboundedPreceding, -1)
+    totals = cut.groupBy(*keys, "_t").agg(F.sum("_v").alias("_s"))
+    starts = totals.select(*keys, "_t", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_b"))
+    local = cut.withColumn("_in", F.sum("_v").over(inside))
+    return (
+        lookup(local, starts, [*keys, "_t"])
+        .withColumn(name, F.col("_in") + F.col("_b"))
+        .drop("_t", "_v", "_in", "_b")
+    )
