@@ -7,6 +7,7 @@ from contest_analytics.plans import (  # noqa: F401
     preference_queries,
     series_queries,
     spectrum_queries,
+    streaming_queries,
     submission_queries,
 )
 from contest_analytics.plans.registry import ORACLES, QUERIES  # noqa: F401
