@@ -11,7 +11,9 @@ def as_col(x) -> Column:
 
 
 def clip(x, lo=0.0, hi=1.0) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), as_col(x)))
+    x = as_col(x)
+    # greatest and least skip nulls; a missing value must stay missing.
+    return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
 
 
 def sanitize_score(x) -> Column:
@@ -43,12 +45,6 @@ def logistic(x, center=0.0, slope=1.0) -> Column:
     return 1.0 / (1.0 + F.exp(-(as_col(x) - center) * slope))
 
 
-def ratio(num, den, otherwise=None) -> Column:
-    """``num / den``, or ``otherwise`` where ``den`` is zero or null."""
-    num, den = as_col(num), as_col(den)
-    return F.when(den != 0, num / den).otherwise(F.lit(otherwise))
-
-
 def rounded(x, places: int = 6) -> Column:
     """Rounded for reporting; adding zero turns -0.0 into 0.0."""
     return F.round(as_col(x), places) + F.lit(0.0)

@@ -76,7 +76,7 @@ def boost_and_renormalize(
         factor = F.when(F.col(flag) & (F.col("signal") == signal), by).otherwise(factor)
     boosted = weights.withColumn("weight", F.col("weight") * factor)
     total = boosted.groupBy(key).agg(F.sum("weight").alias("_total"))
-    return boosted.join(total, key).withColumn("weight", F.col("weight") / F.col("_total")).drop(
+    return boosted.join(total, key).withColumn("weight", F.try_divide("weight", "_total")).drop(
         "_total"
     )
 

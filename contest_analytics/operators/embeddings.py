@@ -48,7 +48,7 @@ def normalize_vectors(df: DataFrame, vec: str = "vec") -> DataFrame:
 
 
 def cosine_score(a, b) -> Column:
-    unit = dot(a, b) / (norm(a) * norm(b))
+    unit = F.try_divide(dot(a, b), norm(a) * norm(b))
     return remap(unit, C.COSINE_FLOOR, C.COSINE_CEILING)
 
 
@@ -61,7 +61,7 @@ def history_diversity(
     past = F.collect_list("_u").over(around([key]).rowsBetween(-n, -1))
     tiled = owned(tiled.withColumn("_past", past))
     gaps = F.transform("_past", lambda p: clip(1.0 - dot(F.col("_u"), p)))
-    mean = F.aggregate(gaps, F.lit(0.0), lambda s, v: s + v) / F.size("_past")
+    mean = F.try_divide(F.aggregate(gaps, F.lit(0.0), lambda s, v: s + v), F.size("_past"))
     return tiled.withColumn(
         "own_diversity", F.when(F.size("_past") == 0, 0.5).otherwise(mean)
     ).drop("_u", "_past", "idx")
@@ -297,7 +297,7 @@ def mean_pairwise_cosine(df: DataFrame, keys: Sequence[str], unit: str) -> DataF
         F.count(F.lit(1)).alias("n"),
     )
     n = F.col("n")
-    value = (dot("_s", "_s") - F.col("_q")) / (n * (n - 1))
+    value = F.try_divide(dot("_s", "_s") - F.col("_q"), n * (n - 1))
     return s.select(*keys, F.when(n >= 2, value).alias("agreement"), "n")
 
 
@@ -323,7 +323,7 @@ def diagonal_sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def lagged_products(
     df: DataFrame, keys: Sequence[str], values: str, is_vector: bool, block: int = 512
 ) -> DataFrame:
-    """``(keys, lag, s, n)``: sum over i of x(i)·x(i+lag), for every lag.
+    """``(keys, lag, _sum, _pairs)``: sum over i of x(i)·x(i+lag), for every lag.
 
     ``df`` has a dense ``idx``. Pairs of blocks are multiplied as matrices and only
     the sums along their diagonals leave the task.
@@ -349,8 +349,8 @@ def lagged_products(
                         {
                             **{k: pdf[k].iloc[i] for k in keys},
                             "lag": lags[keep],
-                            "s": sums[keep],
-                            "n": np.minimum(
+                            "_sum": sums[keep],
+                            "_pairs": np.minimum(
                                 np.minimum(len(a), len(b) - offs), np.minimum(len(a) + offs, len(b))
                             )[keep],
                         }
@@ -360,9 +360,9 @@ def lagged_products(
                 yield pd.concat(frames)
 
     parts = cells.select(*keys, "left_rows", "right_rows").mapInPandas(
-        run, f"{kinds}, lag long, s double, n long"
+        run, f"{kinds}, lag long, _sum double, _pairs long"
     )
-    return parts.groupBy(*keys, "lag").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return parts.groupBy(*keys, "lag").agg(F.sum("_sum").alias("_sum"), F.sum("_pairs").alias("_pairs"))
 
 
 def sequence_periodicity(
@@ -375,7 +375,7 @@ def sequence_periodicity(
     sums = lagged_products(placed, [key], "_u", True)
     ok = (F.col("lag") < F.floor(F.col("_t") / 2)) & (F.col("_t") >= minimum)
     joined = lookup(sums, sizes, [key])
-    best = joined.filter(ok).groupBy(key).agg(F.max(F.col("s") / F.col("n")).alias("periodicity"))
+    best = joined.filter(ok).groupBy(key).agg(F.max(F.col("_sum") / F.col("_pairs")).alias("periodicity"))
     return lookup(sizes.select(key), best, [key])
 
 

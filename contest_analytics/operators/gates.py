@@ -50,7 +50,7 @@ def timeout_gate(df: DataFrame, measured="measured_s", reported="reported_ms") -
 
 def duration_penalty(actual, requested) -> Column:
     actual, requested = as_col(actual), as_col(requested)
-    off = F.abs(actual - requested) / requested
+    off = F.try_divide(F.abs(actual - requested), requested)
     return F.when(requested <= 0, 1.0).otherwise(ramp(off, C.DURATION_OK, C.DURATION_ZERO))
 
 

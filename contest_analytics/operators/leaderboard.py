@@ -275,7 +275,7 @@ def cap_weights(
     # For the r-th largest share e_r: everything above it is lifted down to e_r, and
     # its part of the remaining mass is e_r / ((r-1) e_r + sum of shares up to it).
     # Entries at or above the limit number k = the first r (from the top) that fails.
-    shares = F.transform(F.col("_top"), lambda v: v / F.col("_total"))
+    shares = F.transform(F.col("_top"), lambda v: F.try_divide(v, F.col("_total")))
     positions = F.sequence(F.lit(1), F.size("_top"))
     above = lambda r: F.aggregate(
         F.slice(F.col("_shares"), F.lit(1), r - 1), F.lit(0.0), lambda s, v: s + v
@@ -290,13 +290,17 @@ def cap_weights(
     below = 1.0 - F.aggregate(
         F.slice("_shares", F.lit(1), F.col("_k")), F.lit(0.0), lambda s, v: s + v
     )
-    cutoff = (limit * below - eps) / (1.0 - limit * F.col("_k")) * F.col("_total")
+    cutoff = F.try_divide(limit * below - eps, 1.0 - limit * F.col("_k")) * F.col("_total")
     facts = facts.withColumn(
         "_mode",
         F.when((F.col("_total") == 0) | (F.col("_n") * limit <= 1), "uniform")
-        .when(F.col("_max") / F.col("_total") <= limit, "plain")
+        .when(F.try_divide("_max", "_total") <= limit, "plain")
         .otherwise("cut"),
     ).withColumn("_cut", F.when(F.col("_mode") == "cut", cutoff))
+    # Next to nothing below the limit: every entry is cut down to the same value.
+    facts = facts.withColumn(
+        "_mode", F.when(F.col("_cut") < 0, "uniform").otherwise(F.col("_mode"))
+    )
     facts = facts.withColumn(
         "_capped_total",
         F.when(
@@ -309,7 +313,7 @@ def cap_weights(
     return joined.withColumn(
         "share",
         F.when(F.col("_mode") == "uniform", 1.0 / F.col("_n")).otherwise(
-            capped / F.col("_capped_total")
+            F.try_divide(capped, F.col("_capped_total"))
         ),
     ).drop("_mode", "_cut", "_n", "_capped_total")
 
@@ -361,7 +365,7 @@ def smooth_weights(
     totals = avg.groupBy(publication).agg(F.sum("smoothed").alias("_t"))
     return (
         lookup(avg, totals, [publication])
-        .withColumn("share", F.col("smoothed") / F.col("_t"))
+        .withColumn("share", F.try_divide("smoothed", "_t"))
         .drop("_t")
     )
 

@@ -217,6 +217,6 @@ def tempo_match(detected, requested) -> Column:
     """Best of the detected tempo, its half and its double."""
     d, r = as_col(detected), as_col(requested)
     off = F.least(F.abs(d - r), F.abs(d / 2 - r), F.abs(d * 2 - r))
-    fall = 1.0 - (off - 0.1 * r) / (0.5 * r - 0.1 * r)
+    fall = 1.0 - F.try_divide(off - 0.1 * r, 0.5 * r - 0.1 * r)
     unknown = d.isNull() | r.isNull() | (d <= 0) | (r <= 0)
     return F.when(unknown, 0.5).when(off <= 0.1 * r, 1.0).otherwise(clip(fall))

@@ -41,7 +41,7 @@ def steps(df: DataFrame, key: str, order: Sequence[str], x: str, hot: bool | Non
 
 
 def semitones(x, reference) -> Column:
-    return 12.0 * F.log2(x / reference + 1e-10)
+    return 12.0 * F.log2(F.try_divide(x, reference) + 1e-10)
 
 
 def level(df: DataFrame, key: str, x: str = "x", rate: float = 1.0) -> DataFrame:
@@ -101,7 +101,7 @@ def event_density(df: DataFrame, key: str, t: str = "t", ceiling: float = 4.0) -
     s = df.groupBy(key).agg(
         F.count(F.lit(1)).alias("events"), (F.max(t) - F.min(t)).alias("duration")
     )
-    fill = F.least(F.col("events") / (F.col("duration") * ceiling), F.lit(1.0))
+    fill = F.least(F.try_divide(F.col("events"), F.col("duration") * ceiling), F.lit(1.0))
     return s.withColumn(
         "score", F.when(F.col("duration") < 0.5, 0.0).otherwise(clip(0.3 + 0.7 * fill))
     )
@@ -120,7 +120,7 @@ def interval_regularity(
         F.stddev_pop("_g").alias("_std"),
         (F.avg(strength) / (F.max(strength) + 1e-8)).alias("strength"),
     )
-    cv = F.col("_std") / F.col("_mean")
+    cv = F.try_divide("_std", "_mean")
     regular = F.greatest(F.lit(0.0), 1.0 - cv / 0.3)
     whole = (0.5 * regular + 0.5 * F.col("strength")) * 0.85 + floor * 0.15
     return s.select(
@@ -227,7 +227,7 @@ def step_expressiveness(
         F.max(x).alias("_max"),
         F.stddev_pop(F.col(x) - F.col("_p")).alias("_std"),
     )
-    v = F.col("_std") / F.col("_mean")
+    v = F.try_divide("_std", "_mean")
     none = (F.col("_n") < 4) | (F.col("_max") < 1e-8) | (F.col("_mean") < 1e-8)
     return s.select(
         key, v.alias("step_std"), F.when(none, 0.0).otherwise(clip(bell(v, target, 50.0))).alias("score")
@@ -347,7 +347,7 @@ def contour(df: DataFrame, key: str, order: Sequence[str], x: str = "x") -> Data
     lags, facts = centred_lags(p, key, order, "_s")
     low = F.greatest(F.lit(1), F.floor(F.col("_n") / 10))
     inside = (F.col("lag") >= low) & (F.col("lag") < F.floor(F.col("_n") / 2))
-    share = F.when(F.col("_zero") > 0, F.col("s") / F.col("_zero")).otherwise(F.col("s"))
+    share = F.when(F.col("_zero") > 0, F.col("_sum") / F.col("_zero")).otherwise(F.col("_sum"))
     peaks = lags.filter(inside).groupBy(key).agg(F.max(share).alias("peak"))
     joined = lookup(lookup(facts, moves, [key]), peaks, [key])
     smooth = bell("step_std", 1.0, 2.0)
@@ -365,7 +365,7 @@ def contour(df: DataFrame, key: str, order: Sequence[str], x: str = "x") -> Data
 def half_decay(df: DataFrame, key: str, order: Sequence[str], x: str = "x") -> DataFrame:
     """First lag whose autocorrelation is under one half, relative to the length."""
     lags, facts = centred_lags(df, key, order, x)
-    under = lags.filter(F.col("s") / (F.col("_zero") + 1e-10) < 0.5)
+    under = lags.filter(F.col("_sum") / (F.col("_zero") + 1e-10) < 0.5)
     first = under.groupBy(key).agg(F.min("lag").alias("_lag"))
     r = F.coalesce("_lag", "_n") / F.col("_n")
     score = (
@@ -399,7 +399,7 @@ def entropy_motif(df: DataFrame, key: str, order: Sequence[str], x: str = "x") -
     )
     joined = lookup(lookup(totals, entropy, [key]), motif, [key])
     norm = F.col("_e") / F.when(F.col("_u") > 1, F.log2(F.col("_u").cast("double"))).otherwise(1.0)
-    dominance = F.col("_top._k") / F.col("_m")
+    dominance = F.try_divide("_top._k", "_m")
     consistent = F.when(F.col("_top._neg") == 0, 0.2).otherwise(bell(dominance, 0.35, 8.0))
     return joined.select(
         key,
@@ -422,8 +422,8 @@ def arc_fit(df: DataFrame, key: str, order: Sequence[str], x: str = "x", peak: f
     at = F.when((at < 1) | (at >= F.col("_n") - 1), F.floor(F.col("_n") / 2)).otherwise(at)
     i = F.col("idx") - 1
     tail = F.greatest(F.col("_n") - at - 1, F.lit(1))
-    ideal = F.when(i < at, 0.2 + 0.8 * i / at).otherwise(1.0 - 0.7 * (i - at) / tail)
-    level_norm = (F.col(x) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    ideal = F.when(i < at, 0.2 + F.try_divide(0.8 * i, at)).otherwise(1.0 - 0.7 * (i - at) / tail)
+    level_norm = F.try_divide(F.col(x) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     s = (
         j.filter((F.col("_n") >= 3) & (F.col("_hi") - F.col("_lo") >= 1e-8))
         .select(key, level_norm.alias("_a"), ideal.alias("_b"))
@@ -450,7 +450,7 @@ def two_channel(
         F.sum(mid * mid).alias("_m"),
         (F.sum(side * side) + 1e-10).alias("_s"),
     )
-    c = F.col("_c") / (F.col("_l") * F.col("_r"))
+    c = F.try_divide(F.col("_c"), F.col("_l") * F.col("_r"))
     width = (
         F.when((F.col("_l") < 1e-8) | (F.col("_r") < 1e-8), 0.0)
         .when(c > 0.95, 0.2)
@@ -493,7 +493,7 @@ def quartile_contrast(df: DataFrame, key: str, x: str = "x", unique: str = "idx"
 
 def cv_consistency(df: DataFrame, key: str, x: str = "x") -> DataFrame:
     s = df.groupBy(key).agg(F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s"))
-    cv = F.col("_s") / F.col("_m")
+    cv = F.try_divide("_s", "_m")
     return s.select(
         key, cv.alias("cv"), F.when(F.col("_m") < 1e-8, 0.0).otherwise(clip(1.0 - cv / 0.5)).alias("score")
     )
@@ -530,7 +530,7 @@ def active_expressiveness(df: DataFrame, key: str, order: Sequence[str], x: str
         F.stddev_pop(x).alias("_sd"),
         F.stddev_pop(F.col(x) - F.col("_p")).alias("_dd"),
     )
-    cv, dv = F.col("_sd") / F.col("_m"), F.col("_dd") / F.col("_m")
+    cv, dv = F.try_divide("_sd", "_m"), F.try_divide("_dd", "_m")
     cv_score = (
         F.when(cv < 0.05, cv / 0.05 * 0.3)
         .when(cv <= 0.60, 0.5 + 0.5 * (cv - 0.05) / 0.55)

@@ -43,7 +43,7 @@ def squares(vec) -> Column:
 
 
 def mean_of(a: Column) -> Column:
-    return total(a) / F.size(a)
+    return F.try_divide(total(a), F.size(a))
 
 
 def std_of(a: Column, mean: Column) -> Column:
@@ -94,7 +94,7 @@ def flux_consistency(df: DataFrame, key: str, order: Sequence[str], vec: str = "
     s = flux(df, key, order, vec).groupBy(key).agg(
         F.count("flux").alias("_n"), F.avg("flux").alias("_m"), F.stddev_pop("flux").alias("_s")
     )
-    cv = F.col("_s") / F.col("_m")
+    cv = F.try_divide("_s", "_m")
     score = (
         F.when(cv < 0.05, 0.1)
         .when(cv < 0.2, 0.1 + 0.7 * ((cv - 0.05) / 0.15))
@@ -144,7 +144,7 @@ def chunk_repetition(
         .filter(F.size("_rows") == chunk)
         .withColumn("_v", F.transform("_rows", lambda r: r[x]))
     )
-    v = F.when(norm("_v") < 1e-8, F.col("_v")).otherwise(scaled("_v", 1.0 / norm("_v")))
+    v = F.when(norm("_v") < 1e-8, F.col("_v")).otherwise(scaled("_v", F.try_divide(F.lit(1.0), norm("_v"))))
     vectors = pieces.select(key, (F.col("_c") + 1).alias("idx"), v.alias("_v"))
     found = similar_pairs(vectors, key, "_v", threshold, 2)
     repeated = (
@@ -153,7 +153,7 @@ def chunk_repetition(
         .groupBy(key)
         .agg(F.count(F.lit(1)).alias("_k"))
     )
-    share = F.coalesce(F.col("_k"), F.lit(0)) / F.col("chunks")
+    share = F.try_divide(F.coalesce(F.col("_k"), F.lit(0)), F.col("chunks"))
     return lookup(n, repeated, [key]).select(
         key,
         F.when(F.col("chunks") < 3, 0.0).otherwise(share).alias("ratio"),
@@ -182,7 +182,7 @@ def self_similarity_share(
     vectors = w.select(key, "idx", unit("mean").alias("_u"))
     found = similar_pairs(vectors, key, "_u", threshold, 1)
     alike = found.groupBy(key).agg(F.sum("similar").alias("_k"))
-    r = F.coalesce("_k", F.lit(0)) / (F.col("_n") * (F.col("_n") - 1) / 2)
+    r = F.try_divide(F.coalesce("_k", F.lit(0)), F.col("_n") * (F.col("_n") - 1) / 2)
     score = F.when(r > 0.90, 0.3).when(r < 0.05, r / 0.05 * 0.4).otherwise(bell(r, 0.40, 6.0))
     none = (F.col("_f") < 4) | (F.coalesce("_n", F.lit(0)) < 2)
     return lookup(lookup(frames, n, [key]), alike, [key]).select(
@@ -280,7 +280,7 @@ def classify_template(
     quiet = norm(vec) < 1e-8
     best = F.col("_best")
     return (
-        df.withColumn("_unit", F.when(~quiet, scaled(vec, 1.0 / norm(vec))))
+        df.withColumn("_unit", F.when(~quiet, scaled(vec, F.try_divide(F.lit(1.0), norm(vec)))))
         .withColumn("_best", F.array_min(options))
         .withColumn("label", F.when(F.col("_unit").isNull(), "none").otherwise(best["n"]))
         .withColumn(
@@ -339,7 +339,7 @@ def pearson(a: Column, b: Sequence[float]) -> Column:
     nb = math.sqrt(sum(v * v for v in centred))
     ma = mean_of(a)
     ca = F.transform(a, lambda v: v - ma)
-    return dot(ca, F.array(*map(F.lit, centred))) / (norm(ca) * nb)
+    return F.try_divide(dot(ca, F.array(*map(F.lit, centred))), norm(ca) * nb)
 
 
 def profile_argmax(
@@ -401,7 +401,7 @@ def progression(
     )
     p = F.lag("mean").over(around([key]))
     pn = F.lag("_n").over(around([key]))
-    cos = F.when((F.col("_n") < 1e-8) | (pn < 1e-8), 0.0).otherwise(dot(F.col("mean"), p) / (F.col("_n") * pn))
+    cos = F.when((F.col("_n") < 1e-8) | (pn < 1e-8), 0.0).otherwise(F.try_divide(dot(F.col("mean"), p), F.col("_n") * pn))
     s = owned(tiled.withColumn("_c", F.when(p.isNotNull(), cos))).groupBy(key).agg(
         F.count(F.lit(1)).alias("_w"),
         F.count_distinct("_top").alias("dominant"),
@@ -430,10 +430,10 @@ def segment_contrast(
     placed = lookup(with_index(df.select(key, *order, x, vec), [key], order), n, [key])
     count = F.least(F.lit(8), F.greatest(F.lit(4), F.floor(F.col("_n") * seconds / 2.0)))
     length = F.floor(F.col("_n") / count)
-    seg = placed.withColumn("_k", F.floor((F.col("idx") - 1) / length)).filter(F.col("_k") < count)
+    seg = placed.withColumn("_k", F.floor(F.try_divide(F.col("idx") - 1, length))).filter(F.col("_k") < count)
     means = seg.groupBy(key, "_k").agg(F.avg(x).alias("_x"), mean_vector(vec).alias("_v"))
     spread = means.groupBy(key).agg(F.avg("_x").alias("_m"), F.stddev_pop("_x").alias("_s"))
-    u = F.when(norm("_v") < 1e-8, scaled("_v", F.lit(0.0))).otherwise(scaled("_v", 1.0 / norm("_v")))
+    u = F.when(norm("_v") < 1e-8, scaled("_v", F.lit(0.0))).otherwise(scaled("_v", F.try_divide(F.lit(1.0), norm("_v"))))
     agree = mean_pairwise_cosine(means.select(key, u.alias("_u")), [key], "_u")
     r = F.col("_s") / (F.col("_m") + 1e-8)
     low = target * 0.3
@@ -479,7 +479,7 @@ def novelty(df: DataFrame, key: str, order: Sequence[str], vec: str, k: int, hot
         "idx",
         "_size",
         F.greatest(F.lit(3), F.floor(F.col("_k") / 2)).cast("int").alias("_w"),
-        F.when(inside, dot(d, d) / (2.0 * F.col("_k") * F.col("_k"))).otherwise(0.0).alias("_nv"),
+        F.when(inside, F.try_divide(dot(d, d), 2.0 * F.col("_k") * F.col("_k"))).otherwise(0.0).alias("_nv"),
     )
     # Both ends are zero over more than the smoothing width, so edges need no mirror.
     wide = max(3, k // 2)
@@ -673,10 +673,10 @@ def edge_sections(
         key, rms.alias("_r1"), F.col("_len").alias("_n1"), F.col("_start").alias("_s1"), F.col("_end").alias("_e1")
     )
     j = lookup(lookup(middle, first, [key]), final, [key])
-    intro = (F.col("_r0") / F.col("_mid") < 0.8) | (
+    intro = (F.try_divide("_r0", "_mid") < 0.8) | (
         (F.col("_n0") > long) & (F.col("_e0") > F.col("_s0") * 1.3)
     )
-    outro = (F.col("_r1") / F.col("_mid") < 0.8) | (
+    outro = (F.try_divide("_r1", "_mid") < 0.8) | (
         (F.col("_n1") > long) & (F.col("_s1") > F.col("_e1") * 1.3)
     )
     differ = (F.abs(F.col("_r0") - F.col("_mid")) / (F.col("_mid") + 1e-8) > 0.3) | (
@@ -705,7 +705,7 @@ def boundary_ratio(
     )
     hit = at.join(f, [key, "idx"]).groupBy(key).agg(F.avg("flux").alias("_b"))
     med = quantiles(f.select(key, "flux"), [key], "flux", {"_med": 0.5}, hot)
-    r = F.col("_b") / F.col("_med")
+    r = F.try_divide("_b", "_med")
     j = lookup(lookup(lookup(df.select(key).distinct(), n, [key]), med, [key]), hit, [key])
     none = (F.coalesce("_n", F.lit(0)) < 2) | F.col("_b").isNull() | (F.col("_med") < 1e-10)
     return j.select(
@@ -723,7 +723,7 @@ def band_rms(power, bands: Bands) -> Column:
 def band_balance(df: DataFrame, key: str, bands: Bands, vec: str = "vec", target: float = 1.0) -> DataFrame:
     b = mean_power(df, key, vec).select(key, band_rms("power", bands).alias("_b"))
     b = b.withColumn("_m", mean_of(F.col("_b")))
-    cv = std_of(F.col("_b"), F.col("_m")) / F.col("_m")
+    cv = F.try_divide(std_of(F.col("_b"), F.col("_m")), F.col("_m"))
     return b.select(
         key,
         cv.alias("cv"),
@@ -759,7 +759,7 @@ def band_contrast(df: DataFrame, key: str, bands: Bands, vec: str = "vec") -> Da
         mean_vector("_b").alias("_means"), F.avg("_cv").alias("_fcv")
     )
     s = s.withColumn("_m", mean_of(F.col("_means")))
-    value = 0.6 * std_of(F.col("_means"), F.col("_m")) / F.col("_m") + 0.4 * F.col("_fcv")
+    value = 0.6 * F.try_divide(std_of(F.col("_means"), F.col("_m")), F.col("_m")) + 0.4 * F.col("_fcv")
     none = (F.size("_means") < 3) | (F.col("_m") < 1e-10)
     return s.select(key, value.alias("contrast"), F.when(none, 0.0).otherwise(clip(value)).alias("score"))
 
@@ -815,7 +815,7 @@ def spectral_tilt(
 
 def active_share(df: DataFrame, key: str, vec: str = "vec", db: float = -60.0) -> DataFrame:
     s = df.groupBy(key).agg(mean_vector(vec).alias("_s")).withColumn("_p", F.array_max("_s"))
-    loud = F.filter("_s", lambda v: 20.0 * F.log10(v / F.col("_p") + 1e-10) > db)
+    loud = F.filter("_s", lambda v: 20.0 * F.log10(F.try_divide(v, F.col("_p")) + 1e-10) > db)
     share = F.size(loud) / F.size("_s")
     return s.select(
         key, share.alias("share"), F.when(F.col("_p") < 1e-10, 0.0).otherwise(clip(share / 0.6)).alias("score")
@@ -843,7 +843,7 @@ def band_ratio(
         F.sum(total(band(sq, *outer))).alias("_o"),
         F.sum(total(sq)).alias("_t"),
     )
-    p, h = F.col("_i") / F.col("_t"), F.col("_i") / F.col("_o")
+    p, h = F.try_divide("_i", "_t"), F.try_divide("_i", "_o")
     harsh = (
         F.when(h <= 0.15, 1.0)
         .when(h <= 0.25, 1.0 - (h - 0.15) / 0.10 * 0.3)
@@ -864,7 +864,7 @@ def flatness(df: DataFrame, key: str, lo: int, hi: int, vec: str = "vec") -> Dat
     s = df.groupBy(key).agg(mean_vector(band(vec, lo, hi)).alias("_m"))
     mean = mean_of(F.col("_m"))
     geo = F.exp(mean_of(F.transform("_m", lambda v: F.ln(v + 1e-10))))
-    f = geo / mean
+    f = F.try_divide(geo, mean)
     odd = F.exists("_m", lambda v: v < 0) | (mean < 1e-10)
     return s.select(
         key, f.alias("flatness"), F.when(odd, 0.5).otherwise(clip(1.0 - F.least(f / 0.3, F.lit(1.0)))).alias("score")

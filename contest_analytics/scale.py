@@ -102,19 +102,19 @@ def with_index(
     shared_dir(df.sparkSession)
     runs = (
         df.repartitionByRange(*[F.col(k) for k in keys], *order)
-        .withColumn("_run", F.spark_partition_id())
+        .withColumn("__run", F.spark_partition_id())
         .checkpoint()
     )
-    sizes = runs.groupBy(*keys, "_run").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
+    sizes = runs.groupBy(*keys, "__run").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy(*keys).orderBy("__run").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
-        *keys, "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")
+        *keys, "__run", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")
     )
-    local = W.partitionBy(*keys, "_run").orderBy(*order)
+    local = W.partitionBy(*keys, "__run").orderBy(*order)
     return (
-        lookup(runs.withColumn(name, F.row_number().over(local)), offsets, [*keys, "_run"])
-        .withColumn(name, F.col(name) + F.col("_off"))
-        .drop("_run", "_off")
+        lookup(runs.withColumn(name, F.row_number().over(local)), offsets, [*keys, "__run"])
+        .withColumn(name, F.col(name) + F.col("__off"))
+        .drop("__run", "__off")
     )
 
 
@@ -218,14 +218,14 @@ def quantiles(
             *[F.percentile(value, F.lit(q)).alias(n) for n, q in points.items()]
         )
     slim = rows.select(*keys, value)
-    ranked = with_index(slim, keys, [value], name="_pos", hot=True)
-    sizes = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = with_index(slim, keys, [value], name="__pos", hot=True)
+    sizes = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     ranked = lookup(ranked, sizes, keys)
     parts, touched = [], F.lit(False)
     for name, q in points.items():
-        at = (F.col("_n") - 1) * F.lit(float(q))
+        at = (F.col("__n") - 1) * F.lit(float(q))
         lo, hi, frac = F.floor(at), F.ceil(at), at - F.floor(at)
-        zero = F.col("_pos") - 1
+        zero = F.col("__pos") - 1
         weight = F.when(zero == lo, 1 - frac).otherwise(0.0) + F.when(
             (zero == hi) & (hi > lo), frac
         ).otherwise(0.0)
@@ -274,14 +274,14 @@ def running_sum(
     window sees one row per tile.
     """
     size = _conf_int(df.sparkSession, "tileRows", TILE_ROWS)
-    cut = df.withColumn("_t", F.floor((F.col(idx) - 1) / size)).withColumn("_v", value)
-    inside = W.partitionBy(*keys, "_t").orderBy(idx).rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy(*keys).orderBy("_t").rowsBetween(W.unboundedPreceding, -1)
-    totals = cut.groupBy(*keys, "_t").agg(F.sum("_v").alias("_s"))
-    starts = totals.select(*keys, "_t", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_b"))
-    local = cut.withColumn("_in", F.sum("_v").over(inside))
+    cut = df.withColumn("__t", F.floor((F.col(idx) - 1) / size)).withColumn("__v", value)
+    inside = W.partitionBy(*keys, "__t").orderBy(idx).rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(*keys).orderBy("__t").rowsBetween(W.unboundedPreceding, -1)
+    totals = cut.groupBy(*keys, "__t").agg(F.sum("__v").alias("__s"))
+    starts = totals.select(*keys, "__t", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__b"))
+    local = cut.withColumn("__in", F.sum("__v").over(inside))
     return (
-        lookup(local, starts, [*keys, "_t"])
-        .withColumn(name, F.col("_in") + F.col("_b"))
-        .drop("_t", "_v", "_in", "_b")
+        lookup(local, starts, [*keys, "__t"])
+        .withColumn(name, F.col("__in") + F.col("__b"))
+        .drop("__t", "__v", "__in", "__b")
     )
