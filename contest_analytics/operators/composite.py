@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contest_analytics import config as C
@@ -38,12 +39,16 @@ def preference_weight(accuracy, bootstrap) -> Column:
 
 def duration_multiplier(duration, signal: str) -> Column:
     """Weight factor of one signal for a submission's duration band."""
-    d = as_col(duration)
     short = C.SHORT_MULTIPLIERS.get(signal, 1.0)
     long = C.LONG_MULTIPLIERS.get(signal, 1.0)
-    t = clip((d - C.SHORT_SECONDS) / (C.LONG_SECONDS - C.SHORT_SECONDS))
+    if short == long:
+        return F.lit(min(2.0, max(0.5, short)))
     # Evaluates to `short` below the band and to `long` above it.
-    return clip(F.lit(short) + t * F.lit(long - short), 0.5, 2.0)
+    d = F.greatest(F.least(as_col(duration), F.lit(C.LONG_SECONDS)), F.lit(C.SHORT_SECONDS))
+    slope = (long - short) / (C.LONG_SECONDS - C.SHORT_SECONDS)
+    value = F.lit(short) + (d - C.SHORT_SECONDS) * F.lit(slope)
+    # Between two factors inside the range there is nothing to clip.
+    return value if 0.5 <= min(short, long) and max(short, long) <= 2.0 else clip(value, 0.5, 2.0)
 
 
 def duration_multipliers(df: DataFrame, duration: str = "duration") -> DataFrame:
@@ -52,33 +57,55 @@ def duration_multipliers(df: DataFrame, duration: str = "duration") -> DataFrame
     )
 
 
-def signal_weights(
+def raw_weights(
     requested="requested", duration="duration", accuracy="accuracy", bootstrap="bootstrap"
-) -> Column:
-    """Final per-row weights as a struct: preference scaling, request boost,
-    duration factors, then division by their sum."""
+) -> dict[str, Column]:
+    """Per-row weights before normalisation: preference scaling, request boost,
+    duration factors."""
     raw = {}
     for s, w in C.SIGNAL_WEIGHTS.items():
         base = preference_weight(accuracy, bootstrap) if s == "preference" else F.lit(w)
         if s in C.REQUESTED_BOOST:
             base = base * F.when(as_col(requested), C.REQUESTED_BOOST[s]).otherwise(1.0)
         raw[s] = base * duration_multiplier(duration, s)
+    return raw
+
+
+def signal_weights(**columns) -> Column:
+    """The weights of :func:`raw_weights` as a struct that sums to 1."""
+    raw = raw_weights(**columns)
     whole = add_up(list(raw.values()))
     return F.struct(*[F.when(whole > 0, v / whole).otherwise(v).alias(s) for s, v in raw.items()])
 
 
+def adjusted_composite(**columns) -> Column:
+    """Weighted mean of a row's signals under :func:`raw_weights`.
+
+    Dividing once by the sum of weights keeps the expression small enough for
+    generated code; normalising sixteen weights first does not.
+    """
+    raw = raw_weights(**columns)
+    score = add_up([F.coalesce(F.col(s), F.lit(0.0)) * w for s, w in raw.items()])
+    return F.try_divide(score, add_up(list(raw.values())))
+
+
 def boost_and_renormalize(
-    weights: DataFrame, rules: Mapping[str, float], key: str = "submission", flag: str = "requested"
+    weights: DataFrame,
+    rules: Mapping[str, float],
+    keys: Sequence[str] = ("submission",),
+    flag: str = "requested",
 ) -> DataFrame:
-    """Long weights ``(submission, signal, weight, requested)``; one small sum per submission."""
+    """Long weights ``(keys, signal, weight, requested)``.
+
+    A submission has one row per signal, so a window over it is small by design and
+    needs one shuffle where an aggregate and a join need two.
+    """
     factor = F.lit(1.0)
     for signal, by in rules.items():
         factor = F.when(F.col(flag) & (F.col("signal") == signal), by).otherwise(factor)
     boosted = weights.withColumn("weight", F.col("weight") * factor)
-    total = boosted.groupBy(key).agg(F.sum("weight").alias("_total"))
-    return boosted.join(total, key).withColumn("weight", F.try_divide("weight", "_total")).drop(
-        "_total"
-    )
+    total = F.sum("weight").over(W.partitionBy(*keys))
+    return boosted.withColumn("weight", F.try_divide(F.col("weight"), total))
 
 
 def final_reward(

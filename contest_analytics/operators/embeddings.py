@@ -23,6 +23,7 @@ from contest_analytics.scale import (
     ordered,
     owned,
     quantiles,
+    shared_dir,
     with_index,
 )
 
@@ -86,28 +87,25 @@ def population_diversity(
     def sums(batches):
         for pdf in batches:
             out = []
-            for lb, lrows, rb, rrows in zip(
-                pdf["left_block"], pdf["left_rows"], pdf["right_block"], pdf["right_rows"]
-            ):
-                a = np.array([r["_u"] for r in lrows])
-                b = np.array([r["_u"] for r in rrows])
-                ka = np.array([r[key] for r in lrows], dtype=object)
-                kb = np.array([r[key] for r in rrows], dtype=object)
+            for i in range(len(pdf)):
+                row = pdf.iloc[i]
+                a, b = np.stack(row["left__u"]), np.stack(row["right__u"])
+                ka, kb = np.asarray(row[f"left_{key}"]), np.asarray(row[f"right_{key}"])
                 gaps = np.clip(1.0 - a @ b.T, 0.0, 1.0)
                 other = ka[:, None] != kb[None, :]
                 gaps = gaps * other
-                out.append((lrows, gaps.sum(1), other.sum(1)))
-                if lb != rb:
-                    out.append((rrows, gaps.sum(0), other.sum(0)))
+                out.append((row[f"left_{unique}"], gaps.sum(1), other.sum(1)))
+                if row["left_block"] != row["right_block"]:
+                    out.append((row[f"right_{unique}"], gaps.sum(0), other.sum(0)))
             yield pd.DataFrame(
                 {
-                    "_id": [r[unique] for rows, _, _ in out for r in rows],
+                    "_id": np.concatenate([ids for ids, _, _ in out]) if out else [],
                     "_s": np.concatenate([s for _, s, _ in out]) if out else [],
                     "_c": np.concatenate([c for _, _, c in out]) if out else [],
                 }
             )
 
-    parts = cells.select("left_block", "left_rows", "right_block", "right_rows").mapInPandas(
+    parts = cells.drop("left_start", "right_start", batch).mapInPandas(
         sums, f"_id {unique_kind}, _s double, _c long"
     )
     means = parts.groupBy(F.col("_id").alias(unique)).agg(
@@ -335,12 +333,9 @@ def lagged_products(
         for pdf in batches:
             frames = []
             for i in range(len(pdf)):
-                lrows, rrows = pdf["left_rows"].iloc[i], pdf["right_rows"].iloc[i]
-                a = np.array([r[values] for r in lrows], dtype=float)
-                b = np.array([r[values] for r in rrows], dtype=float)
-                if not is_vector:
-                    a, b = a[:, None], b[:, None]
-                base = int(rrows[0]["idx"]) - int(lrows[0]["idx"])
+                a, b = pdf[f"left_{values}"].iloc[i], pdf[f"right_{values}"].iloc[i]
+                a, b = (np.stack(a), np.stack(b)) if is_vector else (a[:, None], b[:, None])
+                base = int(pdf["right_start"].iloc[i] - pdf["left_start"].iloc[i])
                 offs = np.arange(-len(a) + 1, len(b))
                 sums, lags = diagonal_sums(a, b), offs + base
                 keep = lags > 0
@@ -359,7 +354,7 @@ def lagged_products(
             if frames:
                 yield pd.concat(frames)
 
-    parts = cells.select(*keys, "left_rows", "right_rows").mapInPandas(
+    parts = cells.drop("left_block", "right_block").mapInPandas(
         run, f"{kinds}, lag long, _sum double, _pairs long"
     )
     return parts.groupBy(*keys, "lag").agg(F.sum("_sum").alias("_sum"), F.sum("_pairs").alias("_pairs"))
@@ -410,20 +405,21 @@ def fingerprint_hash(fp) -> Column:
     return F.substring(F.sha2(F.unhex(F.array_join(hexes, "")), 256), 1, 16)
 
 
-def shingles(text, size: int = 5) -> Column:
-    """Distinct word n-grams of the whole text (all its words when shorter).
+def with_shingles(df: DataFrame, text: str, out: str, size: int = 5) -> DataFrame:
+    """Adds the word n-grams of the whole text (all its words when shorter).
 
-    Built by zipping the words with their own shifts: a lambda that slices the
-    words at every position would split the text anew each time.
+    The words are a column of their own, so the text is split once; n-grams come
+    from zipping the words with their own shifts.
     """
-    w = F.filter(F.split(F.lower(as_col(text)), r"\s+"), lambda x: x != "")
-    n = F.size(w)
-    grams = w
+    w = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda x: x != "")
+    n = F.size("_w")
+    grams = F.col("_w")
     for k in range(1, size):
-        shifted = F.slice(w, F.lit(k + 1), F.greatest(n - k, F.lit(0)))
+        shifted = F.slice("_w", F.lit(k + 1), F.greatest(n - k, F.lit(0)))
         grams = F.zip_with(grams, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
-    full = F.filter(grams, lambda g: g.isNotNull())
-    return F.when(n >= size, F.array_distinct(full)).otherwise(F.array(F.array_join(w, " ")))
+    full = F.slice(grams, F.lit(1), F.greatest(n - size + 1, F.lit(0)))
+    whole = F.when(n >= size, full).otherwise(F.array(F.array_join("_w", " ")))
+    return df.withColumn("_w", w).withColumn(out, whole).drop("_w")
 
 
 def known_content_penalty(
@@ -437,34 +433,40 @@ def known_content_penalty(
 ) -> DataFrame:
     """``(key, best_match, penalty)``: 0 where a catalogue item is contained by ``threshold``.
 
-    Equal texts are looked up once. A match must share one of an item's rarest
+    Equal texts are matched once. A match must share one of an item's rarest
     shingles: with n shingles and k needed, any n-k+1 of them contain a shared one.
     Choosing the rarest keeps passages that everybody copies out of the candidate
-    join, and loses nothing.
+    join, and loses nothing. Texts are never shuffled: only the codes of shingles
+    that occur in the catalogue leave the scan.
     """
-    hashed = subs.select(key, text, F.sha2(F.col(text), 256).alias("_h"))
-    once = hashed.groupBy("_h").agg(F.first(text).alias(text))
-    grams = once.select("_h", F.explode(shingles(text, size)).alias("_t"))
-    grams = grams.select("_h", F.xxhash64("_t").alias("_g"), "_t")
-    items = catalogue.select(item, F.explode(shingles(text, size)).alias("_t")).withColumn(
+    marked = subs.select(key, F.col(text).alias("_text"), F.sha2(F.col(text), 256).alias("_h"))
+    items = with_shingles(catalogue.select(item, text), text, "_ts", size)
+    items = items.select(item, F.explode(F.array_distinct("_ts")).alias("_t")).withColumn(
         "_g", F.xxhash64("_t")
     )
-    wanted = items.select("_g", "_t").distinct()
-    hits = grams.join(wanted, ["_g", "_t"])
-    frequency = hits.groupBy("_g", "_t").agg(F.count(F.lit(1)).alias("_df"))
+    coded = with_shingles(marked.select("_h", "_text"), "_text", "_ts", size)
+    grams = coded.select("_h", F.explode(F.transform("_ts", lambda g: F.xxhash64(g))).alias("_g"))
+    shared_dir(subs.sparkSession)
+    hits = grams.join(items.select("_g").distinct(), "_g", "left_semi").distinct().checkpoint()
+    frequency = hits.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
     sizes = items.groupBy(item).agg(F.count(F.lit(1)).alias("_n"))
     ranked = (
-        items.join(frequency, ["_g", "_t"], "left")
+        items.join(frequency, "_g", "left")
         .withColumn("_df", F.coalesce("_df", F.lit(0)))
         .withColumn("_r", F.row_number().over(W.partitionBy(item).orderBy("_df", "_g", "_t")))
         .join(sizes, item)
     )
     need = F.ceil(F.col("_n") * threshold - 1e-9)
-    probes = ranked.filter(F.col("_r") <= F.col("_n") - need + 1).select(item, "_g", "_t")
-    candidates = hits.join(probes, ["_g", "_t"]).select("_h", item).distinct()
+    probes = ranked.filter(F.col("_r") <= F.col("_n") - need + 1).select(item, "_g")
+    candidates = hits.join(probes, "_g").select("_h", item).distinct()
+    # Hash codes only name candidates; the match is counted on the words themselves.
+    named = marked.join(candidates.select("_h").distinct(), "_h", "left_semi")
+    words = with_shingles(named.select("_h", "_text"), "_text", "_ts", size).select(
+        "_h", F.explode("_ts").alias("_t")
+    )
     shared = (
-        candidates.join(items.select(item, "_g", "_t"), item)
-        .join(hits, ["_h", "_g", "_t"], "left_semi")
+        candidates.join(items.select(item, "_t"), item)
+        .join(words, ["_h", "_t"], "left_semi")
         .groupBy("_h", item)
         .agg(F.count(F.lit(1)).alias("_c"))
         .join(sizes, item)
@@ -475,7 +477,7 @@ def known_content_penalty(
         .groupBy("_h")
         .agg(F.max("_m").alias("best_match"))
     )
-    return hashed.select(key, "_h").join(best, "_h", "left").select(
+    return marked.select(key, "_h").join(best, "_h", "left").select(
         key,
         "best_match",
         F.when(F.col("best_match") >= threshold, 0.0).otherwise(1.0).alias("penalty"),

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contest_analytics import config as C
 from contest_analytics.functions.curves import as_col, bell, clip, ramp
@@ -85,37 +88,43 @@ def words(text) -> Column:
     return F.filter(F.split(F.lower(as_col(text)), r"\s+"), lambda w: w != "")
 
 
-def edit_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two word arrays; the accumulator is one row of the table.
+@F.pandas_udf(T.LongType())
+def edit_distance(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Edit distance of two word arrays.
 
-    Only the previous row is kept, so memory per pair is linear in the text.
+    One table row at a time: substitutions and deletions are vector operations, and
+    insertions are a running minimum of (cost - position). Columns alone would copy
+    the row for every cell.
     """
-    first = F.sequence(F.lit(0), F.size(b))
 
-    def next_row(row: Column, word: Column) -> Column:
-        start = F.array(F.element_at(row, 1) + 1)
+    def distance(a: np.ndarray, b: np.ndarray) -> int:
+        codes: dict[str, int] = {}
+        x = [codes.setdefault(w, len(codes)) for w in a]
+        y = np.array([codes.setdefault(w, len(codes)) for w in b], dtype=np.int64)
+        place = np.arange(len(y) + 1)
+        row = place.copy()
+        for i, w in enumerate(x, 1):
+            best = np.empty_like(row)
+            best[0] = i
+            np.minimum(row[1:] + 1, row[:-1] + (y != w), out=best[1:])
+            row = np.minimum.accumulate(best - place) + place
+        return int(row[-1])
 
-        def cell(done: Column, j: Column) -> Column:
-            diagonal = F.element_at(row, j) + F.when(F.element_at(b, j) == word, 0).otherwise(1)
-            best = F.least(F.element_at(row, j + 1) + 1, F.element_at(done, -1) + 1, diagonal)
-            return F.concat(done, F.array(best))
-
-        inner = F.aggregate(F.sequence(F.lit(1), F.size(b)), start, cell)
-        return F.when(F.size(b) > 0, inner).otherwise(start)
-
-    return F.element_at(F.aggregate(a, first, next_row), -1)
+    return pd.Series([distance(a, b) for a, b in zip(left, right)])
 
 
 def word_error_rate(df: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     r, h = F.col("_ref_words"), F.col("_hyp_words")
-    rate = F.when(F.size(r) == 0, F.when(F.size(h) == 0, 0.0).otherwise(1.0)).otherwise(
-        edit_distance(r, h) / F.size(r)
+    # With no reference words the distance is the number of heard words.
+    rate = F.when(F.size(r) == 0, F.least(F.size(h), F.lit(1)).cast("double")).otherwise(
+        F.col("_distance") / F.size(r)
     )
     return (
         df.withColumn("_ref_words", words(ref))
         .withColumn("_hyp_words", words(hyp))
+        .withColumn("_distance", edit_distance(r, h))
         .withColumn("wer", rate)
-        .drop("_ref_words", "_hyp_words")
+        .drop("_ref_words", "_hyp_words", "_distance")
     )
 
 
@@ -131,7 +140,7 @@ def text_intelligibility(
     df: DataFrame, text="text", seconds="seconds", confidence="confidence", wer="wer"
 ) -> DataFrame:
     """``wer`` is null where no text was expected."""
-    n = F.size(words(text))
+    n = F.regexp_count(F.col(text), F.lit(r"\S+"))
     pace = F.when(F.col(seconds) > 0, bell(n / F.col(seconds), 2.0, 2.0)).otherwise(0.0)
     base = 0.35 * clip(n / 40.0) + 0.40 * clip(F.col(confidence) / 0.6) + 0.25 * pace
     blended = F.when(F.col(wer).isNull(), base).otherwise(

@@ -249,7 +249,27 @@ def kept_notes(df: DataFrame, key: str, order: Sequence[str], s: str, apart: flo
     rows before the tile. Once all those scans have met, the tile is certain.
     """
     hot = is_hot(df, [key])
-    placed = with_index(df.select(key, *order, s), [key], order, hot=hot)
+    kind = df.schema[key].dataType.simpleString()
+    if not hot:
+        rows = df.select(key, *order, s).repartition(F.col(key)).sortWithinPartitions(key, *order)
+
+        def scan(batches):
+            current, n, last = None, 0, 0.0
+            for pdf in batches:
+                out = []
+                for k, v in zip(pdf[key], pdf[s]):
+                    if n == 0 or k != current:
+                        current, n, last = k, 1, v
+                        out.append((k, n, v))
+                        continue
+                    n += 1
+                    if abs(v - last) >= apart:
+                        last = v
+                        out.append((k, n, v))
+                yield pd.DataFrame(out, columns=[key, "idx", "note"])
+
+        return rows.mapInPandas(scan, f"{key} {kind}, idx long, note double")
+    placed = with_index(df.select(key, *order, s), [key], order, hot=True)
     sizes = placed.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
     placed = lookup(placed, sizes, [key]).select(key, "idx", "_size", s)
 
@@ -293,9 +313,8 @@ def kept_notes(df: DataFrame, key: str, order: Sequence[str], s: str, apart: flo
         )
         return out[own & (keep | (not certain))]
 
-    kind = df.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, idx long, note double, unresolved boolean"
-    return resolve_in_tiles(placed, [key], 256, decide, schema, hot)
+    return resolve_in_tiles(placed, [key], 256, decide, schema, True)
 
 
 def interval_mix(df: DataFrame, key: str, order: Sequence[str], x: str = "x") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from contest_analytics import config as C
 from contest_analytics.functions.curves import as_col, bell, clip, ramp
 from contest_analytics.functions.vectors import distance, dot, norm, scaled, total
-from contest_analytics.operators.embeddings import mean_pairwise_cosine, mean_vector
+from contest_analytics.operators.embeddings import mean_pairwise_cosine, mean_vector, sum_vector
 from contest_analytics.operators.lookups import fifths_distance
 from contest_analytics.scale import (
     OWN,
@@ -31,6 +31,7 @@ from contest_analytics.scale import (
     quantiles,
     resolve_in_tiles,
     running_sum,
+    shared_dir,
     tiles,
     with_index,
 )
@@ -116,17 +117,17 @@ def similar_pairs(
     def run(batches):
         for pdf in batches:
             rows = []
-            for name, left, right in zip(pdf[key], pdf["left_rows"], pdf["right_rows"]):
-                ia = np.array([r["idx"] for r in left])
-                ib = np.array([r["idx"] for r in right])
-                a = np.array([r[vec] for r in left])
-                b = np.array([r[vec] for r in right])
+            for i in range(len(pdf)):
+                row = pdf.iloc[i]
+                a, b = np.stack(row[f"left_{vec}"]), np.stack(row[f"right_{vec}"])
+                ia = row["left_start"] + np.arange(len(a))
+                ib = row["right_start"] + np.arange(len(b))
                 hit = (a @ b.T > threshold) & (ib[None, :] - ia[:, None] >= min_gap)
                 members = np.union1d(ia[hit.any(1)], ib[hit.any(0)])
-                rows.append((name, int(hit.sum()), members.tolist()))
+                rows.append((row[key], int(hit.sum()), members.tolist()))
             yield pd.DataFrame(rows, columns=[key, "similar", "members"])
 
-    return cells.select(key, "left_rows", "right_rows").mapInPandas(
+    return cells.drop("left_block", "right_block").mapInPandas(
         run, f"{key} {kind}, similar long, members array<bigint>"
     )
 
@@ -332,16 +333,6 @@ def transition_quality(
     )
 
 
-def pearson(a: Column, b: Sequence[float]) -> Column:
-    """Correlation of a 12-bin array with a fixed profile."""
-    mb = sum(b) / len(b)
-    centred = [v - mb for v in b]
-    nb = math.sqrt(sum(v * v for v in centred))
-    ma = mean_of(a)
-    ca = F.transform(a, lambda v: v - ma)
-    return F.try_divide(dot(ca, F.array(*map(F.lit, centred))), norm(ca) * nb)
-
-
 def profile_argmax(
     df: DataFrame,
     key: str,
@@ -349,17 +340,23 @@ def profile_argmax(
     major: Sequence[float] = C.MAJOR_PROFILE,
     minor: Sequence[float] = C.MINOR_PROFILE,
 ) -> DataFrame:
-    """``(key, best, fit)``: the rotated profile closest to the summed histogram."""
-    from contest_analytics.operators.embeddings import sum_vector
+    """``(key, best, fit)``: the rotated profile closest to the summed histogram.
 
-    h = df.groupBy(key).agg(sum_vector(vec).alias("_h"))
+    Correlation is the dot product of centred unit vectors, so the histogram is
+    centred once and each profile is a constant.
+    """
+    h = df.groupBy(key).agg(sum_vector(vec).alias("_h")).withColumn("_m", mean_of(F.col("_h")))
+    h = h.withColumn("_c", F.transform("_h", lambda v: v - F.col("_m")))
+    h = h.withColumn("_c", F.transform("_c", lambda v: F.try_divide(v, norm("_c"))))
     options = []
     for shift, note in enumerate(C.NOTES):
         for mode, profile in (("major", major), ("minor", minor)):
-            rotated = [profile[(i - shift) % 12] for i in range(12)]
+            centred = np.array([profile[(i - shift) % 12] for i in range(12)])
+            centred = centred - centred.mean()
+            centred = (centred / np.linalg.norm(centred)).tolist()
             options.append(
                 F.struct(
-                    (-pearson(F.col("_h"), rotated)).alias("d"),
+                    (-dot("_c", F.array(*map(F.lit, centred)))).alias("d"),
                     F.lit(len(options)).alias("i"),
                     F.lit(f"{note} {mode}").alias("n"),
                 )
@@ -589,7 +586,9 @@ def section_boundaries(
     found = resolve_in_tiles(
         nov, [key], max(8 * min_gap, 64), decide, f"{key} {kind}, idx long, unresolved boolean", hot
     )
-    return found.filter("idx > 1")
+    # A small table that later steps read several times; see it computed once.
+    shared_dir(df.sparkSession)
+    return found.filter("idx > 1").checkpoint()
 
 
 def assign_sections(placed: DataFrame, key: str, boundaries: DataFrame) -> DataFrame:

@@ -342,27 +342,22 @@ W_TOTAL = "(" + " + ".join(f"w_{s}" for s in C.SIGNALS) + ")"
 )
 def _(spark, d):
     s = view(spark, d, "v_submissions").select(
-        F.concat_ws(":", *UNIQUE).alias("submission"),
         *UNIQUE,
         F.col("vocals").alias("requested"),
         F.explode(F.create_map(*[F.lit(x) for kv in C.SIGNAL_WEIGHTS.items() for x in kv])).alias(
             "signal", "weight"
         ),
     )
-    out = comp.boost_and_renormalize(s, C.REQUESTED_BOOST)
+    out = comp.boost_and_renormalize(s, C.REQUESTED_BOOST, UNIQUE)
     return out.select(*UNIQUE, "signal", rounded("weight").alias("weight"))
 
 
 def scored_submissions(spark, d):
     """Full reward of every submission: gates, weights, penalties."""
     s = view(spark, d, "v_submissions")
-    s = s.withColumn(
-        "_w", comp.signal_weights("vocals", "requested", "accuracy", "bootstrap")
-    )
-    whole = comp.add_up([F.col(c) * F.col("_w")[c] for c in C.SIGNALS])
     s = s.withColumns(
         {
-            "composite": whole,
+            "composite": comp.adjusted_composite(requested="vocals", duration="requested"),
             "duration_penalty": gates.duration_penalty("actual", "requested"),
             "gated": gates.is_silent("rms") | gates.timed_out("elapsed", F.lit(None).cast("double")),
         }

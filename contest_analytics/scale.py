@@ -237,31 +237,28 @@ def quantiles(
 def block_cells(
     df: DataFrame, keys: Sequence[str], idx: str, payload: Sequence[str], block: int = 256
 ) -> DataFrame:
-    """Unordered pairs of row blocks of the same key: ``left`` <= ``right``.
+    """Unordered pairs of row blocks of the same key, ``left_block`` <= ``right_block``.
 
-    ``idx`` is a dense 1-based position. Rows are packed into arrays of at most
-    ``block`` entries, so callers do all-against-all work in matrix form inside a
-    task and emit only per-row or per-key sums, never row pairs. A key with many
-    blocks is spread over cells of eight left blocks.
+    ``idx`` is a dense 1-based position. A block is ``left_start`` (its first
+    position) and one array per payload column, of at most ``block`` entries, so
+    callers do all-against-all work in matrix form inside a task and emit only
+    per-row or per-key sums, never row pairs. A key with many blocks is spread over
+    cells of eight left blocks.
     """
     band = 8
     packed = (
         df.withColumn("_blk", F.floor((F.col(idx) - 1) / block))
         .groupBy(*keys, "_blk")
-        .agg(F.array_sort(F.collect_list(F.struct(idx, *payload))).alias("rows"))
-    )
-    left = packed.select(
-        *keys,
-        F.floor(F.col("_blk") / band).alias("_cell"),
-        F.col("_blk").alias("left_block"),
-        F.col("rows").alias("left_rows"),
-    )
-    right = packed.select(
-        *keys,
-        F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_blk") / band))).alias("_cell"),
-        F.col("_blk").alias("right_block"),
-        F.col("rows").alias("right_rows"),
+        .agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("_i"), *payload))).alias("_rows"))
     )
+
+    def side(name: str) -> list[Column]:
+        arrays = [F.col("_rows")[c].alias(f"{name}_{c}") for c in payload]
+        return [F.col("_blk").alias(f"{name}_block"), F.col("_rows")[0]["_i"].alias(f"{name}_start"), *arrays]
+
+    left = packed.select(*keys, F.floor(F.col("_blk") / band).alias("_cell"), *side("left"))
+    cells = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_blk") / band)))
+    right = packed.select(*keys, cells.alias("_cell"), *side("right"))
     return left.join(right, [*keys, "_cell"]).filter("left_block <= right_block").drop("_cell")
 
 
