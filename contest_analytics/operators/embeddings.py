@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contest_analytics import config as C
 from contest_analytics.functions.curves import as_col, clip, remap
@@ -18,6 +20,7 @@ from contest_analytics.functions.vectors import cosine, cosine_distance, dot, no
 from contest_analytics.scale import (
     around,
     block_cells,
+    broadcast_if_small,
     is_hot,
     lookup,
     ordered,
@@ -331,28 +334,27 @@ def lagged_products(
 
     def run(batches):
         for pdf in batches:
-            frames = []
+            found = []
             for i in range(len(pdf)):
                 a, b = pdf[f"left_{values}"].iloc[i], pdf[f"right_{values}"].iloc[i]
                 a, b = (np.stack(a), np.stack(b)) if is_vector else (a[:, None], b[:, None])
                 base = int(pdf["right_start"].iloc[i] - pdf["left_start"].iloc[i])
                 offs = np.arange(-len(a) + 1, len(b))
-                sums, lags = diagonal_sums(a, b), offs + base
-                keep = lags > 0
-                frames.append(
-                    pd.DataFrame(
-                        {
-                            **{k: pdf[k].iloc[i] for k in keys},
-                            "lag": lags[keep],
-                            "_sum": sums[keep],
-                            "_pairs": np.minimum(
-                                np.minimum(len(a), len(b) - offs), np.minimum(len(a) + offs, len(b))
-                            )[keep],
-                        }
-                    )
+                pairs = np.minimum(
+                    np.minimum(len(a), len(b) - offs), np.minimum(len(a) + offs, len(b))
+                )
+                keep = offs + base > 0
+                found.append(((offs + base)[keep], diagonal_sums(a, b)[keep], pairs[keep]))
+            if found:
+                times = [len(lags) for lags, _, _ in found]
+                yield pd.DataFrame(
+                    {
+                        **{k: pdf[k].repeat(times).to_numpy() for k in keys},
+                        "lag": np.concatenate([f[0] for f in found]),
+                        "_sum": np.concatenate([f[1] for f in found]),
+                        "_pairs": np.concatenate([f[2] for f in found]),
+                    }
                 )
-            if frames:
-                yield pd.concat(frames)
 
     parts = cells.drop("left_block", "right_block").mapInPandas(
         run, f"{kinds}, lag long, _sum double, _pairs long"
@@ -408,6 +410,9 @@ def fingerprint_hash(fp) -> Column:
 def with_shingles(df: DataFrame, text: str, out: str, size: int = 5) -> DataFrame:
     """Adds the word n-grams of the whole text (all its words when shorter).
 
+    Use explode_outer on the result (it is never empty): for explode, Spark adds a
+    filter on its size that computes it once more, ahead of any join.
+
     The words are a column of their own, so the text is split once; n-grams come
     from zipping the words with their own shifts.
     """
@@ -422,6 +427,36 @@ def with_shingles(df: DataFrame, text: str, out: str, size: int = 5) -> DataFram
     return df.withColumn("_w", w).withColumn(out, whole).drop("_w")
 
 
+SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+def shingle_codes(text: Column, size: int = 5) -> Column:
+    """Distinct 64-bit codes of a lower-cased text's word n-grams.
+
+    Words of an Arrow batch are hashed once each; a code is a polynomial of the
+    hashes of neighbouring words, computed for a whole text at a time.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def codes(texts: pd.Series) -> pd.Series:
+        split = [[w for w in SPACE.split(t) if w] if t else [] for t in texts]
+        flat = np.array([w for ws in split for w in ws], dtype=object)
+        which, unique = pd.factorize(flat)
+        hashes = pd.util.hash_array(unique)[which] if len(flat) else np.array([], np.uint64)
+        out, at = [], 0
+        for ws in split:
+            h = hashes[at : at + len(ws)]
+            at += len(ws)
+            width = min(size, len(h))
+            code = np.zeros(len(h) - width + 1, np.uint64)
+            for k in range(width):
+                code = code * np.uint64(6364136223846793005) + h[k : k + len(code)]
+            out.append(np.unique(code).view(np.int64))
+        return pd.Series(out)
+
+    return codes(text)
+
+
 def known_content_penalty(
     subs: DataFrame,
     catalogue: DataFrame,
@@ -441,11 +476,10 @@ def known_content_penalty(
     """
     marked = subs.select(key, F.col(text).alias("_text"), F.sha2(F.col(text), 256).alias("_h"))
     items = with_shingles(catalogue.select(item, text), text, "_ts", size)
-    items = items.select(item, F.explode(F.array_distinct("_ts")).alias("_t")).withColumn(
-        "_g", F.xxhash64("_t")
-    )
-    coded = with_shingles(marked.select("_h", "_text"), "_text", "_ts", size)
-    grams = coded.select("_h", F.explode(F.transform("_ts", lambda g: F.xxhash64(g))).alias("_g"))
+    items = items.select(item, F.explode_outer(F.array_distinct("_ts")).alias("_t"))
+    # A shingle is a text of its own: the same code comes out for it and for its text.
+    items = items.withColumn("_g", shingle_codes(F.col("_t"), size)[0])
+    grams = marked.select("_h", F.explode(shingle_codes(F.lower("_text"), size)).alias("_g"))
     shared_dir(subs.sparkSession)
     hits = grams.join(items.select("_g").distinct(), "_g", "left_semi").distinct().checkpoint()
     frequency = hits.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
@@ -458,11 +492,12 @@ def known_content_penalty(
     )
     need = F.ceil(F.col("_n") * threshold - 1e-9)
     probes = ranked.filter(F.col("_r") <= F.col("_n") - need + 1).select(item, "_g")
-    candidates = hits.join(probes, "_g").select("_h", item).distinct()
+    candidates = hits.join(probes, "_g").select("_h", item).distinct().checkpoint()
     # Hash codes only name candidates; the match is counted on the words themselves.
-    named = marked.join(candidates.select("_h").distinct(), "_h", "left_semi")
+    wanted = broadcast_if_small(candidates.select("_h").distinct())
+    named = marked.join(wanted, "_h", "left_semi")
     words = with_shingles(named.select("_h", "_text"), "_text", "_ts", size).select(
-        "_h", F.explode("_ts").alias("_t")
+        "_h", F.explode_outer("_ts").alias("_t")
     )
     shared = (
         candidates.join(items.select(item, "_t"), item)

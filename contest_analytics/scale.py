@@ -79,6 +79,15 @@ def lookup(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "lef
     return df.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` with a broadcast hint when it has at most ``rows`` rows, else as it is.
+
+    Meant for checkpointed results, whose size Spark cannot estimate: without the
+    hint the other side would be shuffled before adaptive execution can tell.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def with_index(
     df: DataFrame,
     keys: Sequence[str],
