@@ -27,6 +27,7 @@ from contest_analytics.scale import (
     owned,
     quantiles,
     shared_dir,
+    spread,
     with_index,
 )
 
@@ -474,7 +475,9 @@ def known_content_penalty(
     join, and loses nothing. Texts are never shuffled: only the codes of shingles
     that occur in the catalogue leave the scan.
     """
-    marked = subs.select(key, F.col(text).alias("_text"), F.sha2(F.col(text), 256).alias("_h"))
+    marked = spread(subs.select(key, F.col(text).alias("_text"))).withColumn(
+        "_h", F.sha2("_text", 256)
+    )
     items = with_shingles(catalogue.select(item, text), text, "_ts", size)
     items = items.select(item, F.explode_outer(F.array_distinct("_ts")).alias("_t"))
     # A shingle is a text of its own: the same code comes out for it and for its text.

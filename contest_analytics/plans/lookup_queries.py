@@ -9,6 +9,7 @@ from contest_analytics.functions.curves import rounded
 from contest_analytics.operators import lookups as lk
 from contest_analytics.plans.adapters import oracle, table, view
 from contest_analytics.plans.registry import query
+from contest_analytics.scale import spread
 from contest_analytics.sources import tables as src
 
 # The test tables hold no music words: give each kind of part a genre to look up.
@@ -96,7 +97,7 @@ def _targets_sql() -> str:
 
 @query("derive_targets", oracle(_targets_sql()))
 def _(spark, d):
-    t = view(spark, d, "v_text").withColumn("duration", (F.col("id") % 45).cast("double"))
+    t = spread(view(spark, d, "v_text")).withColumn("duration", (F.col("id") % 45).cast("double"))
     out = lk.derive_targets(t, rules=TEXT_RULES)
     return out.select("id", *[rounded(f).alias(f) for f in C.TARGET_DEFAULTS])
 

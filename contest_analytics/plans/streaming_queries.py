@@ -133,11 +133,11 @@ def _(spark, d):
 
 @query(
     "register_scorer",
-    oracle("""select request, line, part, contributor, round(clap * 6e-1 + melody * 4e-1, 6) as tune,
+    oracle("""select request, line, part, contributor, requested, round(clap * 6e-1 + melody * 4e-1, 6) as tune,
       round(vocal * 5e-1 + 5e-1 * 5e-1, 6) as voice from v_submissions"""),
 )
 def _(spark, d):
-    keys = ["request", "line", "part", "contributor"]
+    keys = ["request", "line", "part", "contributor", "requested"]
 
     def pick(*cols):
         def fn(df):

@@ -11,10 +11,11 @@ from contest_analytics.operators import composite as comp
 from contest_analytics.operators import gates
 from contest_analytics.plans.adapters import oracle, table, view
 from contest_analytics.plans.registry import query
+from contest_analytics.scale import spread
 
 KEY = ["request", "line"]
-# Order line numbers repeat in the test tables; these four columns are unique.
-UNIQUE = ["request", "line", "part", "contributor"]
+# Order line numbers repeat in the test tables; these columns are unique together.
+UNIQUE = ["request", "line", "part", "contributor", "requested"]
 
 DURATION_SQL = """case when requested <= 0 then 1e0
   when abs(actual - requested) / requested <= 0.2::double then 1e0
@@ -174,7 +175,7 @@ def turn_pairs(spark, d):
 
 @query("word_error_rate")
 def _(spark, d):
-    return gates.word_error_rate(turn_pairs(spark, d)).select(
+    return gates.word_error_rate(spread(turn_pairs(spark, d))).select(
         "conv_id", "turn", rounded("wer").alias("wer")
     )
 
@@ -236,7 +237,7 @@ def _(spark, d):
           or contains(lower(x), 'certainly'))))"""),
 )
 def _(spark, d):
-    t = gates.clean_lines(view(spark, d, "v_text"), "text", 8)
+    t = gates.clean_lines(spread(view(spark, d, "v_text")), "text", 8)
     return t.select("id", F.array_join("lines", "|").alias("lines"))
 
 
@@ -329,10 +330,10 @@ W_TOTAL = "(" + " + ".join(f"w_{s}" for s in C.SIGNALS) + ")"
 @query(
     "boost_and_renormalize",
     oracle(
-        "select request, line, part, contributor, signal, round(weight / sum(weight) over (partition by request, line, part, contributor), 6)"
+        "select request, line, part, contributor, requested, signal, round(weight / sum(weight) over (partition by request, line, part, contributor, requested), 6)"
         " as weight from ("
         + " union all ".join(
-            f"select request, line, part, contributor, '{s}' as signal, {w}::double"
+            f"select request, line, part, contributor, requested, '{s}' as signal, {w}::double"
             + (f" * case when vocals then {C.REQUESTED_BOOST[s]}::double else 1e0 end" if s in C.REQUESTED_BOOST else "")
             + " as weight from v_submissions"
             for s, w in C.SIGNAL_WEIGHTS.items()
@@ -343,12 +344,12 @@ W_TOTAL = "(" + " + ".join(f"w_{s}" for s in C.SIGNALS) + ")"
 def _(spark, d):
     s = view(spark, d, "v_submissions").select(
         *UNIQUE,
-        F.col("vocals").alias("requested"),
+        "vocals",
         F.explode(F.create_map(*[F.lit(x) for kv in C.SIGNAL_WEIGHTS.items() for x in kv])).alias(
             "signal", "weight"
         ),
     )
-    out = comp.boost_and_renormalize(s, C.REQUESTED_BOOST, UNIQUE)
+    out = comp.boost_and_renormalize(s, C.REQUESTED_BOOST, UNIQUE, flag="vocals")
     return out.select(*UNIQUE, "signal", rounded("weight").alias("weight"))
 
 
@@ -429,7 +430,7 @@ def _(spark, d):
 
 @query(
     "breakdown_wide",
-    oracle("select request, line, part, contributor, clap, melody, speed from v_submissions"),
+    oracle("select request, line, part, contributor, requested, clap, melody, speed from v_submissions"),
 )
 def _(spark, d):
     three = {s: C.SIGNAL_WEIGHTS[s] for s in ("clap", "melody", "speed")}
@@ -477,11 +478,11 @@ _METRICS = [
 
 @query(
     "aggregate_submetrics",
-    oracle(f"""select request, line, part, contributor, 'quality' as family, round({_clip(
+    oracle(f"""select request, line, part, contributor, requested, 'quality' as family, round({_clip(
         "clap * 25e-2 + attribute * 2e-1 + melody * 15e-2")}, 6) as score from v_submissions
-      union all select request, line, part, contributor, 'harmonic', round({_clip(
+      union all select request, line, part, contributor, requested, 'harmonic', round({_clip(
         "vocal * 35e-2 + quality * 3e-1 + 5e-1 * (1e0 - 65e-2)")}, 6) from v_submissions
-      union all select request, line, part, contributor, 'stereo', round({_clip("production * 3e-1")}, 6) from v_submissions"""),
+      union all select request, line, part, contributor, requested, 'stereo', round({_clip("production * 3e-1")}, 6) from v_submissions"""),
 )
 def _(spark, d):
     s = view(spark, d, "v_submissions")

@@ -79,6 +79,17 @@ def lookup(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "lef
     return df.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Gives a small input enough partitions for work that is heavy per row.
+
+    A file of one row group is one task however many cores there are. An input of
+    many splits is left alone: it is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = df.rdd.getNumPartitions() < min(2 * cores, 64)
+    return df.repartition(cores) if few and cores > 1 else df
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """``df`` with a broadcast hint when it has at most ``rows`` rows, else as it is.
 
