@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -159,7 +160,7 @@ def vector_moments(df: DataFrame, vec: str = "vec") -> DataFrame:
             s = x.sum(0) if s is None else s + x.sum(0)
             g = x.T @ x if g is None else g + x.T @ x
         if n:
-            salt = int(np.random.default_rng(n).integers(0, 64))
+            salt = TaskContext.get().partitionId() % 64
             rows = [s, *g]
             yield pd.DataFrame(
                 {"i": range(-1, len(s)), "salt": salt, "n": n, "v": [list(r) for r in rows]}

@@ -349,12 +349,13 @@ def interval_mix(df: DataFrame, key: str, order: Sequence[str], x: str = "x") ->
 def centred_lags(df: DataFrame, key: str, order: Sequence[str], x: str) -> tuple[DataFrame, DataFrame]:
     """``(lags, facts)``: autocovariance sums per lag, and count and sum of squares."""
     placed = with_index(df.select(key, *order, x), [key], order)
-    facts = placed.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.avg(x).alias("_mean"))
+    facts = placed.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.avg(x).alias("_mean"),
+        (F.var_pop(x) * F.count(x)).alias("_zero"),
+    )
     c = lookup(placed, facts, [key]).select(key, "idx", (F.col(x) - F.col("_mean")).alias("_c"))
-    zero = c.groupBy(key).agg(F.sum(F.col("_c") * F.col("_c")).alias("_zero"))
-    lags = lagged_products(c, [key], "_c", False)
-    facts = lookup(facts, zero, [key])
-    return lookup(lags, facts, [key]), facts
+    return lookup(lagged_products(c, [key], "_c", False), facts, [key]), facts
 
 
 def contour(df: DataFrame, key: str, order: Sequence[str], x: str = "x") -> DataFrame:

@@ -56,16 +56,11 @@ def is_hot(df: DataFrame, keys: Sequence[str]) -> bool:
     return (largest or 0) > limit
 
 
-def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def lookup(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join per-key facts back; a null key matches a null key.
+    """Join per-key facts back. Keys are not null: a row without a key has no facts.
 
+    Plain equality keeps the partitioning of an earlier window or aggregate on the
+    same keys; a null-safe comparison would shuffle both sides again.
     ``small`` has one row per key. No broadcast hint: Spark broadcasts it while
     it is under the session's size threshold, and adaptive execution splits a
     skewed key of the large side otherwise.
@@ -75,7 +70,7 @@ def lookup(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "lef
         renamed = renamed.withColumnRenamed(k, f"_r_{k}")
     cond = F.lit(True)
     for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        cond = cond & (F.col(k) == F.col(f"_r_{k}"))
     return df.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
@@ -229,18 +224,21 @@ def owned(df: DataFrame) -> DataFrame:
 def quantiles(
     df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float], hot: bool | None = None
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles per key, for keys of any size."""
-    rows = df.filter(F.col(value).isNotNull())
+    """Exact linear-interpolated quantiles per key, for keys of any size.
+
+    Values are ranked by a sort that can spill and only the one or two rows around
+    each quantile are aggregated. The percentile function would hold every distinct
+    value of a group in memory.
+    """
+    slim = df.filter(F.col(value).isNotNull()).select(*keys, value)
     if hot is None:
-        hot = is_hot(rows, keys)
-    if not hot:
-        return rows.groupBy(*keys).agg(
-            *[F.percentile(value, F.lit(q)).alias(n) for n, q in points.items()]
-        )
-    slim = rows.select(*keys, value)
-    ranked = with_index(slim, keys, [value], name="__pos", hot=True)
-    sizes = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = lookup(ranked, sizes, keys)
+        hot = is_hot(slim, keys)
+    ranked = with_index(slim, keys, [value], name="__pos", hot=hot)
+    size = F.count(F.lit(1)).alias("__n")
+    if hot:
+        ranked = lookup(ranked, slim.groupBy(*keys).agg(size), keys)
+    else:
+        ranked = ranked.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
     parts, touched = [], F.lit(False)
     for name, q in points.items():
         at = (F.col("__n") - 1) * F.lit(float(q))
