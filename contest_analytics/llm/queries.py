@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contest_analytics.llm import simhash
+from contest_analytics.llm import merkle, secret_scan, simhash
 from contest_analytics.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,5 +16,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_simhash": op1_simhash}
+def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edit_check(read(spark, sf_dir, "documents"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_simhash": op1_simhash,
+    "op3_merkle": op3_merkle,
+    "op5_secrets": op5_secrets,
+}
 ORACLES: dict[str, str] = {}
