@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from contest_analytics.llm import merkle, secret_scan, simhash
+from contest_analytics.llm import bpe, merkle, packing, secret_scan, simhash
 from contest_analytics.llm.common import read
 
+#: The tokenizer file of the packing and encoding queries; it is never copied.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -24,9 +28,19 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read(spark, sf_dir, "documents"), TOKENIZER)
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op3_merkle": op3_merkle,
     "op5_secrets": op5_secrets,
+    "op6_packing": op6_packing,
+    "op8_bpe": op8_bpe,
 }
 ORACLES: dict[str, str] = {}
