@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from contest_analytics.llm import bpe, merkle, packing, secret_scan, simhash
+from contest_analytics.llm import bpe, langid, merkle, packing, quality, secret_scan, simhash
 from contest_analytics.llm.common import read
 
 #: The tokenizer file of the packing and encoding queries; it is never copied.
@@ -36,11 +36,21 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op3_merkle": op3_merkle,
     "op5_secrets": op5_secrets,
     "op6_packing": op6_packing,
     "op8_bpe": op8_bpe,
+    "op9_quality": op9_quality,
+    "op10_langid": op10_langid,
 }
 ORACLES: dict[str, str] = {}
