@@ -34,11 +34,11 @@ def fit(
         id_col, F.col(lang_col).cast("string").alias("_label")
     )
     chosen = subword.sample(known, "_label", per_language, languages, id_col)
-    rows = subword.featurized(docs, chosen, "_label", True, per_language * languages, id_col, text_col)
+    rows = subword.featurized(docs, chosen, "_label", per_language * languages, id_col, text_col, True, False)
     rows = [r for r in rows if len(r[1])]
     classes = sorted({label for label, _, _ in rows})
     even = np.full(len(classes), 1 / max(len(classes), 1))
-    return subword.train(rows, classes, even, lower=True)
+    return subword.train(rows, classes, even, lower=True, repeats=False)
 
 
 def predict(model: subword.Model, text: Column) -> Column:

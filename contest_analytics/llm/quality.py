@@ -30,8 +30,8 @@ def fit(
     sizes = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = np.array([sizes.get(c, 0) + 1.0 for c in (0, 1)])
     chosen = subword.sample(known, "_label", per_class, 2, id_col)
-    rows = subword.featurized(docs, chosen, "_label", False, 2 * per_class, id_col, text_col)
-    return subword.train(rows, ["0", "1"], prior / prior.sum(), lower=False)
+    rows = subword.featurized(docs, chosen, "_label", 2 * per_class, id_col, text_col, False, True)
+    return subword.train(rows, ["0", "1"], prior / prior.sum(), lower=False, repeats=True)
 
 
 def score(model: subword.Model, text: Column) -> Column:

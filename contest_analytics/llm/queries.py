@@ -7,7 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from contest_analytics.llm import bpe, langid, merkle, packing, quality, secret_scan, simhash
+from contest_analytics.llm import (
+    bpe,
+    langid,
+    merkle,
+    packing,
+    quality,
+    secret_scan,
+    sharding,
+    simhash,
+    toxicity,
+)
 from contest_analytics.llm.common import read
 
 #: The tokenizer file of the packing and encoding queries; it is never copied.
@@ -24,6 +34,15 @@ def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_check(read(spark, sf_dir, "documents"))
 
 
+#: Shards of the sharding query.
+SHARDS = [f"shard-{n:03d}" for n in range(128)]
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document goes: ``doc_id``, ``slot``, ``shard``."""
+    return sharding.place(read(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARDS)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read(spark, sf_dir, "documents"))
 
@@ -32,6 +51,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -47,8 +70,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op3_merkle": op3_merkle,
+    "op4_sharding": op4_sharding,
     "op5_secrets": op5_secrets,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_langid": op10_langid,
