@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from contest_analytics.llm import (
+    ann,
     bpe,
     langid,
     merkle,
@@ -30,6 +32,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_check(read(spark, sf_dir, "documents"))
 
@@ -69,6 +75,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
+    "op2_ann": op2_ann,
     "op3_merkle": op3_merkle,
     "op4_sharding": op4_sharding,
     "op5_secrets": op5_secrets,
