@@ -175,7 +175,8 @@ def pack(
     places = _places(best_two_fit(histogram))
     earlier = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    ranked = cut.join(offsets, ["part", "length"]).withColumn("rank", F.col("nth") + F.col("base"))
+    # The offsets are few rows beside the pieces: hashed, so that neither side is sorted.
+    ranked = cut.join(offsets.hint("shuffle_hash"), ["part", "length"]).withColumn("rank", F.col("nth") + F.col("base"))
     result = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
