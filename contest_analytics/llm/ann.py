@@ -6,19 +6,21 @@ first and then into perturbed ones (one or more cells moved), in the order of th
 estimated probability that a neighbour at the distance ``radius`` lies there: a product, over
 the projections, of the Gaussian mass of the cell around the query's own projection. It goes
 on until the buckets visited hold ``SUCCESS`` of that mass. Candidates of all tables are
-merged and ranked by their exact distance.
+merged and ranked by their exact distance. One table finds a neighbour with probability
+``SUCCESS`` at least, ``TABLES`` of them with 1 - (1 - SUCCESS) ** TABLES.
 
 ``w`` and ``radius`` are fitted on a bounded sample; every row is indexed. The number of
 projections follows the logarithm of the number of rows, so a bucket's size does not grow
 with the data. Queries with fewer than ``k`` candidates found are compared with all rows,
-in blocks. Inside a bucket queries meet vectors as matrices, and each query keeps its ``k``
-best there; a bucket of many vectors is cut into slices, each a task of its own.
+in blocks. Many buckets make a group of bounded size, where a query meets the vectors of all
+its buckets there at once and keeps its ``k`` best; a bucket of many vectors is cut into
+slices that go to groups of their own.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from math import ceil, erf, log
 
@@ -29,15 +31,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contest_analytics.llm.common import saved
+from contest_analytics.llm.common import saved, text_rows
 
-TABLES = 6
+TABLES = 4
 #: Mass of a neighbour's likely places that a query visits in each table.
 SUCCESS = 0.6
 #: Rows that ``w`` and ``radius`` are fitted on.
 SAMPLE = 2000
-#: Rows a bucket should hold, and rows of a bucket that one task takes.
-BUCKET, SLICE = 64, 4096
+#: Rows a bucket should hold; rows of a group, and of a bucket's slice, about.
+BUCKET, SLICE = 64, 16_384
+#: Moves a bucket's next slice to another group.
+STRIDE = 7919
 #: Cells of one projection that hold most rows.
 CELLS = 2.5
 
@@ -125,51 +129,101 @@ def _key(table: int, cell: tuple[int, ...]) -> int:
     return name - (1 << 64) if name >= 1 << 63 else name
 
 
-def _bucketed(rows: DataFrame, index: Index, every: bool) -> DataFrame:
-    """``key``, ``vec_id``, ``vec``: a row for each bucket it is in, or, unless ``every``, visits."""
-    reach = index.radius / index.width
+def _buckets(rows: DataFrame, index: Index) -> DataFrame:
+    """``key``, ``vec_id``, ``vec``: each row with its bucket in every table."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = batch.column(1).to_pylist()
-            same = [i for i, v in enumerate(vectors) if len(v) == index.planes.shape[2]]
-            if not same:
-                continue
-            ids = batch.column(0).to_numpy()
-            cells = index.cells(np.array([vectors[i] for i in same]))
-            keys, owners = [], []
-            for t, table in enumerate(cells):
-                for n, place in zip(same, table, strict=True):
-                    at = [tuple(np.floor(place).astype(np.int64).tolist())] if every else probes(place, reach)
-                    keys += [_key(t, c) for c in at]
-                    owners += [n] * len(at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(ids[owners]), batch.column(1).take(pa.array(owners))],
-                ["key", "vec_id", "vec"],
-            )
+        for batch, own, cells in _placed(batches, index):
+            home = np.floor(cells).astype(np.int64)
+            keys = [_key(t, c) for t, table in enumerate(home.tolist()) for c in table]
+            again = own.take(pa.array(np.tile(np.arange(len(own)), len(home))))
+            columns = [pa.array(keys, pa.int64()), batch.column(0).take(again), batch.column(1).take(again)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "vec_id", "vec"])
 
     return rows.select("vec_id", "vec").mapInArrow(run, "key long, vec_id long, vec array<double>")
 
 
-def _best(k: int):
-    """For cogroups of queries and vectors: each query's ``k`` best pairs."""
+def _visits(rows: DataFrame, index: Index, groups: int) -> DataFrame:
+    """``group``, ``vec_id``, ``vec``, ``keys``: the buckets that each query visits, by group."""
+    reach = index.radius / index.width
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, own, cells in _placed(batches, index):
+            of, where, keys = [], [], []
+            for n in range(len(own)):
+                visited = [_key(t, c) for t in range(len(cells)) for c in probes(cells[t, n], reach)]
+                by_group: dict[int, list[int]] = {}
+                for key in visited:
+                    by_group.setdefault(key % groups, []).append(key)
+                of += [n] * len(by_group)
+                where += by_group.keys()
+                keys += by_group.values()
+            again = own.take(pa.array(of, pa.int64()))
+            columns = [pa.array(where, pa.int64()), batch.column(0).take(again), batch.column(1).take(again)]
+            lists = pa.array(keys, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*columns, lists], ["group", "vec_id", "vec", "keys"])
+
+    schema = "group long, vec_id long, vec array<double>, keys array<long>"
+    return rows.select("vec_id", "vec").mapInArrow(run, schema)
+
+
+def _placed(batches: Iterable[pa.RecordBatch], index: Index) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray]]:
+    """Slices of the batches, which of their rows have the index's length, and their cells."""
+    for rows in text_rows(batches):
+        vectors = rows.column(1).to_pylist()
+        same = [i for i, v in enumerate(vectors) if len(v) == index.planes.shape[2]]
+        if same:
+            yield rows, pa.array(same, pa.int64()), index.cells(np.array([vectors[i] for i in same]))
+
+
+def _best_visited(k: int, tables: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """For cogroups of visits and bucketed vectors: each query's ``k`` best pairs."""
 
     def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(
-            {"query_id": "int64", "vec_id": "int64", "score": "float64"}
-        )
         if not len(asked) or not len(held):
-            return empty
-        data, ids = np.array(held["vec"].tolist()), held["vec_id"].to_numpy()
+            return NONE
+        held = held.sort_values("key", kind="stable")
+        at, names, data = held["key"].to_numpy(), held["vec_id"].to_numpy(), np.array(held["vec"].tolist())
         out = []
-        for query, vector in zip(asked["vec_id"], asked["vec"], strict=True):
-            other = ids != query
-            gap = data[other] - np.asarray(vector)
-            score = np.sqrt((gap * gap).sum(axis=1))
-            names = ids[other]
-            top = np.lexsort((names, score))[:k] if len(score) <= 4 * k else _lowest(score, names, k)
-            out.append(pd.DataFrame({"query_id": query, "vec_id": names[top], "score": score[top]}))
-        return pd.concat(out) if out else empty
+        for query, vector, keys in zip(asked["vec_id"], asked["vec"], asked["keys"], strict=True):
+            keys = np.unique(keys)
+            first, last = np.searchsorted(at, keys), np.searchsorted(at, keys, side="right")
+            sizes = last - first
+            if not sizes.any():
+                continue
+            # The places of all these runs of rows.
+            spots = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+            out.append(_closest(query, np.asarray(vector), names[spots], data[spots], k, tables))
+        return pd.concat(out) if out else NONE
+
+    return run
+
+
+def _closest(query: int, vector: np.ndarray, names: np.ndarray, data: np.ndarray, k: int, copies: int) -> pd.DataFrame:
+    other = names != query
+    names, gap = names[other], data[other] - vector
+    score = np.sqrt((gap * gap).sum(axis=1))
+    # A row may come ``copies`` times, once from each table, with the same id and distance.
+    most = k * copies
+    top = _lowest(score, names, most) if len(score) > most else np.lexsort((names, score))
+    best = pd.DataFrame({"query_id": query, "vec_id": names[top], "score": score[top]})
+    return best.drop_duplicates().head(k)
+
+
+NONE = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(
+    {"query_id": "int64", "vec_id": "int64", "score": "float64"}
+)
+
+
+def _best(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """For cogroups of queries and vectors, all against all: each query's ``k`` best pairs."""
+
+    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(held):
+            return NONE
+        names, data = held["vec_id"].to_numpy(), np.array(held["vec"].tolist())
+        every = zip(asked["vec_id"], asked["vec"], strict=True)
+        return pd.concat([_closest(query, np.asarray(vector), names, data, k, 1) for query, vector in every])
 
     return run
 
@@ -189,16 +243,48 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _spread_over(held: DataFrame, asked: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Slices ``held`` by key, and a copy of each query for every slice of its key."""
-    sizes = held.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
-    many = sizes.filter("slices > 1")
-    sliced = F.coalesce(F.pmod(F.xxhash64("vec_id"), F.col("slices")), F.lit(0)).cast("int").alias("slice")
-    # A semi-join by the sizes also leaves out the visits to buckets that no row is in.
-    left = held.join(many, keys, "left").select(*keys, sliced, "vec_id", "vec")
+def _found(held: DataFrame, asked: DataFrame, index: Index, rows: int, k: int) -> DataFrame:
+    """The best pairs of each query in each group of buckets."""
+    groups = max(1, ceil(rows * len(index.planes) / SLICE))
+    filed, visits = _buckets(held, index), _visits(asked, index, groups)
+    big = (
+        filed.groupBy("key")
+        .agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("long").alias("slices"))
+        .filter("slices > 1")
+    )
+    # A bucket takes more than one slice only if it holds SLICE rows: few, so this is small.
+    big = saved(big)
+    cut = F.coalesce(F.pmod(F.xxhash64("vec_id"), F.col("slices")), F.lit(0))
+    left = filed.join(big, "key", "left").select(
+        F.pmod(F.col("key") + cut * STRIDE, F.lit(groups)).alias("group"), "key", "vec_id", "vec"
+    )
+    more = (
+        visits.select("vec_id", "vec", F.explode("keys").alias("key"))
+        .join(big, "key")
+        .select("vec_id", "vec", "key", F.explode(F.sequence(F.lit(1).cast("long"), F.col("slices") - 1)).alias("s"))
+        .select(
+            F.pmod(F.col("key") + F.col("s") * STRIDE, F.lit(groups)).alias("group"),
+            "vec_id",
+            "vec",
+            F.array("key").alias("keys"),
+        )
+    )
+    right = visits.unionByName(more)
+    return right.groupBy("group").cogroup(left.groupBy("group")).applyInPandas(_best_visited(k, len(index.planes)), PAIRS).distinct()
+
+
+def _all_pairs(held: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The exact way: each query against all vectors of its length, in blocks."""
+    sized = held.withColumn("size", F.size("vec"))
+    sizes = sized.groupBy("size").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
+    left = sized.join(sizes, "size").select(
+        "size", F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int").alias("slice"), "vec_id", "vec"
+    )
     copies = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
-    right = asked.join(sizes, keys).select(*keys, copies, "vec_id", "vec")
-    return left, right
+    right = asked.withColumn("size", F.size("vec")).join(sizes, "size").select("size", copies, "vec_id", "vec")
+    # Both sides stem from one table; new names for one of them tell their columns apart.
+    pairs = right.toDF(*right.columns).groupBy("size", "slice").cogroup(left.groupBy("size", "slice"))
+    return pairs.applyInPandas(_best(k), PAIRS).distinct()
 
 
 def nearest(
@@ -228,22 +314,15 @@ def nearest(
         ).limit(0)
     index = fit(vectors, total, k, tables)
     held = saved(held)
-    left, right = _spread_over(_bucketed(held, index, True), _bucketed(asked, index, False), ["key"])
-    found = (
-        right.groupBy("key", "slice").cogroup(left.groupBy("key", "slice")).applyInPandas(_best(k), PAIRS).distinct()
-    )
+    found = _found(held, asked, index, total, k)
     near = saved(_ranked(found, k))
     # The exact way for queries that found too few: all rows of their length, in blocks.
     enough = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
     short = asked.join(enough.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
-    size = lambda df: df.withColumn("size", F.size("vec"))
-    some = saved(size(short))
+    some = saved(short)
     if some.isEmpty():
         whole = near
     else:
-        blocks, copies = _spread_over(size(held), some, ["size"])
-        rest = copies.groupBy("size", "slice").cogroup(blocks.groupBy("size", "slice")).applyInPandas(_best(k), PAIRS)
-        whole = near.join(some.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(
-            _ranked(rest.distinct(), k)
-        )
+        answered = near.join(some.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
+        whole = answered.unionByName(_ranked(_all_pairs(held, some, k), k))
     return whole.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
