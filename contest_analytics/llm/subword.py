@@ -55,9 +55,10 @@ def features(text: str | None, lower: bool, repeats: bool) -> Iterator[tuple[np.
         at += len(part)
         blank = np.ones(len(part) + 2, bool)
         blank[1:-1] = space
-        letters = np.zeros(len(blank), np.uint32)
-        np.add(part, 1, out=letters[1:-1])
-        letters[blank] = 0
+        # All white space is one letter, and none is zero, so that no n-gram hides a shorter one.
+        letters = np.ones(len(blank), np.uint32)
+        np.add(part, 2, out=letters[1:-1])
+        letters[blank] = 1
         size = len(blank)
         # Two letters: not both white space. Longer ones: white space at the ends alone.
         grown = letters[:-1] * _P + letters[1:]

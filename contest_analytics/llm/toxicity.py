@@ -39,6 +39,8 @@ FEATURES = 512
 SUPPORT, LIFT, GAIN = 3, 4.0, 12.0
 #: Voters correlate from here on; less is taken for chance.
 CORRELATED = 0.2
+#: An annotation is right in no larger share of the rows, so that other voters can outvote it.
+TRUST = 0.98
 #: Longest word whose pieces are remembered, and how many words.
 LONGEST, CACHE = 64, 400_000
 #: What surrounds a word but is no part of it.
@@ -123,6 +125,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, prior: float, rounds: int
     for _ in range(rounds):
         shares = np.stack([1 - posterior, posterior])
         rates = (shares @ everyone + 0.5) / (shares.sum(axis=1)[:, None] + 1.0)
+        rates[:, -1] = np.clip(rates[:, -1], 1 - TRUST, TRUST)
         # What is left of the votes once the class is known; voters that still move together repeat each other.
         rest = everyone - shares.T @ rates
         scale = np.sqrt((rest**2).mean(axis=0)) + 1e-9
