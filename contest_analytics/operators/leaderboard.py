@@ -7,6 +7,7 @@ each event weighs alpha * (1-alpha)^(events after it). The position comes from
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -39,9 +40,48 @@ def ema(
     return summed.select(*keys, (F.col("_sum") + left).alias("ema"), "rounds")
 
 
-# Positions per chunk of a trajectory. Inside a chunk weights are scaled from its
-# first event: (1-alpha)^-TRAJECTORY_CHUNK must stay a normal double.
+# Positions per chunk of a trajectory, at most. Inside a chunk weights are scaled from its
+# first event, so keep^-positions must stay a normal double: at most 10^100.
 TRAJECTORY_CHUNK = 256
+SCALE_LIMIT = math.log(1e100)
+# A chunk that keeps less than this of the state before it needs no longer memory than two
+# chunks. Beyond this many positions there is one chunk at most.
+FORGOTTEN, LONGEST = 1e-9, 1 << 44
+
+
+def _decayed(
+    placed: DataFrame, keys: Sequence[str], idx: str, value: Column, keep: float, name: str, span: int = 1
+) -> DataFrame:
+    """Adds ``name``: the sum over the key's rows up to this one of value * keep^(rows after).
+
+    ``idx`` is a dense 1-based position. A prefix sum inside each chunk, plus the decayed
+    state at the chunk's start. The states at chunk ends are again such a sum, with
+    keep^(chunk length) for ``keep``, so they are found in the same way, until a chunk forgets
+    what came before it. No window holds more than one chunk.
+    """
+    if keep <= 0.0:
+        return placed.withColumn(name, value)
+    rate = -math.log(keep) if keep < 1.0 else 0.0
+    n = TRAJECTORY_CHUNK if rate == 0.0 else max(2, min(TRAJECTORY_CHUNK, int(SCALE_LIMIT / rate)))
+    left = keep**n
+    chunk, pos, part, start = (f"_{name}_{c}" for c in ("chunk", "pos", "part", "start"))
+    decay = F.pow(F.lit(keep), F.col(pos))
+    cut = placed.withColumn(chunk, F.floor((F.col(idx) - 1) / n)).withColumn(pos, F.pmod(F.col(idx) - 1, F.lit(n)) + 1)
+    inside = W.partitionBy(*keys, chunk).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
+    cut = cut.withColumn(part, F.sum(value / decay).over(inside) * decay)
+    ends = cut.filter(F.col(pos) == n).select(*keys, (F.col(chunk) + 1).alias(chunk), F.col(part).alias(start))
+    if left < FORGOTTEN:
+        before = ends.select(*keys, (F.col(chunk) + 1).alias(chunk), (F.col(start) * left).alias(start))
+        starts = ends.unionByName(before).groupBy(*keys, chunk).agg(F.sum(start).alias(start))
+    elif span * n < LONGEST:
+        starts = _decayed(ends, keys, chunk, F.col(start), left, f"{name}_", span * n).select(
+            *keys, chunk, F.col(f"{name}_").alias(start)
+        )
+    else:
+        starts = ends
+    joined = lookup(cut, starts, [*keys, chunk])
+    state = F.col(part) + F.coalesce(F.col(start), F.lit(0.0)) * decay
+    return joined.withColumn(name, state).drop(chunk, pos, part, start)
 
 
 def ema_trajectory(
@@ -53,46 +93,11 @@ def ema_trajectory(
     seed: float = C.EMA_SEED,
     hot: bool | None = None,
 ) -> DataFrame:
-    """All rows plus ``ema``, the state after each of them.
-
-    Events are cut into chunks of 256 positions: a prefix sum inside each chunk,
-    and the state at each chunk's start from the chunk totals. No window holds
-    more than one chunk, or one row per chunk.
-    """
-    n = TRAJECTORY_CHUNK
+    """All rows plus ``ema``, the state after each of them, for any ``alpha`` from 0 to 1."""
     keep = 1.0 - alpha
     placed = with_index(df, keys, order, hot=hot)
-    placed = placed.withColumn("_chunk", F.floor((F.col("idx") - 1) / n)).withColumn(
-        "_pos", F.pmod(F.col("idx") - 1, F.lit(n)) + 1
-    )
-    gain = alpha * sanitize_score(x) * F.pow(F.lit(keep), -F.col("_pos"))
-    inside = W.partitionBy(*keys, "_chunk").orderBy("_pos").rowsBetween(W.unboundedPreceding, 0)
-    placed = placed.withColumn("_part", F.sum(gain).over(inside) * F.pow(F.lit(keep), F.col("_pos")))
-    # State at the end of chunk c: sum over chunks b <= c of total(b) * keep^(n*(c-b)),
-    # plus the seed. keep^n is tiny, so a running total per key is scaled chunkwise:
-    # the previous WARM chunks carry everything a double can hold.
-    warm = 1
-    while keep ** (n * warm) > 1e-300 and warm < 64:
-        warm += 1
-    totals = placed.filter(F.col("_pos") == n).select(*keys, "_chunk", F.col("_part").alias("_end"))
-    shifted = totals.select(
-        *keys,
-        F.explode(F.sequence(F.lit(1).cast("long"), F.lit(warm).cast("long"))).alias("_lag"),
-        "_chunk",
-        "_end",
-    ).select(
-        *keys,
-        (F.col("_chunk") + F.col("_lag")).alias("_chunk"),
-        (F.col("_end") * F.pow(F.lit(keep), n * (F.col("_lag") - 1))).alias("_end"),
-    )
-    starts = shifted.groupBy(*keys, "_chunk").agg(F.sum("_end").alias("_start"))
-    joined = lookup(placed, starts, [*keys, "_chunk"])
-    state = (
-        F.col("_part")
-        + F.coalesce(F.col("_start"), F.lit(0.0)) * F.pow(F.lit(keep), F.col("_pos"))
-        + seed * F.pow(F.lit(keep), F.col("idx"))
-    )
-    return joined.withColumn("ema", state).drop("_chunk", "_pos", "_part", "_start")
+    summed = _decayed(placed, keys, "idx", alpha * sanitize_score(x), keep, "ema")
+    return summed.withColumn("ema", F.col("ema") + seed * F.pow(F.lit(keep), F.col("idx")))
 
 
 def with_nonresponders(
@@ -568,16 +573,11 @@ def fastest_response(df: DataFrame, request="request", key="contributor", t="ela
 
 
 def top_n_per_request(
-    df: DataFrame, request="request", key="contributor", score="score", n_col="wanted", most=5
+    df: DataFrame, request="request", key="contributor", score="score", n_col="wanted"
 ) -> DataFrame:
-    """Rows ranked within the requested number, with delivered and wanted counts.
-
-    ``wanted`` is at most ``most`` by validation; Spark prunes to that rank before
-    the shuffle, so a request with very many responses stays small.
-    """
+    """Rows ranked within the requested number, with delivered and wanted counts."""
     w = W.partitionBy(request).orderBy(F.col(score).desc(), F.col(key))
-    cut = df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
-    kept = cut.filter(F.col("rank") <= F.col(n_col))
+    kept = df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col(n_col))
     counts = kept.groupBy(request).agg(F.count(F.lit(1)).alias("delivered"))
     return lookup(kept, counts, [request])
 

@@ -32,12 +32,14 @@ def _views(engine: str) -> dict[str, tuple[str, list[str]]]:
     day = f"cast(floor({micros} / 86400e6) as bigint)"
     month = "date_format(o_orderdate, 'yyyy-MM')" if spark else "strftime(o_orderdate, '%Y-%m')"
     doubles = "cast(embedding as array<double>)" if spark else "cast(embedding as double[])"
-    first_words = (
-        "array_join(slice(split(text, ' '), 1, 50), ' ')"
+    # All numbers of a vector folded into twelve: sums of squares by position modulo 12.
+    folded = (
+        f"transform(sequence(0, 11), i -> aggregate(transform({doubles}, (x, j) -> if(j % 12 = i, x * x, 0D)),"
+        " 0D, (s, y) -> s + y))"
         if spark
-        else "array_to_string(string_split(text, ' ')[1:50], ' ')"
+        else f"list_transform(range(0, 12), lambda i: list_sum(list_transform({doubles}, lambda x, j:"
+        " case when (j - 1) % 12 = i then x * x else 0e0 end)))"
     )
-    first12 = f"slice({doubles}, 1, 12)" if spark else f"({doubles})[1:12]"
     mapped = (
         "transform({1}, x -> {0})" if spark else "list_transform({1}, lambda x: {0})"
     )
@@ -131,7 +133,7 @@ def _views(engine: str) -> dict[str, tuple[str, list[str]]]:
         "v_text": ("documents", ["doc_id as id", "text", "lang as tag", "n_chars"]),
         "v_turns": (
             "conversations",
-            ["conv_id", "turn", "role", f"{first_words} as words", "text"],
+            ["conv_id", "turn", "role", "text as words", "text"],
         ),
         "v_votes": (
             "events",
@@ -167,7 +169,7 @@ def _views(engine: str) -> dict[str, tuple[str, list[str]]]:
             [
                 "label as series_id",
                 "vec_id",
-                f"{mapped.format('x * x', first12)} as vec",
+                f"{folded} as vec",
             ],
         ),
     }

@@ -447,7 +447,7 @@ def _(spark, d):
 @query(
     "top_n_per_request",
     oracle("""select request, contributor, part, score, rank, wanted, count(*) over (partition by request) as delivered
-      from (select request, contributor, part, clap as score, 1 + request % 5 as wanted, row_number()
+      from (select request, contributor, part, clap as score, 1 + request % 9 as wanted, row_number()
         over (partition by request order by clap desc, contributor * 1000000 + part) as rank from v_submissions)
       where rank <= wanted"""),
 )
@@ -458,7 +458,7 @@ def _(spark, d):
         "part",
         (F.col("contributor") * 1000000 + F.col("part")).alias("_k"),
         F.col("clap").alias("score"),
-        (1 + F.col("request") % 5).alias("wanted"),
+        (1 + F.col("request") % 9).alias("wanted"),
     )
     return lb.top_n_per_request(s, key="_k").drop("_k")
 

@@ -239,7 +239,7 @@ SEGMENTS = f"""select *, (i - 1) // (n // c) as k from (select *, least(8, great
     oracle(
         f"""select series_id, round(r, 6) as contrast, round(g, 6) as agreement, round({_clip(
           "5e-1 * " + _clip("case when r >= 45e-3 then 5e-1 + r * 2e0 else r / (45e-3 + 1e-8) * (5e-1 + 9e-2) end") + " + 5e-1 * exp(-6e0 * pow(g - 6e-1, 2))")}, 6) as score from (
-          select series_id, stddev_pop(x) / (avg(x) + 1e-8) as r from (select series_id, k, avg(vec[1]) as x from h_s group by 1, 2) group by series_id)
+          select series_id, stddev_pop(x) / (avg(x) + 1e-8) as r from (select series_id, k, avg(sqrt(list_sum(list_transform(vec, lambda y: y * y)))) as x from h_s group by 1, 2) group by series_id)
         join h_g using (series_id)""",
         h_s=SEGMENTS,
         h_w="""select series_id, w, list(x order by j) as m from (select series_id, k as w, j, avg(x) as x from (
@@ -248,10 +248,15 @@ SEGMENTS = f"""select *, (i - 1) // (n // c) as k from (select *, least(8, great
     ),
 )
 def _(spark, d):
-    v = view(spark, d, "v_chroma").withColumn("x", F.col("vec")[0])
+    v = view(spark, d, "v_chroma").withColumn("x", level("vec"))
     return tidy(ss.segment_contrast(v, ID, ORDER, seconds=0.25))
 
 
+def level(vec):
+    """The length of a vector: its level."""
+    return F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, y: s + y * y))
+
+
 def boundaries(spark, d):
     return ss.section_boundaries(view(spark, d, "v_chroma"), ID, ORDER, k=4, min_gap=4, prominence=0.01)
 
@@ -268,7 +273,7 @@ def _(spark, d):
 
 @query("edge_sections")
 def _(spark, d):
-    v = view(spark, d, "v_spectra").withColumn("x", F.col("vec")[0])
+    v = view(spark, d, "v_spectra").withColumn("x", level("vec"))
     return tidy(ss.edge_sections(v, ID, ORDER, boundaries(spark, d), long=8))
 
 

@@ -131,3 +131,29 @@ def test_empty_boards(spark):
         spark.createDataFrame([("p", 1, -1.0), ("p", 2, 0.0)], "p string, key int, w double"), ["p"]
     )
     assert [r["share"] for r in uniform.collect()] == [0.5, 0.5]
+
+
+@pytest.mark.parametrize("alpha", [1e-5, 1e-4, 0.2, 0.95, 1.0])
+@pytest.mark.parametrize("plan", ["plain", "hot"])
+def test_trajectory_ends_where_the_fold_ends(spark, request, plan, alpha):
+    if plan == "hot":
+        spark.conf.set("contest_analytics.hotRows", "5000")
+    try:
+        events = spark.range(40_000).selectExpr("1 as key", "id as n", "pmod(hash(id), 1000) / 1e3 as x")
+        path = lb.ema_trajectory(events, ["key"], ["n"], "x", alpha, 0.3)
+        last = path.filter("n = 39999").first()["ema"]
+        fold = lb.ema(events, ["key"], ["n"], "x", alpha, 0.3).first()["ema"]
+        assert last == pytest.approx(fold, abs=1e-12)
+        third = path.filter("n = 2").first()
+        want = 0.3
+        for row in events.filter("n <= 2").orderBy("n").collect():
+            want = (1 - alpha) * want + alpha * row.x
+        assert third["ema"] == pytest.approx(want, abs=1e-12)
+    finally:
+        spark.conf.unset("contest_analytics.hotRows")
+
+
+def test_top_n_has_no_cap(spark):
+    rows = spark.range(12).selectExpr("1 as request", "id as contributor", "id * 1e0 as score", "8 as wanted")
+    out = lb.top_n_per_request(rows).collect()
+    assert sorted(r.rank for r in out) == list(range(1, 9)) and {r.delivered for r in out} == {8}
