@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -74,8 +75,14 @@ class Words:
         self.added = {text: np.array([n], "<u4").tobytes() for text, n in added.items()}
         letters = byte_letters()
 
+        plain = {b: letters[b] for b in range(128)}
+
         def word_ids(word: str) -> bytes:
-            return np.array(encode("".join(letters[b] for b in word.encode("utf-8", "replace"))), "<u4").tobytes()
+            if word.isascii():
+                ids = encode(word.translate(plain))
+            else:
+                ids = encode("".join(letters[b] for b in word.encode("utf-8", "replace")))
+            return struct.pack(f"<{len(ids)}I", *ids)
 
         self.words, self.chunks = Cache(word_ids), Cache(self._chunk)
 
@@ -86,6 +93,8 @@ class Words:
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def _chunk(self, text: str) -> bytes:
+        if text.isascii() and text.isalpha():
+            return self.words[text.lower()]
         parts = self.special.split(text) if self.special and "<" in text else [text]
         known = self.words.__getitem__
         done = [self.added.get(p) or b"".join(map(known, self.find(self.normal(p)))) for p in parts if p]
