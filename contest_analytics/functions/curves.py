@@ -54,7 +54,3 @@ def epoch_micros(ts) -> Column:
     """Microseconds since 1970 of a zone-less timestamp, whatever the session zone."""
     name = ts if isinstance(ts, str) else ts._jc.toString()
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {name})")
-
-
-def epoch_seconds(ts) -> Column:
-    return F.floor(epoch_micros(ts) / 1_000_000).cast("long")

@@ -71,13 +71,6 @@ def raw_weights(
     return raw
 
 
-def signal_weights(**columns) -> Column:
-    """The weights of :func:`raw_weights` as a struct that sums to 1."""
-    raw = raw_weights(**columns)
-    whole = add_up(list(raw.values()))
-    return F.struct(*[F.when(whole > 0, v / whole).otherwise(v).alias(s) for s, v in raw.items()])
-
-
 def adjusted_composite(**columns) -> Column:
     """Weighted mean of a row's signals under :func:`raw_weights`.
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from contest_analytics import config as C
 from contest_analytics.functions.curves import as_col, clip, remap
-from contest_analytics.functions.vectors import cosine, cosine_distance, dot, norm, scaled
+from contest_analytics.functions.vectors import dot, norm, scaled
 from contest_analytics.scale import (
     around,
     block_cells,

@@ -348,7 +348,6 @@ def smooth_weights(
     key: str = "key",
     w: str = "w",
     n: int = 5,
-    fractions: bool = True,
 ) -> DataFrame:
     """Moving average over the last ``n`` publications (absent = 0), then shares.
 
@@ -501,7 +500,6 @@ def route_candidates(
     tried: DataFrame | None = None,
     key: str = "uid",
     retries: int = C.ROUTE_RETRIES,
-    max_tried: int = 16,
 ) -> DataFrame:
     """``(request, attempt, uid, effective)``: best contributors not tried yet.
 

@@ -58,17 +58,17 @@ def derive_targets(
     text: str = "text",
     tag: str = "tag",
     duration: str = "duration",
-    rules: Sequence[tuple[str, Mapping[str, float]]] = C.TARGET_RULES,
+    rules: Sequence[tuple[Sequence[str], Mapping[str, float]]] = C.TARGET_RULES,
     defaults: Mapping[str, float] = C.TARGET_DEFAULTS,
     bounds: Mapping[str, tuple[float, float]] = C.TARGET_BOUNDS,
 ) -> DataFrame:
-    """Adds one column per target. ``rules`` are ``(keyword|keyword|..., deltas)``."""
+    """Adds one column per target. ``rules`` are ``(keywords, deltas)``."""
     whole = F.trim(
         F.concat_ws(" ", F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(tag), F.lit("")))
     )
     d = F.coalesce(F.col(duration), F.lit(10.0))
     # Each pattern is searched once per row, however many targets it moves.
-    hits = F.array(*[whole.rlike(keyword_pattern(words.split("|"))) for words, _ in rules])
+    hits = F.array(*[whole.rlike(keyword_pattern(words)) for words, _ in rules])
     base = df.withColumn("_whole", whole).withColumn("_hits", hits)
     out = {}
     for field, start in defaults.items():
@@ -91,7 +91,9 @@ def derive_targets(
     return base.withColumns(final).drop("_whole", "_hits")
 
 
-def extract_tag(df: DataFrame, col: str, keywords: Mapping[str, Sequence[str]]) -> DataFrame:
+def extract_tag(
+    df: DataFrame, col: str, keywords: Mapping[str, Sequence[str]] = C.GENRE_KEYWORDS
+) -> DataFrame:
     """Adds ``found_tag``: first category, in order, with a keyword inside the text."""
     lowered = F.lower(F.col(col))
     tag = F.lit(None).cast("string")
@@ -121,7 +123,7 @@ def interpolate_curve(
     return df.withColumns(out)
 
 
-def nearest_tier(level, tiers: Sequence[tuple[float, str]]) -> Column:
+def nearest_tier(level, tiers: Sequence[tuple[float, str]] = C.COMPLEXITY_TIERS) -> Column:
     """Label of the closest threshold; the earlier tier wins a tie."""
     options = [
         F.struct(F.abs(as_col(level) - t).alias("d"), F.lit(i).alias("i"), F.lit(name).alias("n"))

@@ -21,6 +21,7 @@ def genre_column():
     return t[F.col("tag")]
 
 
+GENRE_SQL = "case tag " + " ".join(f"when '{t}' then '{g}'" for t, g in GENRE_OF.items()) + " end"
 PROFILE_SQL = """case tag when 'ECONOMY' then {0} when 'STANDARD' then {1} when 'PROMO' then {2}
   when 'SMALL' then {3} else {4} end"""
 
@@ -46,26 +47,31 @@ def _(spark, d):
 
 @query(
     "family_members",
-    oracle("""select tag as family, array_to_string(list_sort(list(distinct name)), ',') as members
-      from v_levels group by tag"""),
+    # The dimension: the genres of the table's own parts, each with its family.
+    oracle(f"""select family, array_to_string(list_sort(list(distinct genre)), ',') as members from (
+      select {PROFILE_SQL.format("'rock'", "'ambient'", "'groove-soul'", "'jazz-blues'", "'default'")} as family,
+        coalesce(genre, '') as genre from (select {GENRE_SQL} as genre, tag from v_levels)) group by family"""),
 )
 def _(spark, d):
-    out = lk.family_members(view(spark, d, "v_levels"), "tag", "name")
-    return out.select(F.col("tag").alias("family"), F.array_join("members", ",").alias("members"))
+    genre = F.coalesce(genre_column(), F.lit("")).alias("genre")
+    seen = view(spark, d, "v_levels").select(genre).distinct()
+    mapped = lk.with_profile(seen, "genre", lk.profile_table(spark))
+    out = lk.family_members(mapped, "family", "genre")
+    return out.select("family", F.array_join("members", ",").alias("members"))
 
 
 # Rules made of words that do occur in the documents.
 TEXT_RULES = [
-    ("the|and", C.TARGET_RULES[0][1]),
-    ("les|que|with", C.TARGET_RULES[1][1]),
-    ("der|und|die", C.TARGET_RULES[2][1]),
-    ("in the|of", C.TARGET_RULES[5][1]),
+    (["the", "and"], C.TARGET_RULES[0][1]),
+    (["les", "que", "with"], C.TARGET_RULES[1][1]),
+    (["der", "und", "die"], C.TARGET_RULES[2][1]),
+    (["in the", "of"], C.TARGET_RULES[5][1]),
 ]
 
 
 def _targets_sql() -> str:
     hits = [
-        f"regexp_matches(whole, '(?i)(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])(?:{words})($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])')"
+        f"regexp_matches(whole, '(?i)(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])(?:{"|".join(words)})($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])')"
         for words, _ in TEXT_RULES
     ]
     out = {}
@@ -102,18 +108,21 @@ def _(spark, d):
     return out.select("id", *[rounded(f).alias(f) for f in C.TARGET_DEFAULTS])
 
 
-TAG_WORDS = {"first": ["zzz", "erbl"], "second": ["eaux", "ment"], "third": ["the", "sch"]}
+def _tag_sql(keywords, name: str) -> str:
+    hits = " ".join(
+        "when " + " or ".join(f"contains(t, '{w}')" for w in words) + f" then '{tag}'" for tag, words in keywords.items()
+    )
+    return f"case {hits} end as {name}"
 
 
 @query(
     "extract_tag",
-    oracle("""select id, case when contains(t, 'zzz') or contains(t, 'erbl') then 'first'
-      when contains(t, 'eaux') or contains(t, 'ment') then 'second'
-      when contains(t, 'the') or contains(t, 'sch') then 'third' end as found_tag
+    oracle(f"""select id, {_tag_sql(C.GENRE_KEYWORDS, "genre")}, {_tag_sql(C.MOOD_KEYWORDS, "mood")}
       from (select id, lower(text) as t from v_text)"""),
 )
 def _(spark, d):
-    return lk.extract_tag(view(spark, d, "v_text"), "text", TAG_WORDS).select("id", "found_tag")
+    genres = lk.extract_tag(view(spark, d, "v_text"), "text").withColumnRenamed("found_tag", "genre")
+    return lk.extract_tag(genres, "text", C.MOOD_KEYWORDS).select("id", "genre", F.col("found_tag").alias("mood"))
 
 
 def _curve_sql() -> str:
@@ -134,15 +143,21 @@ def _(spark, d):
     return out.select("id", *[rounded(f).alias(f) for f in C.CURVE_FIELDS])
 
 
+def _tier_rows(tiers) -> str:
+    return ", ".join(f"({i}, {t}::double, '{n}')" for i, (t, n) in enumerate(tiers))
+
+
 @query(
     "nearest_tier",
-    oracle("""select id, arg_min(n, struct_pack(d := round(abs(x - t), 12), i := i)) as tier
-      from v_levels, (values (0, 0e0, 'none'), (1, 3e-1, 'genre_only'), (2, 6e-1, 'genre_and_tempo'),
-        (3, 8e-1, 'genre_tempo_key'), (4, 1e0, 'full')) as tiers(i, t, n) group by id"""),
+    oracle(f"""select id, min(tier) as tier, min(complexity) as complexity from (
+      select id, arg_min(n, struct_pack(d := round(abs(x - t), 12), i := i)) as tier, null as complexity
+        from v_levels, (values {_tier_rows(C.ATTRIBUTE_TIERS)}) as tiers(i, t, n) group by id
+      union all select id, null, arg_min(n, struct_pack(d := round(abs(x - t), 12), i := i))
+        from v_levels, (values {_tier_rows(C.COMPLEXITY_TIERS)}) as tiers(i, t, n) group by id) group by id"""),
 )
 def _(spark, d):
     return view(spark, d, "v_levels").select(
-        "id", lk.nearest_tier("x", C.ATTRIBUTE_TIERS).alias("tier")
+        "id", lk.nearest_tier("x", C.ATTRIBUTE_TIERS).alias("tier"), lk.nearest_tier("x").alias("complexity")
     )
 
 

@@ -60,10 +60,17 @@ def _(spark, d):
 
 @query(
     "stable_shuffle",
-    oracle("""select id, row_number() over (order by sha256(concat('7', cast(id as varchar))), id) as position from v_text"""),
+    # The seed is the content's: the exclusive or of the names' hashes, and their number.
+    oracle(
+        """select id, row_number() over (order by sha256(concat(s, cast(id as varchar))), id) as position
+        from v_text, h_seed""",
+        h_seed="""select concat(cast(bit_xor(('0x' || substr(sha256(cast(id as varchar)), 1, 15))::bigint) as varchar),
+          ':', cast(count(*) as varchar)) as s from v_text""",
+    ),
 )
 def _(spark, d):
-    return pf.stable_shuffle(view(spark, d, "v_text").select("id"), "7", "id")
+    ids = view(spark, d, "v_text").select("id")
+    return pf.stable_shuffle(ids, pf.content_seed(ids, "id"), "id")
 
 
 @query(
