@@ -43,15 +43,24 @@ def _(spark, d):
     return sinks.drain(out.select("event_id", "contributor"), mode="append")
 
 
-@query("stream_nonresponders")
+@query(
+    "stream_nonresponders",
+    oracle("""select a.event_id, a.contributor, a.micros,
+        coalesce(arg_min(r.raw, struct_pack(m := r.micros, s := r.raw)), 0e0) as score
+      from v_scores a left join (select * from v_scores where contest = 'purchase') r
+        on r.contributor = a.contributor and r.micros between a.micros and a.micros + 3600000000
+      where a.contest = 'view' group by 1, 2, 3"""),
+)
 def _(spark, d):
-    v = windows.timed(stream(spark, d, "v_scores"))
-    asked = v.filter("contest = 'view'").select("contributor", "event_id", "ts")
-    got = windows.timed(stream(spark, d, "v_scores")).filter("contest = 'purchase'")
-    out = windows.stream_nonresponders(
-        asked, got.select("contributor", "ts", F.col("raw").alias("score")), ["contributor"]
-    )
-    return sinks.drain(out.select("contributor", F.unix_micros("ts").alias("micros"), "score"), mode="append")
+    def sides(v):
+        asked = v.filter("contest = 'view'").select("contributor", "event_id", "ts")
+        return asked, v.filter("contest = 'purchase'").select("contributor", "ts", F.col("raw").alias("score"))
+
+    asked, _ = sides(windows.timed(stream(spark, d, "v_scores")))
+    _, got = sides(windows.timed(stream(spark, d, "v_scores")))
+    matched = sinks.drain(windows.stream_nonresponders(asked, got, ["contributor"]), mode="append")
+    out = windows.settle(matched, *sides(windows.timed(view(spark, d, "v_scores"))), ["contributor"], "event_id")
+    return out.select("event_id", "contributor", F.unix_micros("ts").alias("micros"), "score")
 
 
 @query("stream_window_distance")

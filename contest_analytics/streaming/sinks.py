@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from contest_analytics.operators.leaderboard import snapshot
 from contest_analytics.scale import shared_dir
-from contest_analytics.sources.snapshots import read_snapshot, write_snapshot
+from contest_analytics.sources.snapshots import read_snapshot, versions, write_snapshot
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -48,27 +51,51 @@ def drain(stream: DataFrame, mode: str = "update", keys: list[str] | None = None
 
 
 def publish_snapshots(
-    board_stream: DataFrame, path: str, checkpoint: str, key: str = "contributor", **kw
+    board_stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    key: str = "contributor",
+    gap: int = 0,
+    clock: Callable[[int], int] | None = None,
+    **kw,
 ) -> StreamingQuery:
-    """Merge each micro-batch of board updates into the published snapshot.
+    """Merge micro-batches of board updates into the published snapshot.
 
     ``board_stream`` is the update stream of ``stream_leaderboard``. The new board
     is the previous one without the updated keys, plus the updates; readers see it
-    only when complete.
+    only when complete. A version is published ``gap`` or more after the one before it on
+    the ``clock`` (batch number -> time; seconds by default); until then updates wait in a
+    table beside the snapshots. A replayed batch leaves a complete version as it is.
     """
     spark = board_stream.sparkSession
+    waiting = f"{path}/waiting"
+    now = clock or (lambda _: int(time.time()))
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.select(key, "ema", "rounds")
-        # A replayed batch starts from the version before it.
+        # Written in any case: a batch that is not read leaves its state uncommitted.
+        write_snapshot(batch.select(key, "ema", "rounds"), waiting, version=batch_id)
+        if batch_id in versions(spark, path):
+            return
+        at = now(batch_id)
+        last = max((v for v in versions(spark, path) if v < batch_id), default=-1)
         old = read_snapshot(spark, path, before=batch_id)
+        if old is not None and gap > 0:
+            before = old.agg(F.max("published_at")).first()[0]
+            if before is not None and at - before < gap:
+                return
+        news = [v for v in versions(spark, waiting) if last < v <= batch_id]
+        parts = [read_snapshot(spark, waiting, before=v + 1).withColumn("_v", F.lit(v)) for v in news]
+        every = reduce(DataFrame.unionByName, parts)
+        newest = every.groupBy(key).agg(F.max_by(F.struct("ema", "rounds"), "_v").alias("_l"))
+        fresh = newest.select(key, "_l.*")
         if old is not None:
             kept = old.select(key, F.col("exact").alias("ema"), "rounds")
             fresh = fresh.unionByName(kept.join(fresh.select(key), key, "left_anti"))
         one = fresh.withColumn("contest", F.lit("all"))
         snap = snapshot(one, ["contest"], key, **kw).drop("contest")
         exact = fresh.select(key, F.col("ema").alias("exact"))
-        write_snapshot(snap.join(exact, key), path, version=batch_id)
+        dated = snap.join(exact, key).withColumn("published_at", F.lit(at).cast("long"))
+        write_snapshot(dated, path, version=batch_id)
 
     return (
         board_stream.writeStream.outputMode("update")

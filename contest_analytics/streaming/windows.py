@@ -20,6 +20,19 @@ def stream_dedup(stream: DataFrame, unique: str, ts: str = "ts", delay: str = "1
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([unique])
 
 
+def _in_time(assigned: DataFrame, responses: DataFrame, keys: list[str], deadline: str) -> DataFrame:
+    """Every assignment with each of its responses inside the deadline, or with none."""
+    a, r = assigned.alias("a"), responses.alias("r")
+    match = (F.col("r.ts") >= F.col("a.ts")) & (
+        F.col("r.ts") <= F.col("a.ts") + F.expr(f"interval {deadline}")
+    )
+    for k in keys:
+        match = match & (F.col(f"a.{k}") == F.col(f"r.{k}"))
+    return a.join(r, match, "left_outer").select(
+        "a.*", F.col("r.ts").alias("answered"), F.coalesce(F.col("r.score"), F.lit(0.0)).alias("score")
+    )
+
+
 def stream_nonresponders(
     assigned: DataFrame,
     responses: DataFrame,
@@ -27,23 +40,40 @@ def stream_nonresponders(
     deadline: str = "1 hour",
     delay: str = "10 minutes",
 ) -> DataFrame:
-    """Assignments with the score of a response inside the deadline, else 0.
+    """Assignments with the scores of responses inside the deadline, else 0.
 
     Both sides carry ``ts``. An assignment without a response comes out once the
-    watermark is past its deadline.
+    watermark is past its deadline, one with several responses once for each: see
+    :func:`first_answers`, and :func:`settle` for those still open when a run ends.
     """
-    a = assigned.withWatermark("ts", delay).alias("a")
-    r = responses.withWatermark("ts", delay).alias("r")
-    match = (F.col("r.ts") >= F.col("a.ts")) & (
-        F.col("r.ts") <= F.col("a.ts") + F.expr(f"interval {deadline}")
-    )
-    for k in keys:
-        match = match & (F.col(f"a.{k}") == F.col(f"r.{k}"))
-    return a.join(r, match, "left_outer").select(
-        *[F.col(f"a.{k}").alias(k) for k in keys],
-        F.col("a.ts").alias("ts"),
-        F.coalesce(F.col("r.score"), F.lit(0.0)).alias("score"),
-    )
+    return _in_time(assigned.withWatermark("ts", delay), responses.withWatermark("ts", delay), keys, deadline)
+
+
+def first_answers(matched: DataFrame, unique: str) -> DataFrame:
+    """One row per assignment ``unique``: its first answer, of equal times the least score."""
+    never = F.lit("9999-12-31").cast("timestamp")
+    answer = F.struct(F.coalesce("answered", never).alias("at"), "score")
+    rest = [c for c in matched.columns if c not in (unique, "answered", "score")]
+    best = matched.groupBy(unique).agg(*[F.first(c).alias(c) for c in rest], F.min(answer).alias("_best"))
+    return best.select(unique, *rest, F.col("_best.score").alias("score"))
+
+
+def settle(
+    matched: DataFrame,
+    assigned: DataFrame,
+    responses: DataFrame,
+    keys: list[str],
+    unique: str,
+    deadline: str = "1 hour",
+) -> DataFrame:
+    """Exactly one row per assignment at the end of a bounded run.
+
+    ``matched`` is what the stream gave; assignments that it still holds open are joined
+    with the responses in one batch pass.
+    """
+    done = first_answers(matched, unique)
+    open_ones = assigned.join(done.select(unique), unique, "left_anti")
+    return done.unionByName(first_answers(_in_time(open_ones, responses, keys, deadline), unique))
 
 
 def stream_epoch_agg(stream: DataFrame, delay: str = "1 hour") -> DataFrame:

@@ -92,6 +92,37 @@ def test_nonresponders(spark, fed):
     assert {k: got[k] for k in range(200)} == {k: 0.5 if k % 3 == 0 else 0.0 for k in range(200)}
 
 
+def test_every_assignment_is_settled_once(spark, fed):
+    minute, day0 = 60_000_000, 1_700_000_000_000_000
+    asked = spark.createDataFrame([(k, day0 + k * minute) for k in range(50)], "k long, micros long")
+    answers = [(k, day0 + (k + wait) * minute, wait / 100.0) for k in range(50) for wait in (7, 5, 90)[: k % 4]]
+    replies = spark.createDataFrame(answers, "k long, micros long, score double")
+    side = lambda df: windows.timed(df).drop("micros")
+    out = windows.stream_nonresponders(side(fed(asked, "micros")), side(fed(replies, "micros")), ["k"])
+    matched = sinks.drain(out, mode="append")
+    rows = windows.settle(matched, side(asked), side(replies), ["k"], "k").collect()
+    assert sorted((r["k"], r["score"]) for r in rows) == [(k, [0.0, 0.07, 0.05, 0.05][k % 4]) for k in range(50)]
+
+
+def test_snapshots_keep_a_minimum_gap(spark, sf_dir, fed, tmp_path):
+    stateful.use_rocksdb(spark)
+    v = view(spark, sf_dir, "v_scores").drop("value").withColumn("hotkey", F.lit("h"))
+    path = str(tmp_path / "published")
+    board = stateful.stream_leaderboard(fed(v, "micros"))
+    sinks.publish_snapshots(
+        board, path, str(tmp_path / "ckpt"), gap=3, clock=lambda batch: batch
+    ).awaitTermination()
+    assert versions(spark, path) == [0, 3]
+    got = {r["contributor"]: r["ema"] for r in read_snapshot(spark, path).collect()}
+    one = lb.ema(v, ["contributor"], ["micros", "event_id"], "raw").withColumn("contest", F.lit("all"))
+    assert got == {r["contributor"]: r["ema"] for r in lb.snapshot(one, ["contest"]).collect()}
+    # A replay with another checkpoint leaves complete versions as they are.
+    before = read_snapshot(spark, path).first()
+    again = stateful.stream_leaderboard(fed(v, "micros"))
+    sinks.publish_snapshots(again, path, str(tmp_path / "again"), clock=lambda batch: batch).awaitTermination()
+    assert 3 in versions(spark, path) and read_snapshot(spark, path, before=4).first() == before
+
+
 def test_window_distance_keeps_fifty(spark, sf_dir, fed):
     stateful.use_rocksdb(spark)
     v = view(spark, sf_dir, "v_vectors").withColumn("contributor", F.lit(1))
