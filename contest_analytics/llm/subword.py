@@ -33,6 +33,8 @@ SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
 #: Odd multipliers of the hashes, modulo 2**32.
 _P, _K, _M = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 _TOP, _HALF = np.uint32(32 - BITS), np.uint32(15)
+#: Slices of a class while its sample is drawn.
+SLICES = 64
 #: Rows of the features of repeated words, and their weight.
 REPEATS = [zlib.crc32(name) & (BUCKETS - 1) for name in (b"same", b"again")]
 REPEAT_WEIGHT = 4
@@ -129,8 +131,12 @@ def sample(rows: DataFrame, label: str, per_class: int, classes: int, id_col: st
 
     A class's rows are those with the smallest hash of the id: the same for the same data.
     """
-    order = [F.xxhash64(id_col), F.col(id_col)]
-    ranked = rows.select(id_col, label, F.row_number().over(W.partitionBy(label).orderBy(*order)).alias("_n"))
+    mark = F.xxhash64(id_col)
+    order = [mark, F.col(id_col)]
+    # A class may hold nearly all rows: first the best of each of its slices, then of these.
+    slices = W.partitionBy(label, F.pmod(mark, F.lit(SLICES))).orderBy(*order)
+    few = rows.select(id_col, label, F.row_number().over(slices).alias("_n")).filter(F.col("_n") <= per_class)
+    ranked = few.withColumn("_n", F.row_number().over(W.partitionBy(label).orderBy(*order)))
     return ranked.filter(F.col("_n") <= per_class).orderBy("_n", label).limit(per_class * classes).drop("_n")
 
 
