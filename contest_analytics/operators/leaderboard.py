@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from contest_analytics import config as C
 from contest_analytics.functions.curves import clip, sanitize_score
 from contest_analytics.operators.lookups import match_identity
-from contest_analytics.scale import around, is_hot, lookup, ordered, owned, quantiles, with_index
+from contest_analytics.scale import are_hot, around, is_hot, lookup, ordered, owned, quantiles, with_index
 
 
 def ema(
@@ -161,8 +161,9 @@ def population_quality(
 ) -> DataFrame:
     """Per contest and round: the median score and the smoothed quality after it."""
     scored = df.withColumn("_x", sanitize_score(x))
-    medians = quantiles(scored, [*contest, round_key], "_x", {"median": 0.5})
-    out = ema_trajectory(medians, contest, [round_key], "median", alpha, start)
+    hot_round, hot_contest = are_hot(df, contest, [round_key])
+    medians = quantiles(scored, [*contest, round_key], "_x", {"median": 0.5}, hot_round)
+    out = ema_trajectory(medians, contest, [round_key], "median", alpha, start, hot_contest)
     return out.withColumn("quality", clip("ema")).drop("ema", "idx")
 
 
@@ -183,13 +184,14 @@ def tiered_weights(
     k: int = C.ELITE_K,
     pool: float = C.ELITE_POOL,
     p: float = C.POWER,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Adds ``rank``, ``tier`` and ``weight``.
 
     Zero scores sort last, so a rank <= k with a positive score is elite in both
     senses the contest uses. Tier totals are two sums per contest, joined back.
     """
-    ranked = ranked_board(board, contest, key).withColumn(
+    ranked = ranked_board(board, contest, key, hot).withColumn(
         "tier", F.when(F.col("rank") <= k, "elite").otherwise("rest")
     )
     ranked = ranked.withColumn("_raw", power_weight("ema", p))

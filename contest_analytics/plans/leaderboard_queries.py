@@ -8,6 +8,7 @@ from contest_analytics.functions.curves import rounded
 from contest_analytics.operators import leaderboard as lb
 from contest_analytics.plans.adapters import oracle, view
 from contest_analytics.plans.registry import query
+from contest_analytics.scale import are_hot
 
 # --- shared inputs ----------------------------------------------------------
 
@@ -27,7 +28,10 @@ HELP = {"h_board": BOARD, "h_tiered": TIERED}
 
 
 def board(spark, d):
-    return lb.ema(view(spark, d, "v_scores"), ["contest", "contributor"], ["micros", "event_id"], "raw")
+    """The board by contest, and whether a contest has too many contributors for one task."""
+    events = view(spark, d, "v_scores")
+    hot_key, hot_contest = are_hot(events, ["contest"], ["contributor"])
+    return lb.ema(events, ["contest", "contributor"], ["micros", "event_id"], "raw", hot=hot_key), hot_contest
 
 
 def user_board(spark, d):
@@ -43,7 +47,8 @@ def user_board(spark, d):
     ),
 )
 def _(spark, d):
-    return lb.snapshot(board(spark, d), ["contest"])
+    df, hot = board(spark, d)
+    return lb.snapshot(df, ["contest"], hot=hot)
 
 
 @query(
@@ -182,7 +187,8 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    w = lb.tiered_weights(board(spark, d), ["contest"]).filter("ema > 0")
+    df, hot = board(spark, d)
+    w = lb.tiered_weights(df, ["contest"], hot=hot).filter("ema > 0")
     return w.select("contest", "contributor", "tier", rounded("weight").alias("weight"))
 
 
@@ -200,7 +206,8 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    out = lb.summary(board(spark, d), ["contest"])
+    df, hot = board(spark, d)
+    out = lb.summary(df, ["contest"], hot=hot)
     means = ["ema_mean", "ema_max", "weight_mean", "weight_max"]
     return out.withColumns({c: rounded(c) for c in means})
 

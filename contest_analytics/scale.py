@@ -56,6 +56,19 @@ def is_hot(df: DataFrame, keys: Sequence[str]) -> bool:
     return (largest or 0) > limit
 
 
+def are_hot(df: DataFrame, outer: Sequence[str], inner: Sequence[str]) -> tuple[bool, bool]:
+    """:func:`is_hot` for ``outer + inner`` in ``df``, and for ``outer`` in its groups.
+
+    One action on the source answers both, so that an operator on grouped results need not
+    compute them only to learn their size.
+    """
+    limit = _conf_int(df.sparkSession, "hotRows", HOT_ROWS)
+    groups = df.groupBy(*outer, *inner).agg(F.count(F.lit(1)).alias("n"))
+    keys = groups.groupBy(*outer).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("g"))
+    row = keys.agg(F.max("n"), F.max("g")).first()
+    return (row[0] or 0) > limit, (row[1] or 0) > limit
+
+
 def lookup(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join per-key facts back. Keys are not null: a row without a key has no facts.
 

@@ -157,3 +157,16 @@ def test_top_n_has_no_cap(spark):
     rows = spark.range(12).selectExpr("1 as request", "id as contributor", "id * 1e0 as score", "8 as wanted")
     out = lb.top_n_per_request(rows).collect()
     assert sorted(r.rank for r in out) == list(range(1, 9)) and {r.delivered for r in out} == {8}
+
+
+def test_planning_measures_each_source_once(spark, sf_dir, monkeypatch):
+    import __spark_entry__ as entry
+    from contest_analytics import scale
+
+    measured = []
+    for module in (scale, lb):
+        one = module.is_hot
+        monkeypatch.setattr(module, "is_hot", lambda df, keys, f=one: measured.append(keys) or f(df, keys))
+    for name in ("leaderboard_snapshot", "tiered_weights", "leaderboard_summary", "population_quality"):
+        entry.queries()[name](spark, sf_dir)
+    assert measured == []
