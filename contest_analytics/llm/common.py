@@ -31,3 +31,11 @@ def text_rows(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa
 def fold(doc_id: str = "doc_id", parts: int = 5) -> Column:
     """crc32 of the id as text, modulo ``parts``; null ids count as remainder 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(parts)), F.lit(0))
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores added until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted

@@ -74,5 +74,4 @@ def identify(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", te
 def keep(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents whose language is unknown or rejected."""
     model = fit(docs, lang_col, id_col=id_col, text_col=text_col)
-    found = docs.withColumn("_p", predict(model, F.col(text_col).cast("string")))
-    return found.filter(~F.col("_p.rejected")).select(*docs.columns)
+    return docs.filter(~predict(model, F.col(text_col).cast("string"))["rejected"])

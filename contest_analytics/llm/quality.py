@@ -64,5 +64,4 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that the model rejects."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
-    scored = docs.withColumn("_score", score(model, F.col(text_col).cast("string"))["score"])
-    return scored.filter(F.col("_score") >= LEAST).select(*docs.columns)
+    return docs.filter(score(model, F.col(text_col).cast("string"))["score"] >= LEAST)

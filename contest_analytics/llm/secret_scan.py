@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from contest_analytics.llm.common import free_name
+
 # The patterns of the three base kinds.
 ASSIGN = (
     r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -206,16 +208,12 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     may = text.rlike(LONG_HEX) | text.rlike(LONG_ACCESS) | text.rlike(ASSIGN) | text.rlike(WEAK_ID)
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     # Equal ids and texts have equal spans, so this key serves repeated rows too.
-    keyed = docs.filter(may).withColumn("_key", F.sha2(F.concat_ws(":", name, text), 256))
-    found = spans(keyed.select("_key", text_col).dropDuplicates(["_key"]), ["_key"], text_col)
-    masked = (
-        keyed.join(found.filter(F.size("spans") > 0), "_key", "left")
-        .withColumn(
-            text_col,
-            F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(_masked(F.col(text_col), F.col("spans"))),
-        )
-        .drop("_key", "spans")
-    )
+    key, held = free_name(docs, "_key"), free_name(docs, "_spans")
+    keyed = docs.filter(may).withColumn(key, F.sha2(F.concat_ws(":", name, text), 256))
+    once = keyed.select(F.col(key).alias("_key"), F.col(text_col).alias("text")).dropDuplicates(["_key"])
+    found = spans(once, ["_key"]).filter(F.size("spans") > 0).toDF(key, held)
+    clean = F.when(F.col(held).isNull(), F.col(text_col)).otherwise(_masked(F.col(text_col), F.col(held)))
+    masked = keyed.join(found, key, "left").withColumn(text_col, clean).drop(key, held)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         masked = masked.withColumn("n_chars", F.length(text_col).cast(kind))

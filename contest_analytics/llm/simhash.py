@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contest_analytics.llm.common import saved, text_rows
+from contest_analytics.llm.common import free_name, saved, text_rows
 from contest_analytics.llm.components import connected_components
 
 BITS, REACH = 64, 4
@@ -232,8 +232,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    keyed = docs.withColumn("_key", F.sha2(F.concat_ws(":", name, text), 256))
-    prints = saved(fingerprints(keyed, id_col, text_col, extra="_key"))
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_key").alias("_key"))
-    stay = _classes(prints, order).select("least._key").distinct()
-    return keyed.join(stay, "_key").dropDuplicates(["_key"]).select(*docs.columns)
+    key = free_name(docs, "_key")
+    keyed = docs.withColumn(key, F.sha2(F.concat_ws(":", name, text), 256))
+    prints = saved(fingerprints(keyed, id_col, text_col, extra=key))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col(key).alias("key"))
+    stay = _classes(prints, order).select(F.col("least.key").alias(key)).distinct()
+    return keyed.join(stay, key).dropDuplicates([key]).select(*docs.columns)

@@ -33,6 +33,6 @@ ODD = [
 @pytest.fixture(scope="session")
 def odd(docs_of):
     frame = docs_of(ODD)
-    for name in ("fp", "key", "root", "label", "slot", "part", "kind", "score", "nth"):
+    for name in ("fp", "key", "root", "label", "slot", "part", "kind", "score", "nth", "_key", "_spans", "spans", "_row", "_score"):
         frame = frame.selectExpr("*", f"source as {name}")
     return frame
