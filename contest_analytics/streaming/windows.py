@@ -101,7 +101,7 @@ def stream_error_rate(
     )
 
 
-def stream_votes(votes: DataFrame, delay: str = "1 hour", threshold: float = C.VOTE_SHARE) -> DataFrame:
+def stream_votes(votes: DataFrame, threshold: float = C.VOTE_SHARE) -> DataFrame:
     """Update stream of ``(pair, winner, share_a)``: two sums of state per pair.
 
     ``weight`` is the annotator's reliability, 1.0 if the column is absent.

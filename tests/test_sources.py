@@ -119,3 +119,20 @@ def test_identity_reset_and_first_sighting(spark):
     got = {r["k"]: r for r in lb.ema_with_resets(df, ["k"], ["t"], "h", "x").collect()}
     assert got[1]["rounds"] == 1 and abs(got[1]["ema"] - 0.1) < 1e-12 and got[1]["resets"] == 1
     assert got[2]["resets"] == 0 and abs(got[2]["ema"] - 0.2) < 1e-12
+
+
+def test_python_stages_run_from_another_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = """
+from pyspark.sql import SparkSession
+from contest_analytics.operators import gates
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+rows = spark.createDataFrame([("a b c", "a x c")], "ref string, hyp string")
+assert abs(gates.word_error_rate(rows).first().wer - 1 / 3) < 1e-9
+"""
+    env = {**os.environ, "PYTHONPATH": root}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=180)
