@@ -85,4 +85,28 @@ QUERIES: dict[str, Query] = {
     "op9_quality": op9_quality,
     "op10_langid": op10_langid,
 }
-ORACLES: dict[str, str] = {}
+#: A private-use sign stands for the cuts; the documents hold none.
+_CUT = "chr(57344)"
+_TREES = f"""
+    list_transform(string_split(regexp_replace({{0}}, '(\\n|[[:punct:]] )', '\\1' || {_CUT}, 'g'), {_CUT}), lambda p: sha256(p))"""
+_ROOT = """
+    sha256(array_to_string(list_transform(string_split(array_to_string(list_transform({0},
+      lambda h: case when h < '4' then h || '|' else h end), ''), '|'), lambda s: sha256(s)), ''))"""
+_LIKE = """
+    case when {0}_root = {1}_root then 1e0 else len(list_distinct(list_intersect({0}_leaves, {1}_leaves)))
+      / len(list_distinct(list_concat({0}_leaves, {1}_leaves))) end"""
+_PAIRED = """
+    select doc_id, text, length(text) as n_chars, coalesce(lead(text) over line, first_value(text) over line) as next_text
+    from (select doc_id, coalesce(text, '') as text from documents) window line as (order by doc_id nulls last, sha256(text))"""
+
+ORACLES: dict[str, str] = {
+    "op3_merkle": f"""
+  with paired as ({_PAIRED}),
+  edits as (select *, substr(text, 1, n_chars - n_chars // 4) || substr(next_text, 1, n_chars // 4) as edited from paired),
+  leaves as (select doc_id, n_chars, sha256(edited) as edited_sha256, {_TREES.format("text")} as a_leaves,
+    {_TREES.format("edited")} as b_leaves, {_TREES.format("next_text")} as c_leaves from edits),
+  roots as (select *, {_ROOT.format("a_leaves")} as a_root, {_ROOT.format("b_leaves")} as b_root,
+    {_ROOT.format("c_leaves")} as c_root from leaves)
+  select doc_id, n_chars, edited_sha256, a_root as fingerprint, b_root as edited_fingerprint,
+    {_LIKE.format("a", "b")} as near_edited, {_LIKE.format("a", "c")} as near_next from roots"""
+}
