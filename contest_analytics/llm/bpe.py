@@ -37,6 +37,8 @@ from contest_analytics.llm.common import text_rows
 
 #: Words and pairs that a worker remembers before it starts afresh.
 CACHE = 300_000
+#: Marks that end most chunks, and the first letter that may change its kind when lower-cased.
+MARKS, LATIN_END = ".,;:!?", "\u0130"
 #: Stands for the end-of-word suffix in the automaton; no byte is spelled like this.
 END = "\n"
 NEVER = 1 << 60
@@ -93,8 +95,10 @@ class Words:
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def _chunk(self, text: str) -> bytes:
-        if text.isascii() and text.isalpha():
-            return self.words[text.lower()]
+        # The common forms, a word of plain Latin letters and perhaps a mark after it, need no splitting.
+        word, mark = (text[:-1], text[-1]) if text[-1] in MARKS else (text, "")
+        if word.isalpha() and (word.isascii() or max(word) < LATIN_END):
+            return self.words[word.lower()] + (self.words[mark] if mark else b"")
         parts = self.special.split(text) if self.special and "<" in text else [text]
         known = self.words.__getitem__
         done = [self.added.get(p) or b"".join(map(known, self.find(self.normal(p)))) for p in parts if p]
