@@ -274,7 +274,8 @@ def block_cells(
     position) and one array per payload column, of at most ``block`` entries, so
     callers do all-against-all work in matrix form inside a task and emit only
     per-row or per-key sums, never row pairs. A key with many blocks is spread over
-    cells of eight left blocks.
+    cells of at most eight left and eight right blocks, so no group of the join has
+    more than 64 products, whatever the key's size.
     """
     band = 8
     packed = (
@@ -287,10 +288,15 @@ def block_cells(
         arrays = [F.col("_rows")[c].alias(f"{name}_{c}") for c in payload]
         return [F.col("_blk").alias(f"{name}_block"), F.col("_rows")[0]["_i"].alias(f"{name}_start"), *arrays]
 
-    left = packed.select(*keys, F.floor(F.col("_blk") / band).alias("_cell"), *side("left"))
-    cells = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_blk") / band)))
-    right = packed.select(*keys, cells.alias("_cell"), *side("right"))
-    return left.join(right, [*keys, "_cell"]).filter("left_block <= right_block").drop("_cell")
+    bands = df.groupBy(*keys).agg(F.floor((F.max(idx) - 1) / block / band).alias("_bands"))
+    own = F.floor(F.col("_blk") / band)
+    zero = F.lit(0).cast("long")
+    left = lookup(packed, bands, keys, "inner").select(
+        *keys, own.alias("_row"), F.explode(F.sequence(own, F.col("_bands"))).alias("_cell"), *side("left")
+    )
+    right = packed.select(*keys, F.explode(F.sequence(zero, own)).alias("_row"), own.alias("_cell"), *side("right"))
+    pairs = left.join(right, [*keys, "_row", "_cell"]).filter("left_block <= right_block")
+    return pairs.drop("_row", "_cell")
 
 
 def running_sum(
