@@ -3,16 +3,19 @@
 Each of ``TABLES`` hash tables has its own Gaussian projections; a vector's bucket is
 the tuple of its projections' cells of width ``w``. A query looks into its own bucket
 first and then into perturbed ones (one or more cells moved), in the order of the
-estimated probability that a neighbour at the distance ``radius`` lies there: a product, over
+estimated probability that a neighbour at the query's own radius lies there: a product, over
 the projections, of the Gaussian mass of the cell around the query's own projection. It goes
 on until the buckets visited hold ``SUCCESS`` of that mass. Candidates of all tables are
 merged and ranked by their exact distance. One table finds a neighbour with probability
 ``SUCCESS`` at least, ``TABLES`` of them with 1 - (1 - SUCCESS) ** TABLES.
 
-``w`` and ``radius`` are fitted on a bounded sample; every row is indexed. The number of
-projections follows the logarithm of the number of rows, so a bucket's size does not grow
-with the data. Queries with fewer than ``k`` candidates found are compared with all rows,
-in blocks. Many buckets make a group of bounded size, where a query meets the vectors of all
+A query's radius is its distance to the ``k``-th nearest vector of a bounded sample of the
+distinct vectors. The sample is part of the table, so the ``k``-th neighbour in all rows is
+never farther, whatever copies and dense places the table has. ``w`` is fitted on the same
+sample; every row is indexed. The number of projections follows the logarithm of the number
+of distinct vectors, so a bucket's size does not grow with the data. Queries whose radius
+takes in more buckets than ``most_buckets``, and those with fewer than ``k`` candidates
+found, are compared with all rows, in blocks. Many buckets make a group of bounded size, where a query meets the vectors of all
 its buckets there at once and keeps its ``k`` best; a bucket of many vectors is cut into
 slices that go to groups of their own.
 """
@@ -36,7 +39,7 @@ from contest_analytics.llm.common import saved, text_rows
 TABLES = 4
 #: Mass of a neighbour's likely places that a query visits in each table.
 SUCCESS = 0.6
-#: Rows that ``w`` and ``radius`` are fitted on.
+#: Distinct vectors that ``w`` is fitted on and that bound each query's radius.
 SAMPLE = 2000
 #: Rows a bucket should hold; rows of a group, and of a bucket's slice, about.
 BUCKET, SLICE = 64, 16_384
@@ -44,22 +47,38 @@ BUCKET, SLICE = 64, 16_384
 STRIDE = 7919
 #: Cells of one projection that hold most rows.
 CELLS = 2.5
+#: Radius, in cells, up to which the cells that :func:`probes` looks at hold nearly all of the mass.
+FARTHEST = 1.5
+#: Buckets that a query may visit in each table, at most, before the exact way is taken.
+VISITS = 65_536
 
 
 @dataclass
 class Index:
-    """Projections (tables x projections x dimensions), shifts, cell width and radius."""
+    """Projections (tables x projections x dimensions), shifts, cell width, and the sample
+    with its ids."""
 
     planes: np.ndarray
     shifts: np.ndarray
     width: float
-    radius: float
+    names: np.ndarray
+    sample: np.ndarray
 
     def cells(self, vectors: np.ndarray) -> np.ndarray:
         """Projections in units of a cell, (tables, rows, projections)."""
         at = np.einsum("tpd,nd->tnp", self.planes, vectors, optimize=True)
         return (at + self.shifts[:, None, :]) / self.width
 
+    def radii(self, names: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+        """Distances to the ``k``-th other vector of the sample; infinite if it has fewer."""
+        if len(self.sample) < k:
+            return np.full(len(vectors), np.inf)
+        norms = (vectors**2).sum(1)[:, None] + (self.sample**2).sum(1)[None]
+        # What rounding may have taken away comes back, so this stays an upper bound.
+        gaps = np.maximum(norms - 2 * vectors @ self.sample.T, 0) + 1e-12 * norms
+        gaps[names[:, None] == self.names[None]] = np.inf
+        return np.maximum(np.sqrt(np.partition(gaps, k - 1, axis=1)[:, k - 1]), 1e-9 * self.width)
+
 
 def clean(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """``vec_id`` and ``vec`` (doubles) of rows that take part; equal rows once."""
@@ -71,34 +90,41 @@ def clean(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     )
 
 
-def fit(vectors: DataFrame, rows: int, k: int, tables: int = TABLES, sample: int = SAMPLE, seed: int = 11) -> Index:
-    """Cell width and radius from the ``sample`` vectors with the smallest hash of the id."""
-    some = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()["vec"]
-    dims = max((len(v) for v in some), default=1)
-    data = np.array([v for v in some if len(v) == dims]).reshape(-1, dims)
+def fit(distinct: DataFrame, rows: int, tables: int = TABLES, sample: int = SAMPLE, seed: int = 11) -> Index:
+    """Cell width from the ``sample`` distinct vectors with the smallest hash of the id."""
+    some = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    dims = max((len(v) for v in some["vec"]), default=1)
+    some = some[[len(v) == dims for v in some["vec"]]]
+    data = np.array(some["vec"].tolist()).reshape(-1, dims)
     projections = int(np.clip(round(log(max(rows, 2) / BUCKET, CELLS)), 4, 24))
     rng = np.random.default_rng(seed)
     planes = rng.standard_normal((tables, projections, dims))
     spread = float(np.median(np.einsum("tpd,nd->tpn", planes, data).std(axis=2))) if len(data) > 1 else 1.0
     width = max(2.0 * spread, 1e-9)
-    # The k-th neighbour within the sample: in all rows it is nearer, so this errs to more probes.
-    probe = data[:200]
-    gaps = np.sqrt(np.maximum((probe**2).sum(1)[:, None] + (data**2).sum(1)[None] - 2 * probe @ data.T, 0))
-    radius = float(np.median(np.sort(gaps, axis=1)[:, min(k, len(data) - 1)])) if len(data) > 1 else width
     shifts = rng.uniform(0, width, (tables, projections))
-    return Index(planes, shifts, width, max(radius, 1e-9))
+    return Index(planes, shifts, width, some["vec_id"].to_numpy(), data)
+
+
+def most_buckets(rows: int) -> int:
+    """Buckets of a table beyond which a query is as well compared with all rows."""
+    return int(np.clip(rows // BUCKET, BUCKET, VISITS))
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
     return np.array([0.5 * (1 + erf(v / 2**0.5)) for v in x.ravel()]).reshape(x.shape)
 
 
-def probes(place: np.ndarray, reach: float, success: float = SUCCESS) -> list[tuple[int, ...]]:
+def probes(
+    place: np.ndarray, reach: float, success: float = SUCCESS, most: int | None = None
+) -> list[tuple[int, ...]] | None:
     """Cells to visit for one query in one table, likeliest first.
 
     ``place``: the query's projections in units of a cell; ``reach``: the radius in the
-    same unit. Stops once the visited cells' mass adds up to ``success``.
+    same unit. Stops once the visited cells' mass adds up to ``success``. None if that
+    takes more than ``most`` cells.
     """
+    if most is not None and not reach < FARTHEST:
+        return None
     span = int(min(4, ceil(3 * reach) + 1))
     home = np.floor(place).astype(np.int64)
     moves = np.arange(-span, span + 1)
@@ -109,6 +135,8 @@ def probes(place: np.ndarray, reach: float, success: float = SUCCESS) -> list[tu
     start = (0,) * len(place)
     heap, seen, found, total = [(float(cost[:, 0].sum()), start)], {start}, [], 0.0
     while heap and total < success:
+        if most is not None and len(found) == most:
+            return None
         at, picks = heapq.heappop(heap)
         total += np.exp(-at)
         found.append(tuple(int(home[i] + moves[order[i, p]]) for i, p in enumerate(picks)))
@@ -118,7 +146,7 @@ def probes(place: np.ndarray, reach: float, success: float = SUCCESS) -> list[tu
                 if later not in seen:
                     seen.add(later)
                     heapq.heappush(heap, (at + float(cost[i, p + 1] - cost[i, p]), later))
-    return found
+    return found if most is None or total >= success else None
 
 
 def _key(table: int, cell: tuple[int, ...]) -> int:
@@ -143,15 +171,27 @@ def _buckets(rows: DataFrame, index: Index) -> DataFrame:
     return rows.select("vec_id", "vec").mapInArrow(run, "key long, vec_id long, vec array<double>")
 
 
-def _visits(rows: DataFrame, index: Index, groups: int) -> DataFrame:
-    """``group``, ``vec_id``, ``vec``, ``keys``: the buckets that each query visits, by group."""
-    reach = index.radius / index.width
+def _visits(rows: DataFrame, index: Index, groups: int, most: int, k: int) -> DataFrame:
+    """``group``, ``vec_id``, ``vec``, ``keys``: the buckets that each query visits, by group.
+
+    Queries that would visit more than ``most`` buckets of a table have no rows.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, own, cells in _placed(batches, index):
             of, where, keys = [], [], []
+            asked = batch.take(own)
+            vectors = np.array(asked.column(1).to_pylist())
+            reach = index.radii(asked.column(0).to_numpy(), vectors, k) / index.width
             for n in range(len(own)):
-                visited = [_key(t, c) for t in range(len(cells)) for c in probes(cells[t, n], reach)]
+                found: list[list[tuple[int, ...]]] = []
+                for table in cells[:, n]:
+                    if (near := probes(table, float(reach[n]), most=most)) is None:
+                        break
+                    found.append(near)
+                if len(found) < len(cells):
+                    continue
+                visited = [_key(t, c) for t, near in enumerate(found) for c in near]
                 by_group: dict[int, list[int]] = {}
                 for key in visited:
                     by_group.setdefault(key % groups, []).append(key)
@@ -246,7 +286,7 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
 def _found(held: DataFrame, asked: DataFrame, index: Index, rows: int, k: int) -> DataFrame:
     """The best pairs of each query in each group of buckets."""
     groups = max(1, ceil(rows * len(index.planes) / SLICE))
-    filed, visits = _buckets(held, index), _visits(asked, index, groups)
+    filed, visits = _buckets(held, index), saved(_visits(asked, index, groups, most_buckets(rows), k))
     big = (
         filed.groupBy("key")
         .agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("long").alias("slices"))
@@ -305,18 +345,18 @@ def nearest(
     vectors = saved(clean(rows, id_col, vec_col).distinct())
     # Only the k + 1 smallest ids of equal vectors can be among the k nearest of any query.
     equal = W.partitionBy("vec").orderBy("vec_id")
-    held = vectors.withColumn("_n", F.row_number().over(equal)).filter(F.col("_n") <= k + 1).drop("_n")
+    numbered = saved(vectors.withColumn("_n", F.row_number().over(equal)).filter(F.col("_n") <= k + 1))
+    held, distinct = numbered.drop("_n"), numbered.filter("_n = 1").select("vec_id", "vec")
     asked = vectors.filter(queries)
-    total = vectors.count()
+    total = held.count()
     if not total:
         return asked.select(
             F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")
         ).limit(0)
-    index = fit(vectors, total, k, tables)
-    held = saved(held)
+    index = fit(distinct, total, tables)
     found = _found(held, asked, index, total, k)
     near = saved(_ranked(found, k))
-    # The exact way for queries that found too few: all rows of their length, in blocks.
+    # The exact way for queries that visited none or found too few: all rows of their length, in blocks.
     enough = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
     short = asked.join(enough.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
     some = saved(short)

@@ -121,3 +121,38 @@ def test_placement(spark, odd):
     for r in placed.select("slot", "shard", F.pmod(F.xxhash64("doc_id"), F.lit(307)).alias("want")).collect():
         assert r.slot == r.want and r.shard == shards[table[r.slot]]
     assert sharding.place(odd.limit(0), ["doc_id"], shards, 307).count() == 0
+
+
+def tight(kind, rows=6000, dims=32):
+    """Random vectors, 60% of them copies or near copies of a few."""
+    rng = np.random.default_rng(17)
+    data = rng.standard_normal((rows, dims))
+    groups, noise = {"two equal": (2, 0.0), "forty near": (40, 1e-3), "two near": (2, 1e-3)}[kind]
+    some = rng.permutation(rows)[: rows * 6 // 10]
+    data[some] = rng.standard_normal((groups, dims))[np.arange(len(some)) % groups]
+    data[some] += noise * rng.standard_normal((len(some), dims))
+    return data.astype(np.float32), set(some.tolist())
+
+
+@pytest.mark.parametrize("kind", ["two equal", "forty near", "two near"])
+def test_recall_outside_tight_groups(spark, kind):
+    data, some = tight(kind)
+    rows = [(i, v.tolist()) for i, v in enumerate(data)]
+    want, got = brute(rows), run(spark, rows)
+    assert set(got) == set(want)
+    for inside in (True, False):
+        asked = [q for q in want if (q in some) == inside]
+        hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in asked)
+        assert asked and hits >= 0.95 * sum(len(want[q]) for q in asked), (kind, inside, hits / len(asked))
+
+
+def test_the_radius_is_never_less_than_the_true_one():
+    data, _ = tight("forty near", 3000)
+    index = ann.Index(np.zeros((1, 4, 32)), np.zeros((1, 4)), 1.0, np.arange(0, 3000, 3), data[::3].astype(float))
+    names = np.arange(60)
+    far = np.sqrt(((data[:60, None].astype(float) - data[None]) ** 2).sum(axis=2))
+    far[names, names] = np.inf
+    assert (index.radii(names, data[:60].astype(float), 10) >= np.sort(far, axis=1)[:, 9]).all()
+    assert np.isinf(index.radii(names, data[:60].astype(float), 1001)).all()
+    assert ann.probes(np.zeros(8), 40.0, most=50) is None and ann.probes(np.zeros(8), 1.0, most=50) is None
+    assert len(ann.probes(np.zeros(8) + 0.5, 0.1, most=50)) == 1
