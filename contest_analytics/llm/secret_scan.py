@@ -50,7 +50,8 @@ WEAK_TOKEN = (
 ENDPOINT = (
     r"""(?:[a-z][a-z0-9+.:-]{1,20}://[^\s"'<>]+|(?:[a-z0-9-]+\.)+[a-z0-9-]+:[0-9]{2,5})"""
 )
-BREAK = r"\n+"
+#: Blank lines part paragraphs; a single line end does not.
+BREAK = r"\n\s*\n"
 
 #: Names in the order in which spans that start together are listed.
 KINDS = ["assign", "access", "hex", "weak_id", "weak_secret", "weak_token", "endpoint", "break"]

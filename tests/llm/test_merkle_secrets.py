@@ -116,3 +116,15 @@ def test_secret_odd_rows(odd):
     rows = secret_scan.scan(odd).collect()
     assert len(rows) == odd.count() and all(r.spans == "" for r in rows)
     assert secret_scan.scan(odd.limit(0)).count() == 0
+
+
+def test_parts_on_consecutive_lines_belong_together(docs_of):
+    lines = ["client_id=abc", "token=short1", "endpoint=https://host/"]
+    rows = [(1, "\n".join(lines)), (2, "\r\n".join(lines)), (3, "\n \t\n".join(lines)), (4, "\r\n\r\n".join(lines))]
+    docs = docs_of(rows)
+    got = {r.doc_id: r.spans for r in secret_scan.scan(docs).collect()}
+    assert got[1] == "weak_id:0:13,weak_secret:14:26,endpoint:36:49"
+    assert got[2] == "weak_id:0:13,weak_secret:15:27,endpoint:38:51"
+    assert got[3] == got[4] == ""
+    masked = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert masked[1] == "[SECRET]\n[SECRET]\nendpoint=[SECRET]" and masked[3] == rows[2][1]
