@@ -22,7 +22,7 @@ are cut into blocks, and each pair of blocks is a task of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -41,11 +41,11 @@ SEGMENTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 BLOCK = 2048
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """The 64-bit fingerprint of one text; zero for null and for a text without words."""
+def shingle_hashes(text: str | None, words: int = 4, seed: int = 42) -> np.ndarray:
+    """Hashes of all word shingles in order; none for null and for a text without words."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.empty(0, np.dtype(">u8"))
     joined = b" ".join(parts)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(sizes + 1) - 1
@@ -54,7 +54,15 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     n = len(parts) - k + 1
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.dtype(">u8"), n)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.dtype(">u8"), n)
+
+
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """The 64-bit fingerprint of one text; zero for null and for a text without words."""
+    hashes = shingle_hashes(text, words, seed)
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.zeros(BITS, np.int64)
     for at in range(0, n, 1 << 16):  # bounds the unpacked bits of a very long text
         part = hashes[at : at + (1 << 16)]
@@ -193,10 +201,12 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_links, "a long, b long").distinct()
 
 
-def _classes(prints: DataFrame, least: Column) -> DataFrame:
+def classes(
+    prints: DataFrame, least: Column, links_of: Callable[[DataFrame], DataFrame] = fingerprint_links
+) -> DataFrame:
     """``fp``, ``least``: the smallest value of ``least`` among the rows of its component."""
     distinct = saved(prints.groupBy("fp").agg(F.min(least).alias("own")))
-    roots = connected_components(fingerprint_links(distinct.select("fp")))
+    roots = connected_components(links_of(distinct.select("fp")))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     # Only linked fingerprints carry a root; the others are their own component.
     best = named.filter("root is not null").groupBy("root").agg(F.min("own").alias("best"))
@@ -216,8 +226,8 @@ def near_duplicates(
     (the name is null then); other columns are ignored; an empty table gives no rows.
     """
     prints = saved(fingerprints(docs, id_col, text_col, words, seed).select("doc_id", "fp"))
-    classes = _classes(prints, F.col("doc_id"))
-    return prints.join(classes, "fp").select(
+    least = classes(prints, F.col("doc_id"))
+    return prints.join(least, "fp").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("least").alias("component_id"),
@@ -236,5 +246,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keyed = docs.withColumn(key, F.sha2(F.concat_ws(":", name, text), 256))
     prints = saved(fingerprints(keyed, id_col, text_col, extra=key))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col(key).alias("key"))
-    stay = _classes(prints, order).select(F.col("least.key").alias(key)).distinct()
+    stay = classes(prints, order).select(F.col("least.key").alias(key)).distinct()
     return keyed.join(stay, key).dropDuplicates([key]).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline as pipeline
-from contest_analytics.llm import queries, simhash
+from contest_analytics.llm import queries, simhash, similar
 
 
 def test_stages_and_names():
@@ -42,3 +42,44 @@ def test_copies_leave_one(spark, docs_of):
     rows = [(10 * n + c, t) for n, t in enumerate(texts) for c in range(1 + n)]
     kept = pipeline.drop_near_duplicates(spark, docs_of(rows), "")
     assert sorted(r.doc_id for r in kept.collect()) == [0, 10, 20, 30, 40, 50]
+
+
+def test_near_copies_by_five_word_similarity(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 3)
+    rng = random.Random(4)
+
+    def sets(text):
+        words = text.lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(40, 200))]
+        for n in range(6):  # up to five words changed, spread out
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), n):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    found = [sets(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(found):
+        for j in range(i):
+            if len(a & found[j]) >= 0.8 * len(a | found[j]):
+                low, high = sorted((root(i), root(j)))
+                parent[high] = low
+    want = sorted({root(i) for i in range(len(texts))})
+    kept = pipeline.drop_near_duplicates(spark, docs_of(list(enumerate(texts))), "")
+    assert sorted(r.doc_id for r in kept.collect()) == want and 25 < len(want) < 150
+
+
+def test_near_copies_of_odd_rows(spark, odd):
+    kept = pipeline.drop_near_duplicates(spark, odd, "")
+    assert kept.columns == odd.columns
+    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 4, 5, 6, 7]
+    assert pipeline.drop_near_duplicates(spark, odd.limit(0), "").count() == 0
