@@ -308,21 +308,24 @@ def cap_weights(
     facts = facts.withColumn(
         "_mode", F.when(F.col("_cut") < 0, "uniform").otherwise(F.col("_mode"))
     )
-    facts = facts.withColumn(
-        "_capped_total",
-        F.when(
-            F.col("_mode") == "cut",
-            F.col("_total") * below + F.col("_k") * F.col("_cut"),
-        ).otherwise(F.col("_total")),
-    ).select(*partition, "_mode", "_cut", "_n", "_capped_total")
-    joined = lookup(df, facts, partition)
+    joined = lookup(df, facts.select(*partition, "_mode", "_cut", "_n", "_total"), partition)
+    # What is left after the cut: the cutoff may lie below entries that are not among the k.
     capped = F.when(F.col("_mode") == "cut", F.least(F.col(w), F.col("_cut"))).otherwise(F.col(w))
-    return joined.withColumn(
-        "share",
-        F.when(F.col("_mode") == "uniform", 1.0 / F.col("_n")).otherwise(
-            F.try_divide(capped, F.col("_capped_total"))
-        ),
-    ).drop("_mode", "_cut", "_n", "_capped_total")
+    left = (
+        joined.filter(F.col("_mode") == "cut")
+        .groupBy(*partition)
+        .agg(F.sum(F.least(F.col(w), F.col("_cut"))).alias("_left"))
+    )
+    return (
+        lookup(joined, left, partition)
+        .withColumn(
+            "share",
+            F.when(F.col("_mode") == "uniform", 1.0 / F.col("_n")).otherwise(
+                F.try_divide(capped, F.coalesce("_left", "_total"))
+            ),
+        )
+        .drop("_mode", "_cut", "_n", "_total", "_left")
+    )
 
 
 def reserve_share(

@@ -7,7 +7,7 @@ import random
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -221,20 +221,28 @@ def test_too_few_pairs(spark):
         assert pf.require_pairs(spark.range(20)) == 20
 
 
-def capped(w, limit):
-    """The level c that leaves c = limit * sum(min(w, c)), by bisection."""
-    if sum(w) == 0 or len(w) * limit <= 1 or np.count_nonzero(w) * limit < 1:
+def capped(w, limit, eps=1e-7):
+    """Entries below the limit once all above them are lifted down to them set the cutoff."""
+    total = sum(w)
+    if total == 0 or len(w) * limit <= 1:
         return [1 / len(w)] * len(w)
-    if max(w) / sum(w) <= limit:
-        return [x / sum(w) for x in w]
-    low, high = 0.0, max(w)
-    for _ in range(200):
-        c = (low + high) / 2
-        low, high = (c, high) if c < limit * sum(min(x, c) for x in w) else (low, c)
-    return [min(x, high) / sum(min(y, high) for y in w) for x in w]
+    if max(w) / total <= limit:
+        return [x / total for x in w]
+    shares = [x / total for x in w]
+    lifted = {e: sum(min(e, x) for x in shares) + eps for e in shares}
+    below = [e for e in shares if e / lifted[e] < limit]
+    cut = total * (limit * sum(below) - eps) / (1 - limit * (len(w) - len(below)))
+    if cut < 0:
+        return [1 / len(w)] * len(w)
+    return [min(x, cut) / sum(min(y, cut) for y in w) for x in w]
+
+
+UNDER_CUT = [99.0, 8.147, 15.082, 22.785, 27.738, 27.055, 70.841, 96.078, 0.0, 1.0, 1.0]
 
 
 @settings(max_examples=6, deadline=None)
+@example([UNDER_CUT], 0.1)
+@example([[76.0 if x == 0 else x for x in UNDER_CUT]], 0.1)
 @given(
     st.lists(
         st.lists(st.floats(0, 100).map(lambda x: round(x, 3)), min_size=1, max_size=30),
@@ -253,7 +261,7 @@ def test_caps(spark, groups, limit):
         if len(ws) * limit > 1 and sum(ws) > 0 and np.count_nonzero(ws) * limit > 1:
             assert max(mine) <= limit + 1e-5
         if abs(np.count_nonzero(ws) * limit - 1) > 1e-9:
-            assert mine == pytest.approx(capped(ws, limit), abs=1e-5)
+            assert mine == pytest.approx(capped(ws, limit), abs=1e-8)
 
 
 def test_cap_when_nothing_is_below(spark):
