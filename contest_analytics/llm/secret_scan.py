@@ -47,8 +47,11 @@ WEAK_TOKEN = (
     r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=-]{0,64}[0-9])(?=[a-z0-9+/_=-]{0,64}[A-Z])"
     r"(?=[A-Z0-9+/_=-]{0,64}[a-z])[A-Za-z0-9+/_=-]{20,}"
 )
+#: A host with a port starts where no host letter stands before it, has a dot and at most 254 letters.
+#: Its repeat gives nothing back, so a run of any length is read once.
 ENDPOINT = (
-    r"""(?:[a-z][a-z0-9+.:-]{1,20}://[^\s"'<>]+|(?:[a-z0-9-]+\.)+[a-z0-9-]+:[0-9]{2,5})"""
+    r"""(?:[a-z][a-z0-9+.:-]{1,20}://[^\s"'<>]+"""
+    r"""|(?<![a-z0-9.-])(?=[a-z0-9-]{1,253}+\.[a-z0-9-])[a-z0-9][a-z0-9.-]{1,253}+:[0-9]{2,5})"""
 )
 #: Blank lines part paragraphs; a single line end does not.
 BREAK = r"\n\s*\n"
@@ -57,6 +60,8 @@ BREAK = r"\n\s*\n"
 KINDS = ["assign", "access", "hex", "weak_id", "weak_secret", "weak_token", "endpoint", "break"]
 REACH = 400
 MASK = "[SECRET]"
+#: Code points of a block that pieces of a text are cut from.
+STEP = 1024
 
 
 def _found(text: Column, pattern: str, kind: str) -> Column:
@@ -109,11 +114,10 @@ def _is(*kinds: str) -> Column:
     return F.col("kind").isin([KINDS.index(k) for k in kinds])
 
 
-def spans(docs: DataFrame, keep: list[str], text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """``docs``' columns ``keep`` and ``spans``: structs (start, kind, end), sorted.
+def _reported(docs: DataFrame, keep: list[str], text_col: str, reach: int) -> DataFrame:
+    """The candidates of every row (``_row``), one row each, and whether they are ``reported``.
 
-    One row per input row. Positions are code points from 0, ends exclusive; ``kind`` is a
-    place in ``KINDS``.
+    A row without candidates has one row without a place.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # Numbered before the rows multiply.
@@ -140,14 +144,44 @@ def spans(docs: DataFrame, keep: list[str], text_col: str = "text", reach: int =
     reported = F.col("size").isNotNull() & (
         _is("assign", "access", "hex") | (F.col("linked") & ~_is("break"))
     )
-    span = F.when(reported, F.struct("start", "kind", "end"))
+    return linked.withColumn("reported", F.coalesce(reported, F.lit(False)))
+
+
+def spans(docs: DataFrame, keep: list[str], text_col: str = "text", reach: int = REACH) -> DataFrame:
+    """``docs``' columns ``keep`` and ``spans``: structs (start, kind, end), sorted.
+
+    One row per input row. Positions are code points from 0, ends exclusive; ``kind`` is a
+    place in ``KINDS``.
+    """
+    span = F.when(F.col("reported"), F.struct("start", "kind", "end"))
     return (
-        linked.groupBy("_row")
+        _reported(docs, keep, text_col, reach)
+        .groupBy("_row")
         .agg(*[F.first(c).alias(c) for c in keep], F.array_sort(F.collect_list(span)).alias("spans"))
         .select(*keep, "spans")
     )
 
 
+def _uncovered(docs: DataFrame, keep: list[str], text_col: str, reach: int = REACH) -> DataFrame:
+    """``keep``, ``pieces`` and ``tail`` of rows with spans: what lies before each covered stretch
+    (structs ``to``, ``from``, sorted) and where the last stretch ends."""
+    line = W.partitionBy("_row").orderBy("start", "kind").rowsBetween(W.unboundedPreceding, -1)
+    before = F.max(F.when(F.col("reported"), F.col("end"))).over(line)
+    rows = _reported(docs, keep, text_col, reach).withColumn("before", F.coalesce(before, F.lit(0)))
+    fresh = F.col("reported") & (F.col("start") >= F.col("before"))
+    piece = F.when(fresh, F.struct(F.col("start").alias("to"), F.col("before").alias("from")))
+    return (
+        rows.filter("reported")
+        .groupBy("_row")
+        .agg(
+            *[F.first(c).alias(c) for c in keep],
+            F.array_sort(F.collect_list(piece)).alias("pieces"),
+            F.max("end").alias("tail"),
+        )
+        .drop("_row")
+    )
+
+
 def listed(found: Column) -> Column:
     """``kind:start:end`` of each span, joined by commas."""
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -177,44 +211,50 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     )
 
 
-def _masked(text: Column, found: Column) -> Column:
-    """``text`` with every stretch that spans cover replaced by ``MASK``."""
-    stretch = "array<struct<start:bigint,end:bigint>>"
-
-    def join(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        fresh = F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"))
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"].cast("long")).alias("end"))
-        overlaps = (F.size(done) > 0) & (s["start"] < last["end"])
-        return F.when(
-            overlaps, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))
-        ).otherwise(F.concat(done, F.array(fresh)))
-
-    merged = F.aggregate(found, F.array().cast(stretch), join)
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(merged, lambda s: s["end"]))
-    starts = F.concat(F.transform(merged, lambda s: s["start"]), F.array(F.length(text).cast("long")))
-    pieces = F.transform(
-        F.arrays_zip(ends.alias("a"), starts.alias("b")),
-        lambda g: F.substring(text, (g["a"] + 1).cast("int"), (g["b"] - g["a"]).cast("int")),
-    )
-    return F.array_join(pieces, MASK)
+def _masked(text: Column, blocks: Column, pieces: Column, tail: Column) -> Column:
+    """The uncovered pieces of ``text``, joined by ``MASK``.
+
+    Positions count code points, which a string only finds from its start; so a piece is cut
+    out of ``blocks``, the text's stretches of ``STEP`` code points.
+    """
+
+    def block(i: Column) -> Column:
+        return F.coalesce(F.get(blocks, i), F.lit(""))
+
+    def cut(start: Column, end: Column) -> Column:
+        first, last = F.floor(start / STEP).cast("int"), F.floor(end / STEP).cast("int")
+        at, stop = (start % STEP).cast("int"), (end % STEP).cast("int")
+        inner = F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0)))
+        return F.when(first == last, F.substring(block(first), at + 1, stop - at)).otherwise(
+            F.concat(F.substring(block(first), at + 1, F.lit(STEP)), F.array_join(inner, ""), F.substring(block(last), F.lit(1), stop))
+        )
+
+    kept = F.transform(pieces, lambda p: cut(p["from"], p["to"]))
+    return F.array_join(F.concat(kept, F.array(cut(tail, F.length(text)))), MASK)
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its secrets masked and ``n_chars``, if there, recounted.
 
-    Rows without any candidate pass unchanged and are not shuffled. Null texts stay null.
+    Defined cases: rows without any candidate pass unchanged and are not shuffled; null texts
+    stay null; rows of any id, null or repeated, are masked alike and stay; columns of any
+    other name stay as they are; an empty table gives no rows. Stretches that touch have a
+    mask each, those that overlap share one.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     may = text.rlike(LONG_HEX) | text.rlike(LONG_ACCESS) | text.rlike(ASSIGN) | text.rlike(WEAK_ID)
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     # Equal ids and texts have equal spans, so this key serves repeated rows too.
-    key, held = free_name(docs, "_key"), free_name(docs, "_spans")
+    key, held, tail, blocks = (free_name(docs, n) for n in ("_key", "_pieces", "_tail", "_blocks"))
     keyed = docs.filter(may).withColumn(key, F.sha2(F.concat_ws(":", name, text), 256))
     once = keyed.select(F.col(key).alias("_key"), F.col(text_col).alias("text")).dropDuplicates(["_key"])
-    found = spans(once, ["_key"]).filter(F.size("spans") > 0).toDF(key, held)
-    clean = F.when(F.col(held).isNull(), F.col(text_col)).otherwise(_masked(F.col(text_col), F.col(held)))
-    masked = keyed.join(found, key, "left").withColumn(text_col, clean).drop(key, held)
+    found = _uncovered(once, ["_key"], "text").toDF(key, held, tail)
+    cut = F.when(F.col(held).isNotNull(), F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % STEP), F.lit(0)))
+    masked = keyed.join(found, key, "left").withColumn(blocks, cut)
+    clean = F.when(F.col(held).isNull(), F.col(text_col)).otherwise(
+        _masked(F.col(text_col), F.col(blocks), F.col(held), F.col(tail))
+    )
+    masked = masked.withColumn(text_col, clean)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         masked = masked.withColumn("n_chars", F.length(text_col).cast(kind))

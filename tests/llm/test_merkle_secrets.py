@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -128,3 +129,47 @@ def test_parts_on_consecutive_lines_belong_together(docs_of):
     assert got[3] == got[4] == ""
     masked = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
     assert masked[1] == "[SECRET]\n[SECRET]\nendpoint=[SECRET]" and masked[3] == rows[2][1]
+
+
+LONG = {
+    "dotted": "a." * 500_000,
+    "letters": "a" * 1_000_000,
+    "hex": "0123456789abcdef" * 62_500,
+    "base64": "QUJDZGVmZ2hp0/+" * 66_000,
+    "dashes": "a-" * 500_000,
+    "blank": "\n" + " " * 1_000_000,
+    "names": "user=abc " * 110_000,
+    "short secrets": "token=abcdef12345678 " * 48_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_very_long_texts(docs_of, name):
+    text = "user=bob " + LONG[name] + " tokEn: abc123 http://h.example/x"
+    docs = docs_of([(1, text)])
+    start = time.monotonic()
+    found = secret_scan.scan(docs).first()
+    masked = secret_scan.redact(docs).first()
+    assert time.monotonic() - start < 20  # two jobs and their planning; a quadratic pattern takes minutes
+    assert [found.n_assign, found.n_access, found.n_hex] == [
+        sum(s[1] == k for s in brute_spans(text)) for k in range(3)
+    ]
+    assert ("weak_secret" in found.spans) == (name == "names") == ("tokEn" not in masked.text)
+
+
+def test_masks_cover_what_is_reported(spark, docs_of):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    packed = " ".join(f"user=bob{n} token=é{'x' * (n % 40)} pass {'secret: abcdefghijkl' * (n % 3)} http://h{n}.example" for n in range(300))
+    rows = docs.select("doc_id", "text").unionByName(docs_of([(-1, packed), (-2, packed[::-1])]).select("doc_id", "text"))
+    text = {r.doc_id: r.text for r in rows.collect()}
+    found = {r.doc_id: r.spans for r in secret_scan.scan(rows).collect()}
+    masked = {r.doc_id: r.text for r in secret_scan.redact(rows).collect()}
+    assert set(masked) == set(text) and sum(masked[i] != text[i] for i in text) > 20
+    for i, whole in text.items():
+        out, at = "", 0
+        for span in filter(None, found[i].split(",")):
+            start, end = map(int, span.split(":")[1:])
+            if start >= at:
+                out += whole[at:start] + secret_scan.MASK
+            at = max(at, end)
+        assert masked[i] == out + whole[at:], i
