@@ -33,8 +33,10 @@ SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
 #: Odd multipliers of the hashes, modulo 2**32.
 _P, _K, _M = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 _TOP, _HALF = np.uint32(32 - BITS), np.uint32(15)
-#: Slices of a class while its sample is drawn.
-SLICES = 64
+#: Bits of a hash by which the rows of a class are counted while its sample is drawn.
+SLICE_BITS = 12
+#: Most bytes of features that come to the driver.
+BYTES = 192 << 20
 #: Rows of the features of repeated words, and their weight.
 REPEATS = [zlib.crc32(name) & (BUCKETS - 1) for name in (b"same", b"again")]
 REPEAT_WEIGHT = 4
@@ -127,17 +129,23 @@ def counts(text: str | None, lower: bool, repeats: bool) -> tuple[np.ndarray, np
 
 
 def sample(rows: DataFrame, label: str, per_class: int, classes: int, id_col: str = "doc_id") -> DataFrame:
-    """``id_col`` and ``label`` of at most ``per_class`` rows of a class and ``classes`` classes.
+    """``id_col`` and ``label`` of at most ``per_class * classes`` rows, shared out among the classes.
 
-    A class's rows are those with the smallest hash of the id: the same for the same data.
+    Up to ``classes`` classes have ``per_class`` rows each, more classes have fewer. A class's
+    rows are those with the smallest hash of the id: the same for the same data. A count of
+    hashes by their highest bits tells up to where rows are needed, so only these are shuffled.
     """
+    bound = per_class * classes
     mark = F.xxhash64(id_col)
-    order = [mark, F.col(id_col)]
-    # A class may hold nearly all rows: first the best of each of its slices, then of these.
-    slices = W.partitionBy(label, F.pmod(mark, F.lit(SLICES))).orderBy(*order)
-    few = rows.select(id_col, label, F.row_number().over(slices).alias("_n")).filter(F.col("_n") <= per_class)
-    ranked = few.withColumn("_n", F.row_number().over(W.partitionBy(label).orderBy(*order)))
-    return ranked.filter(F.col("_n") <= per_class).orderBy("_n", label).limit(per_class * classes).drop("_n")
+    marked = rows.select(id_col, label, F.shiftright(mark, 64 - SLICE_BITS).alias("_slice"))
+    held = marked.groupBy(label, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(label).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1))
+    needed = held.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < per_class)
+    # One row for each class, of which no more than ``bound`` can have a share.
+    last = needed.groupBy(label).agg(F.max("_slice").alias("_last")).orderBy(label).limit(bound)
+    few = marked.join(F.broadcast(last), label).filter(F.col("_slice") <= F.col("_last")).select(id_col, label)
+    ranked = few.withColumn("_n", F.row_number().over(W.partitionBy(label).orderBy(mark, F.col(id_col))))
+    return ranked.filter(F.col("_n") <= per_class).orderBy("_n", label).limit(bound).drop("_n")
 
 
 def featurized(
@@ -150,7 +158,7 @@ def featurized(
     lower: bool,
     repeats: bool,
 ) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(label, rows, counts) of the chosen documents, at most ``bound`` of them."""
+    """(label, rows, counts) of the chosen documents: at most ``bound`` of them, and ``BYTES`` bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_rows(batches):
@@ -163,8 +171,9 @@ def featurized(
     hashed = named.select(F.col(label).cast("string").alias("label"), "_text", F.xxhash64(id_col, "_text").alias("_h"))
     # Ids may repeat; the bound holds all the same.
     packed = hashed.mapInArrow(_with_rest(run), "label string, packed binary, h long").orderBy("h").limit(bound)
+    so_far = F.sum(F.length("packed")).over(W.orderBy("h").rowsBetween(W.unboundedPreceding, 0))
     out = []
-    for row in packed.collect():
+    for row in packed.withColumn("_bytes", so_far).filter(F.col("_bytes") <= BYTES).drop("_bytes").collect():
         n = len(row["packed"]) // 6
         at = np.frombuffer(row["packed"], "<u2", n).astype(np.int64)
         out.append((row["label"], at, np.frombuffer(row["packed"], "<f4", n, 2 * n)))

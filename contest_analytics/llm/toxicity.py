@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: *patterns* (a beginning that words share) and *lexicons* (word
-lists); the annotated label is one voter more. A generative model of the votes
+Many voters look at a text: *patterns* (a beginning that words share, an n-gram of a script
+without spaces) and *lexicons* (word lists); the annotated label is one voter more. A generative model of the votes
 estimates how often each voter fires on toxic and on clean texts, by expectation
 maximisation, and how strongly voters correlate within a class; a voter that repeats
 others counts less. Its posterior labels train a linear classifier over words and word
@@ -14,6 +14,7 @@ clean documents hold. Everything that is fitted uses a bounded sample of labelle
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -43,16 +44,31 @@ CORRELATED = 0.2
 TRUST = 0.98
 #: Longest word whose pieces are remembered, and how many words.
 LONGEST, CACHE = 64, 400_000
-#: What surrounds a word but is no part of it.
-EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~¡¿«»“”‘’„…–—"
+#: Lengths of the n-grams of scripts that are written without spaces.
+GRAMS = (2, 3)
+# The blocks of scripts without spaces (Thai, Lao, Myanmar, Khmer, kana, Han).
+SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+#: Stretches of one kind: of such a script, or of letters and digits.
+RUN = re.compile(f"[{SPACELESS}]+|[^\\W_{SPACELESS}]+")
+LETTERS = re.compile(r"[^\W\d_]+")
+SPACELESS_LETTER = re.compile(f"[{SPACELESS}]")
 
 
 def pieces(word: str) -> list[str]:
-    """The word and its beginnings; ``=`` marks a whole word."""
-    word = word.lower().strip(EDGES)
-    if not word:
-        return []
-    return ["=" + word[:LONGEST]] + [word[:n] for n in BEGINNINGS if len(word) >= n]
+    """Pieces of all stretches of letters and digits of a word, wherever they stand in it.
+
+    A stretch gives itself (``=`` marks a whole one) and its beginnings, and one with digits
+    those of its letters as well. A stretch of a script without spaces gives its n-grams (``~``).
+    """
+    found: list[str] = []
+    for run in RUN.findall(word.lower()):
+        if SPACELESS_LETTER.match(run):
+            found += ["~" + run[i : i + n] for n in GRAMS for i in range(len(run) - n + 1)]
+            continue
+        parts = [run] if run.isalpha() else [run, *LETTERS.findall(run)]
+        for part in parts:
+            found += ["=" + part, *(part[:n] for n in BEGINNINGS if len(part) >= n)]
+    return found
 
 
 def document_pieces(text: str | None) -> set[str]:

@@ -113,3 +113,38 @@ def test_label_model_finds_good_and_repeated_voters():
     assert np.mean((posterior > 0.5) == truth) > np.mean(noisy == truth)
     assert found["weights"][0] < 0.5 < found["weights"][3]
     assert found["rates"][1, 0] > 0.7 > 0.1 > found["rates"][0, 0]
+
+
+def test_toxic_words_count_wherever_they_stand():
+    held = [{"=idiot", "idio", "idiot"}] * 40 + [{"=fine", "fine"}] * 40
+    held += [toxicity.document_pieces("好坏人啊")] * 40 + [toxicity.document_pieces("今天天气")] * 40
+    model = toxicity.fit_rows(held, np.array(([1] * 40 + [0] * 40) * 2), 0.5)
+    texts = ["you idiot", "you x/idiot", "you foo...idiot", "好idiot", "you " + "-".join(["ab"] * 60) + "-idiot", "an IDIOT9"]
+    bad = list(model.score_all(texts))
+    assert min(bad) > 0.9 and max(bad) - min(bad) < 0.05
+    clean, other, hidden = model.score_all(["you fine fellow", "今天天气", "天天" * 200 + "好坏人啊" + "天" * 50])
+    assert max(clean, other) < 0.5 < hidden
+
+
+def test_sample_is_the_smallest_hashes_of_each_class(spark):
+    rows = spark.range(20_000).selectExpr("id as doc_id", "if(id % 50 = 0, 'b', if(id < 7, 'c', 'a')) as y")
+    got = {tuple(r) for r in subword.sample(rows, "y", 40, 3).select("y", "doc_id").collect()}
+    every = rows.selectExpr("y", "doc_id", "xxhash64(doc_id) as h").collect()
+    want = set()
+    for y in "abc":
+        want |= {(y, r.doc_id) for r in sorted((r for r in every if r.y == y), key=lambda r: (r.h, r.doc_id))[:40]}
+    assert got == want
+    many = rows.selectExpr("doc_id", "cast(doc_id % 500 as string) as y")
+    assert subword.sample(many, "y", 40, 3).count() == 120
+    # Rows beyond the needed ones stay where they are.
+    plan = subword.sample(rows, "y", 40, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "_slice" in plan
+
+
+def test_features_at_the_driver_are_bounded_in_bytes(spark, docs_of, monkeypatch):
+    docs = docs_of([(n, f"words {n} of a text {'x' * n}") for n in range(60)])
+    chosen = docs.selectExpr("doc_id", "'a' as y")
+    whole = subword.featurized(docs, chosen, "y", 100, "doc_id", "text", True, False)
+    monkeypatch.setattr(subword, "BYTES", sum(6 * len(at) for _, at, _ in whole) // 2)
+    part = subword.featurized(docs, chosen, "y", 100, "doc_id", "text", True, False)
+    assert len(whole) == 60 and 0.4 * 60 < len(part) < 0.6 * 60
