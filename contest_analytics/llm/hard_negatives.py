@@ -144,21 +144,28 @@ def _lists(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def clean(rows: DataFrame, label: Column, id_col: str, vec_col: str) -> DataFrame:
-    """``vec_id``, ``label`` (text) and ``vec`` (integers) of the rows that take part, one for each id."""
-    fine = (
-        rows.select(F.col(id_col).cast("long").alias("vec_id"), label.cast("string").alias("label"), scaled(F.col(vec_col)).alias("vec"))
-        .filter("vec_id is not null and label is not null and vec is not null")
-    )
-    return fine.groupBy("vec_id").agg(F.min(F.struct("label", "vec")).alias("r")).select("vec_id", "r.label", "r.vec")
+    """``vec_id``, ``label`` (text) and ``vec`` (integers) of the rows that take part."""
+    return rows.select(
+        F.col(id_col).cast("long").alias("vec_id"), label.cast("string").alias("label"), scaled(F.col(vec_col)).alias("vec")
+    ).filter("vec_id is not null and label is not null and vec is not null")
+
+
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """Of the rows that share an id the one with the smallest label, then vector."""
+    return rows.groupBy("vec_id").agg(F.min(F.struct("label", "vec")).alias("r")).select("vec_id", "r.label", "r.vec")
 
 
 def frame(rows: DataFrame, sample: int = SAMPLE, references: int = REFERENCES) -> Frame:
+    """Directions and thresholds' sample from :func:`clean` rows, before equal ids are merged."""
     width = max(1, rows.agg(F.max(F.size("vec"))).first()[0] or 0)
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
+    first_rows = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "label", "vec").limit(sample + 1).toArrow()
+    names = np.asarray(_flat(first_rows, "vec_id").to_numpy())
+    # The first row of an id is the one that stays; every id of the sample is whole or at its start.
+    kept = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])[:sample] if len(names) else np.empty(0, np.int64)
+    some = first_rows.take(pa.array(kept))
     vectors = _matrix(_flat(some, "vec"), width)
-    names = np.asarray(_flat(some, "vec_id").to_numpy())
     labels = np.array(_flat(some, "label").to_pylist(), object)
-    return Frame(width, directions(vectors, references), names, labels, vectors)
+    return Frame(width, directions(vectors, references), names[kept], labels, vectors)
 
 
 def placed(rows: DataFrame, known: Frame) -> DataFrame:
@@ -404,7 +411,7 @@ def mine(
     """
     fine = clean(rows, label, id_col, vec_col)
     known = frame(fine)
-    held = saved(placed(fine, known))
+    held = saved(placed(one_of_each(fine), known))
     areas = zones(held, known)
     chosen = held.filter(anchors)
     blocks = max(1, ceil(chosen.count() / BLOCK))

@@ -378,7 +378,8 @@ def compress(
     ).filter("vec is not null")
     kept = saved(slim)
     book = fit(kept, parts, entries, rounds)
-    coded = label_errors(encode(kept, book)) if book.size else kept.selectExpr(
+    # Codes are read twice, for the totals and for the rows.
+    coded = label_errors(saved(encode(kept, book))) if book.size else kept.selectExpr(
         "vec_id", "label", "'' as code", "0L as error", "0L as label_error"
     )
     return coded.select("vec_id", "code", "error", "label_error", F.lit(digest(book)).alias("codebooks_sha256"))
