@@ -39,6 +39,8 @@ BITS, REACH = 64, 4
 SEGMENTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 #: Fingerprints of one key that are compared in one go.
 BLOCK = 2048
+#: Copies of each component's smallest value, so that a large component is joined by many tasks.
+SALTS = 32
 
 
 def shingle_hashes(text: str | None, words: int = 4, seed: int = 42) -> np.ndarray:
@@ -207,10 +209,13 @@ def classes(
     """``fp``, ``least``: the smallest value of ``least`` among the rows of its component."""
     distinct = saved(prints.groupBy("fp").agg(F.min(least).alias("own")))
     roots = connected_components(links_of(distinct.select("fp")))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    # Only linked fingerprints carry a root; the others are their own component.
-    best = named.filter("root is not null").groupBy("root").agg(F.min("own").alias("best"))
-    return named.join(best, "root", "left").select("fp", F.coalesce("best", "own").alias("least"))
+    named = saved(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left"))
+    # Fingerprints without a link are their own component and need no more work.
+    alone = named.filter("root is null").select("fp", F.col("own").alias("least"))
+    linked = named.filter("root is not null").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    best = linked.groupBy("root").agg(F.min("own").alias("least"))
+    copies = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return alone.unionByName(linked.join(copies, ["root", "salt"]).select("fp", "least"))
 
 
 def near_duplicates(
