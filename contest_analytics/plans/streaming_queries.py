@@ -17,7 +17,7 @@ from contest_analytics.plans.leaderboard_queries import EMA_SQL
 from contest_analytics.plans.preference_queries import VOTE
 from contest_analytics.plans.registry import ORACLES, query
 from contest_analytics.sources.snapshots import read_snapshot
-from contest_analytics.streaming import sinks, stateful, windows
+from contest_analytics.streaming import annotations, sinks, stateful, windows
 
 
 def stream(spark, d, name):
@@ -137,6 +137,49 @@ def _(spark, d):
     return out.withColumn("reliability", rounded("reliability"))
 
 
+#: A task of the annotators lasts a day: 40 pairs for each.
+DAILY_VOTES = "select * replace (ts // 86400000000 * 40 + pair % 40 as pair) from v_votes"
+
+
+@query(
+    "stream_annotations",
+    oracle(
+        """select annotator, round(list_reduce(list_prepend(1e0, list(case when agreed then 1e-1 else 0e0 end order by ts, event_id)),
+        lambda r, g: greatest(g + 9e-1 * r, 1e-1)), 6) as reliability, count(*) as votes from h_agree group by annotator""",
+        h_agree="""select v.*, v.choice = r.winner as agreed from h_daily v join (
+          select pair, case when avg(case when choice = 'a' then 1e0 else 0e0 end) > 0.6::double then 'a'
+            when avg(case when choice = 'b' then 1e0 else 0e0 end) > 0.6::double then 'b' end as winner
+          from h_daily group by pair) r using (pair) where r.winner is not null""",
+        h_daily=DAILY_VOTES,
+    ),
+)
+def _(spark, d):
+    """Pairs close two days after their last vote, so most are settled before the stream ends."""
+    stateful.use_rocksdb(spark)
+    v = view(spark, d, "v_votes")
+    daily = v.withColumn("pair", F.floor(F.col("ts") / 86_400_000_000) * 40 + F.col("pair") % 40)
+    votes = sinks.feed(daily, "ts", 5)
+    out = annotations.stream_annotations(votes, keep=2 * 86_400, delay="8 days")
+    last = sinks.drain(out, mode="append", keys=["annotator"]).filter("votes > 0")
+    return last.select("annotator", rounded("reliability").alias("reliability"), "votes")
+
+
+@query(
+    "publish_snapshots_gap",
+    ORACLES["publish_snapshots"].replace("select contributor, rank,", "select 4 as published_at, contributor, rank,"),
+)
+def _(spark, d):
+    """Five batches at times 0 to 4, versions two apart: the last one holds what waited."""
+    stateful.use_rocksdb(spark)
+    v = view(spark, d, "v_scores").select("contributor", "micros", "event_id", "raw", F.lit("same").alias("hotkey"))
+    path = sinks.scratch(spark, "snapshots")
+    board = stateful.stream_leaderboard(sinks.feed(v, "micros", 5))
+    sinks.publish_snapshots(
+        board, path, sinks.scratch(spark, "publish"), gap=2, clock=lambda batch: batch
+    ).awaitTermination()
+    return read_snapshot(spark, path).select("published_at", "contributor", "rank", "tier", "rounds", "ema")
+
+
 # --- hooks ------------------------------------------------------------------
 
 

@@ -21,6 +21,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def feed(df: DataFrame, time_col: str, slices: int, files: int = 8) -> DataFrame:
+    """``df`` as a stream of ``slices`` micro-batches of equal spans of time, oldest first.
+
+    For replays of a table: each slice is written to the shared folder after the one before, in
+    ``files`` files, which is what one trigger reads.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "feed")
+    low, high = df.agg(F.min(time_col), F.max(time_col)).first()
+    step = ((high or 0) - (low or 0)) // slices + 1
+    for n in range(slices):
+        start = (low or 0) + n * step
+        part = df.filter((F.col(time_col) >= start) & (F.col(time_col) < start + step))
+        part.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def drain(stream: DataFrame, mode: str = "update", keys: list[str] | None = None) -> DataFrame:
     """Process everything available into a table; with ``keys``, its last row per key.
 

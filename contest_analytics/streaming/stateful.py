@@ -31,6 +31,22 @@ def in_order(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable")
 
 
+def clipped_fold(start: float, gains: np.ndarray, keep: float, low: float = -np.inf) -> float:
+    """Applies r -> max(keep * r + gain, low) once for each gain, without a loop.
+
+    After n steps r is the greatest of the unclipped fold and of every fold that starts anew
+    with ``low`` after one of the steps.
+    """
+    n = len(gains)
+    if not n:
+        return start
+    after = float(keep) ** np.arange(n, -1, -1)
+    # What the gains from each step on add up to at the end.
+    added = np.r_[np.cumsum((gains * after[1:])[::-1])[::-1], 0.0]
+    whole = after[0] * start + added[0]
+    return float(whole if low == -np.inf else max(whole, (after[1:] * low + added[1:]).max()))
+
+
 class _Board(StatefulProcessor):
     def __init__(self, key: str, order: list[str], alpha: float) -> None:
         self.key, self.order, self.alpha = key, order, alpha
@@ -41,11 +57,15 @@ class _Board(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         ema, rounds, hotkey = self.state.get() if self.state.exists() else (C.EMA_SEED, 0, None)
         pdf = in_order(rows, self.order)
-        for score, who in zip(pdf["score"], pdf["hotkey"]):
-            if hotkey is not None and who != hotkey:
-                ema, rounds = C.EMA_SEED, 0
-            ema = self.alpha * score + (1 - self.alpha) * ema
-            rounds, hotkey = rounds + 1, who
+        who = pdf["hotkey"]
+        before = who.shift(1).astype(object)
+        before.iloc[0] = hotkey
+        # Only what follows the last change of identity counts.
+        anew = np.flatnonzero(before.notna() & who.ne(before))
+        if len(anew):
+            ema, rounds, pdf = C.EMA_SEED, 0, pdf.iloc[anew[-1] :]
+        ema = clipped_fold(ema, self.alpha * pdf["score"].to_numpy(float), 1 - self.alpha)
+        rounds, hotkey = rounds + len(pdf), pdf["hotkey"].iloc[-1]
         self.state.update((float(ema), int(rounds), hotkey))
         yield pd.DataFrame(
             {self.key: [key[0]], "ema": [ema], "rounds": [rounds], "hotkey": [hotkey]}
@@ -143,9 +163,9 @@ class _Reliability(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         r, votes = self.state.get() if self.state.exists() else (1.0, 0)
-        a = C.RELIABILITY_ALPHA
-        for agreed in in_order(rows, self.order)["agreed"]:
-            r, votes = max(a * float(agreed) + (1 - a) * r, C.RELIABILITY_MIN), votes + 1
+        agreed = in_order(rows, self.order)["agreed"].to_numpy(float)
+        alpha = C.RELIABILITY_ALPHA
+        r, votes = clipped_fold(r, alpha * agreed, 1 - alpha, C.RELIABILITY_MIN), votes + len(agreed)
         self.state.update((float(r), int(votes)))
         yield pd.DataFrame({"annotator": [key[0]], "reliability": [r], "votes": [votes]})
 

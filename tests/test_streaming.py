@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from contest_analytics.operators import leaderboard as lb
 from contest_analytics.operators import preference as pf
 from contest_analytics.plans.adapters import view
 from contest_analytics.sources.snapshots import read_snapshot, versions
-from contest_analytics.streaming import sinks, stateful, windows
+from contest_analytics.streaming import annotations, sinks, stateful, windows
 
 
 @pytest.fixture
@@ -129,3 +132,68 @@ def test_window_distance_keeps_fifty(spark, sf_dir, fed):
     out = stateful.stream_window_distance(fed(v, "seq"), None)
     row = sinks.drain(out, keys=["contributor"]).first()
     assert row["n"] == 50 and row["distance"] is None and row["penalty"] == 1.0
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from([0.0, 0.1]), max_size=70), st.floats(0.1, 1), st.booleans())
+def test_fold_without_a_loop(gains, start, clipped):
+    low, r = (0.1 if clipped else -np.inf), start
+    for g in gains:
+        r = max(0.9 * r + g, low)
+    assert stateful.clipped_fold(start, np.array(gains), 0.9, low) == pytest.approx(r, abs=1e-12)
+
+
+DAY, START = 86_400_000_000, 1_700_000_000_000_000
+
+
+def plain_reliability(votes):
+    """Final winners of all votes, then each annotator's fold in the order of the votes."""
+    sides = {}
+    for pair, _, choice, _, _ in votes:
+        sides.setdefault(pair, []).append(choice)
+    winner = {p: annotations.decide(c.count("a"), c.count("b"), 0.6) for p, c in sides.items()}
+    state = {}
+    for pair, who, choice, _, _ in sorted(votes, key=lambda v: (v[3], v[4])):
+        if winner[pair]:
+            r, n = state.get(who, (1.0, 0))
+            state[who] = (max(0.1 * (choice == winner[pair]) + 0.9 * r, 0.1), n + 1)
+    return state
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_annotations_follow_winners_that_change(spark, batches):
+    """Votes come in any order of time; winners appear, flip and vanish between batches."""
+    stateful.use_rocksdb(spark)
+    rng = np.random.default_rng(batches)
+    rows = [
+        (int(rng.integers(0, 25)), int(rng.integers(0, 9)), "ab"[int(rng.random() < 0.5)], START + int(rng.integers(0, 20)) * DAY, n)
+        for n in range(400)
+    ]
+    votes = spark.createDataFrame(rows, "pair long, annotator long, choice string, ts long, event_id long")
+    shuffled = votes.withColumn("arrives", F.pmod(F.xxhash64("event_id"), F.lit(1000)))
+    fed = sinks.feed(shuffled, "arrives", batches, files=2).drop("arrives")
+    out = sinks.drain(annotations.stream_annotations(fed, keep=100 * 86_400, delay="100 days"), mode="append", keys=["annotator"])
+    got = {r["annotator"]: (r["reliability"], r["votes"], r["open"]) for r in out.collect()}
+    want = plain_reliability(rows)
+    assert {a: (pytest.approx(r), n) for a, (r, n) in want.items()} == {a: g[:2] for a, g in got.items() if g[1]}
+    assert sum(g[2] for g in got.values()) == len(rows)
+
+
+def test_annotations_close_and_forget(spark):
+    """State holds only the pairs that are still open, and an old pair that comes back is a new one."""
+    stateful.use_rocksdb(spark)
+    rng = np.random.default_rng(1)
+    rows = [(day * 10 + n % 5, n % 4, "ab"[int(rng.random() < 0.4)], START + day * DAY + n, day * 100 + n) for day in range(40) for n in range(30)]
+    votes = spark.createDataFrame(rows, "pair long, annotator long, choice string, ts long, event_id long")
+    fed = sinks.feed(votes, "ts", 20, files=1)
+    changes = sinks.drain(annotations.stream_annotations(fed, keep=86_400, delay="1 day"), mode="append")
+    assert changes.agg(F.max("open")).first()[0] < 0.25 * len(rows) / 4
+    last = changes.orderBy("annotator", F.desc(F.col("votes"))).dropDuplicates(["annotator"])
+    assert {r["annotator"]: r["votes"] for r in last.collect()} == {a: n for a, (_, n) in plain_reliability(rows).items()}
+
+
+def test_annotators_of_empty_streams(spark):
+    stateful.use_rocksdb(spark)
+    votes = spark.createDataFrame([], "pair long, annotator string, choice string, ts long, event_id long")
+    out = annotations.stream_annotations(sinks.feed(votes, "ts", 1))
+    assert out.columns == ["annotator", "reliability", "votes", "open"] and out.isStreaming
