@@ -9,22 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contest_analytics.functions.curves import bell, clip, ramp
 from contest_analytics.operators.embeddings import lagged_products
+from contest_analytics.operators.greedy import thinned
 from contest_analytics.scale import (
-    OWN,
     around,
     is_hot,
     lookup,
     ordered,
     owned,
     quantiles,
-    resolve_in_tiles,
     with_index,
 )
 
@@ -241,87 +238,11 @@ def pitched(df: DataFrame, key: str, order: Sequence[str], x: str) -> DataFrame:
     return lookup(voiced, first, [key]).withColumn("_s", semitones(F.col(x), F.col("_ref")))
 
 
-def kept_notes(df: DataFrame, key: str, order: Sequence[str], s: str, apart: float = 0.5) -> DataFrame:
-    """Rows at least ``apart`` from the last kept row; the first row is kept.
-
-    A greedy scan. For a tile in the middle of a long series the last kept value
-    is not known, but every possible one enters the scan at a new extreme of the
-    rows before the tile. Once all those scans have met, the tile is certain.
-    """
-    hot = is_hot(df, [key])
-    kind = df.schema[key].dataType.simpleString()
-    if not hot:
-        rows = df.select(key, *order, s).repartition(F.col(key)).sortWithinPartitions(key, *order)
-
-        def scan(batches):
-            current, n, last = None, 0, 0.0
-            for pdf in batches:
-                out = []
-                for k, v in zip(pdf[key], pdf[s]):
-                    if n == 0 or k != current:
-                        current, n, last = k, 1, v
-                        out.append((k, n, v))
-                        continue
-                    n += 1
-                    if abs(v - last) >= apart:
-                        last = v
-                        out.append((k, n, v))
-                yield pd.DataFrame(out, columns=[key, "idx", "note"])
-
-        return rows.mapInPandas(scan, f"{key} {kind}, idx long, note double")
-    placed = with_index(df.select(key, *order, s), [key], order, hot=True)
-    sizes = placed.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
-    placed = lookup(placed, sizes, [key]).select(key, "idx", "_size", s)
-
-    def chain(v: np.ndarray, at: int, stop: int) -> int:
-        last = at
-        for i in range(at + 1, stop):
-            if abs(v[i] - v[last]) >= apart:
-                last = i
-        return last
-
-    def decide(pdf: pd.DataFrame, from_start: bool, to_end: bool) -> pd.DataFrame:
-        v = pdf[s].to_numpy()
-        own = pdf[OWN].to_numpy()
-        first = int(np.argmax(own))
-        last, certain = 0, True
-        if not from_start:
-            head = v[:first]
-            certain = len(head) > 0 and head.max() - head.min() >= 2 * apart
-            if certain:
-                high, low = np.maximum.accumulate(head), np.minimum.accumulate(head)
-                new = np.ones(len(head), bool)
-                new[1:] = (head[1:] > high[:-1]) | (head[1:] < low[:-1])
-                # Entries that can still be first: a scan entered later is only
-                # possible while all rows before stay within reach of one value.
-                reach = np.concatenate(([True], high[:-1] - low[:-1] < 2 * apart))
-                ends = {chain(v, int(i), first) for i in np.flatnonzero(new & reach)}
-                certain = len(ends) == 1
-                last = ends.pop() if certain else 0
-            start = first
-        else:
-            start = 1
-        keep = np.zeros(len(v), bool)
-        if from_start:
-            keep[0] = True
-        if certain:
-            for i in range(start, len(v)):
-                if abs(v[i] - v[last]) >= apart:
-                    last, keep[i] = i, True
-        out = pd.DataFrame(
-            {key: pdf[key], "idx": pdf["idx"], "note": v, "unresolved": not certain}
-        )
-        return out[own & (keep | (not certain))]
-
-    schema = f"{key} {kind}, idx long, note double, unresolved boolean"
-    return resolve_in_tiles(placed, [key], 256, decide, schema, True)
-
-
 def interval_mix(df: DataFrame, key: str, order: Sequence[str], x: str = "x") -> DataFrame:
     """Shares of steps, leaps and wide jumps between merged notes."""
     p = pitched(df, key, order, x)
     n = p.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    notes = kept_notes(p, key, order, "_s")
+    notes = thinned(p, key, order, "_s")
     moved = steps(notes, key, ["idx"], "note").withColumn("_d", F.abs(F.col("note") - F.col("_p")))
     d = F.col("_d")
     shares = moved.groupBy(key).agg(

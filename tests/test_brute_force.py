@@ -11,7 +11,7 @@ from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from contest_analytics.operators import allocation, composite, embeddings, gates
+from contest_analytics.operators import allocation, composite, embeddings, gates, greedy
 from contest_analytics.operators import leaderboard as lb
 from contest_analytics.operators import preference as pf
 from contest_analytics.operators import series_values as sv
@@ -59,18 +59,19 @@ def test_min_gap(spark, strict):
     assert got == want
 
 
-def notes(values):
+def notes(values, apart=0.5):
     kept = [values[0]]
     for v in values[1:]:
-        if abs(v - kept[-1]) >= 0.5:
+        if abs(v - kept[-1]) >= apart:
             kept.append(v)
     return kept
 
 
 @pytest.mark.parametrize("large", [False, True])
-def test_kept_notes(spark, request, large):
+def test_thinned_series(spark, request, monkeypatch, large):
     if large:
         request.getfixturevalue("hot")
+        monkeypatch.setattr(greedy, "GROUP", 5)
     r = random.Random(3)
     walks = {}
     for s in range(3):
@@ -80,11 +81,46 @@ def test_kept_notes(spark, request, large):
             walk.append(v)
         walks[s] = walk
     walks[3] = [i * 0.1 for i in range(700)]  # steady climb: every row is a new extreme
+    walks[4] = [i * 0.003 for i in range(700)]  # so slow that the phase of the entry stays open
+    walks[5] = [2.0] * 300
+    walks[6] = [0.25 * (i % 3) for i in range(300)]  # differences of exactly one half
+    walks[7] = [1.0]
     rows = [(s, i, v) for s, w in walks.items() for i, v in enumerate(w)]
     df = spark.createDataFrame(rows, "s int, i int, v double")
-    out = sv.kept_notes(df, "s", ["i"], "v").orderBy("s", "idx").collect()
+    out = greedy.thinned(df, "s", ["i"], "v").orderBy("s", "idx").collect()
     for s, walk in walks.items():
-        assert [x["note"] for x in out if x["s"] == s] == pytest.approx(notes(walk))
+        got = [(x["idx"], x["note"]) for x in out if x["s"] == s]
+        assert [v for _, v in got] == notes(walk) and all(walk[i - 1] == v for i, v in got)
+
+
+@settings(max_examples=150, deadline=None)
+@given(
+    st.lists(st.one_of(st.integers(-6, 6).map(lambda n: n / 4), st.floats(-2, 2)), min_size=1, max_size=60),
+    st.integers(1, 9),
+    st.one_of(st.just(-np.inf), st.floats(-3, 3)),
+)
+def test_summaries_of_tiles_combine(values, size, entry):
+    v = np.array(values)
+    summary, at = None, 0
+    while at < len(v):
+        tile = greedy.Summary.of(v[at : at + size], at + 1, 0.5)
+        summary = tile if summary is None else summary.then(tile, 0.5)
+        at += size
+    first = next((i for i, x in enumerate(values, 1) if abs(x - entry) >= 0.5), np.inf)
+    exit_value = entry if first == np.inf else notes(values[first - 1 :])[-1]
+    got = summary.enter(np.array([entry]), 0.5)
+    assert (got[0][0], got[1][0]) == (first, exit_value)
+
+
+def test_successors_of_long_rows():
+    rng = np.random.default_rng(5)
+    for scale in (0.001, 0.05, 3):
+        v = np.cumsum(rng.normal(0, scale, 3000))
+        ends = np.repeat([1000, 2100, 3000], [1000, 1100, 900])
+        follow = greedy.successors(v, ends, 0.5)
+        for i in range(0, 3000, 7):
+            want = next((j for j in range(i + 1, ends[i]) if abs(v[j] - v[i]) >= 0.5), 3000)
+            assert follow[i] == want
 
 
 def plain_peaks(x, distance, prominence):
