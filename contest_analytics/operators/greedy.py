@@ -228,3 +228,108 @@ def _thinned_tiles(df: DataFrame, key: str, order: Sequence[str], s: str, apart:
     entries = entered.groupBy(key, "_group").applyInPandas(walk_tiles, f"{key} {kind}, tile long, entry double")
     rows = lookup(placed, entries.withColumnRenamed("tile", "_tile"), [key, "_tile"], "inner")
     return rows.groupBy(key, "_tile").applyInPandas(keep, f"{key} {kind}, idx long, note double")
+
+
+class Bars:
+    """How a tile of sorted whole numbers passes on a bar, the least number that may be accepted.
+
+    ``first``: numbers that can be the first accepted one, up to one that no bar from before the
+    tile's first stretch of ``step`` can pass; ``out``: the bar after the tile for each of them.
+    """
+
+    def __init__(self, first: np.ndarray, out: np.ndarray) -> None:
+        self.first, self.out = first, out
+
+    @classmethod
+    def of(cls, numbers: np.ndarray, start: int, step: int) -> Bars:
+        needed = int(np.searchsorted(numbers, start + step)) + 1
+        last = last_of(np.searchsorted(numbers, numbers + step))[:needed]
+        return cls(numbers[:needed], numbers[last] + step)
+
+    def enter(self, bar: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.first, bar)
+        return np.where(at < len(self.first), self.out[np.minimum(at, len(self.out) - 1)], bar)
+
+    def then(self, later: Bars, start: int, step: int) -> Bars:
+        first, out = np.r_[self.first, later.first], np.r_[later.enter(self.out), later.out]
+        needed = int(np.searchsorted(first, start + step)) + 1
+        return Bars(first[:needed], out[:needed])
+
+
+#: Numbers that a tile spans, rounded to whole steps.
+SPAN = 1 << 18
+
+
+def spaced(df: DataFrame, key: str, number: str, step: int) -> DataFrame:
+    """``(key, number)``: the distinct whole numbers that are ``step`` or more above the last accepted one.
+
+    The first number of a key is accepted; null numbers are none. A key's numbers are cut into
+    tiles of ``SPAN`` (at least one step). As at most one number of any ``step`` in a row is
+    accepted, a tile is entered with one of ``step`` bars, and its summary has one entry for
+    each number among them. Summaries combine in groups; groups are walked, then their tiles.
+    """
+    if step < 1:
+        raise ValueError("the step must be one or more")
+    span = step * max(1, SPAN // step)
+    kind = df.schema[key].dataType.simpleString()
+    shared_dir(df.sparkSession)
+    numbers = F.col(number).cast("long").alias(number)
+    once = df.select(key, numbers).filter(F.col(number).isNotNull()).distinct().withColumn("_tile", F.floor(F.col(number) / span))
+    shape = "first array<long>, out array<long>"
+
+    def read(row) -> Bars:
+        return Bars(np.asarray(row.first, np.int64), np.asarray(row.out, np.int64))
+
+    def row_of(bars: Bars) -> dict[str, list]:
+        return {"first": bars.first.tolist(), "out": bars.out.tolist()}
+
+    def sum_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        tile = int(pdf["_tile"].iloc[0])
+        found = Bars.of(np.sort(pdf[number].to_numpy(np.int64)), tile * span, step)
+        return pd.DataFrame([{key: pdf[key].iloc[0], "_tile": tile, **row_of(found)}])
+
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_tile")
+        whole, start = None, int(pdf["_tile"].iloc[0]) * span
+        for row in pdf.itertuples():
+            whole = read(row) if whole is None else whole.then(read(row), start, step)
+        return pd.DataFrame([{key: pdf[key].iloc[0], "_group": pdf["_group"].iloc[0], **row_of(whole)}])
+
+    def walk(pdf: pd.DataFrame, by: str, start: int) -> pd.DataFrame:
+        pdf = pdf.sort_values(by)
+        entries, at = [], np.array([start])
+        for row in pdf.itertuples():
+            entries.append(int(at[0]))
+            at = read(row).enter(at)
+        return pd.DataFrame({key: pdf[key], by: pdf[by], "bar": entries})
+
+    def walk_groups(pdf: pd.DataFrame) -> pd.DataFrame:
+        return walk(pdf.rename(columns={"_group": "group"}), "group", np.iinfo(np.int64).min)
+
+    def walk_tiles(pdf: pd.DataFrame) -> pd.DataFrame:
+        return walk(pdf.rename(columns={"_tile": "tile"}), "tile", int(pdf["bar"].iloc[0]))
+
+    def accept(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = np.sort(pdf[number].to_numpy(np.int64))
+        start = np.flatnonzero(held >= pdf["bar"].iloc[0])[:1]
+        stay = reached(np.searchsorted(held, held + step), start)
+        return pd.DataFrame({key: pdf[key].iloc[0], number: held[stay]})
+
+    tiles = (
+        once.groupBy(key, "_tile")
+        .applyInPandas(sum_up, f"{key} {kind}, _tile long, {shape}")
+        .withColumn("_group", F.floor(F.col("_tile") / GROUP))
+        .checkpoint()
+    )
+    groups = tiles.groupBy(key, "_group").applyInPandas(combine, f"{key} {kind}, _group long, {shape}")
+    starts = groups.groupBy(key).applyInPandas(walk_groups, f"{key} {kind}, group long, bar long")
+
+    def matched(left: DataFrame, right: DataFrame, place: str) -> DataFrame:
+        a, b = left.alias("a"), right.toDF(key, place, "bar").alias("b")
+        same = F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")) & (F.col(f"a.{place}") == F.col(f"b.{place}"))
+        return a.join(b, same).select("a.*", "b.bar")
+
+    entered = matched(tiles, starts, "_group")
+    entries = entered.groupBy(key, "_group").applyInPandas(walk_tiles, f"{key} {kind}, tile long, bar long")
+    rows = matched(once, entries, "_tile")
+    return rows.groupBy(key, "_tile").applyInPandas(accept, f"{key} {kind}, {number} long")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from contest_analytics import config as C
 from contest_analytics.functions.curves import clip, sanitize_score
 from contest_analytics.operators.lookups import match_identity
+from contest_analytics.operators.greedy import spaced
 from contest_analytics.scale import are_hot, around, is_hot, lookup, ordered, owned, quantiles, with_index
 
 
@@ -413,30 +414,10 @@ def min_gap_select(
     """``(partition, block)`` of the accepted publications.
 
     A block is accepted when at least ``gap`` blocks (``strict``: more) passed
-    since the last accepted one. Blocks are integers and de-duplicated first, so a
-    publisher's group is bounded by its lifetime in blocks, not by its rows, and
-    bucketing by gap keeps one array of at most ``gap`` blocks per row.
+    since the last accepted one. A publisher of any lifetime is cut into tiles, see
+    :func:`~contest_analytics.operators.greedy.spaced`.
     """
-    import numpy as np
-    import pandas as pd
-
-    step = gap + 1 if strict else gap
-    once = df.select(partition, F.col(block).cast("long").alias(block)).distinct()
-    buckets = once.groupBy(partition, F.floor(F.col(block) / step).alias("_b")).agg(
-        F.array_sort(F.collect_list(block)).alias("_blocks")
-    )
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, bar = [], None
-        for blocks in pdf.sort_values("_b")["_blocks"]:
-            at = 0 if bar is None else int(np.searchsorted(blocks, bar))
-            if at < len(blocks):
-                out.append(blocks[at])
-                bar = blocks[at] + step
-        return pd.DataFrame({partition: pdf[partition].iloc[0], block: out})
-
-    kind = df.schema[partition].dataType.simpleString()
-    return buckets.groupBy(partition).applyInPandas(greedy, f"{partition} {kind}, {block} long")
+    return spaced(df, partition, block, gap + 1 if strict else gap)
 
 
 def event_summary(pings: DataFrame, key: Sequence[str]) -> DataFrame:

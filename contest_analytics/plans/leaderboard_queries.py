@@ -288,7 +288,12 @@ def _(spark, d):
     return out.select("publication", "key", rounded("share").alias("share"))
 
 
-@query("min_gap_select")
+@query(
+    "min_gap_select",
+    oracle("""select contest, unnest(list_reduce(list([block] order by block), lambda x, y:
+        case when y[1] - x[-1] >= 115 then list_append(x, y[1]) else x end)) as block
+      from (select distinct contest, sec // 12 as block from v_scores) group by contest"""),
+)
 def _(spark, d):
     v = view(spark, d, "v_scores").withColumn("block", F.floor(F.col("sec") / 12))
     return lb.min_gap_select(v, "contest", "block")

@@ -43,20 +43,36 @@ def test_word_error_rate(spark):
         assert got[i] == pytest.approx(want)
 
 
+def accepted(blocks, step):
+    out = []
+    for b in sorted(set(blocks)):
+        if not out or b - out[-1] >= step:
+            out.append(b)
+    return out
+
+
 @pytest.mark.parametrize("strict", [False, True])
-def test_min_gap(spark, strict):
+@pytest.mark.parametrize("span", [1, 600, 1 << 18])
+def test_min_gap(spark, monkeypatch, strict, span):
+    monkeypatch.setattr(greedy, "SPAN", span)
+    monkeypatch.setattr(greedy, "GROUP", 4)
     r = random.Random(2)
-    rows = [(p, r.randint(0, 3000)) for p in range(4) for _ in range(200)]
+    rows = [(p, r.randint(-500, 6000)) for p in range(4) for _ in range(200)] + [(9, 5), (9, 5), (9, None), (None, 3), (8, None)]
     out = lb.min_gap_select(spark.createDataFrame(rows, "p int, b long"), "p", "b", 115, strict)
-    got = {(x["p"], x["b"]) for x in out.collect()}
-    want = set()
-    for p in range(4):
-        last = None
-        for b in sorted({b for q, b in rows if q == p}):
-            if last is None or (b - last > 115 if strict else b - last >= 115):
-                want.add((p, b))
-                last = b
-    assert got == want
+    got = sorted(((x["p"], x["b"]) for x in out.collect()), key=str)
+    want = [
+        (p, b) for p in (0, 1, 2, 3, 9, None)
+        for b in accepted([b for q, b in rows if q == p and b is not None], 116 if strict else 115)
+    ]
+    assert got == sorted(want, key=str)
+
+
+def test_min_gap_of_a_long_life(spark):
+    """A million blocks of one publisher, in many tiles."""
+    blocks = spark.range(1_000_000).selectExpr("'one' as p", "id * 3 + pmod(xxhash64(id), 3) as b")
+    held = {r["b"] for r in blocks.select("b").collect()}
+    got = [r["b"] for r in lb.min_gap_select(blocks, "p", "b", 115).orderBy("b").collect()]
+    assert got == accepted(held, 115) and max(held) > 10 * greedy.SPAN
 
 
 def notes(values, apart=0.5):
