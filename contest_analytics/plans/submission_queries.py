@@ -173,7 +173,25 @@ def turn_pairs(spark, d):
     return user.join(reply, ["conv_id", "_next"]).drop("_next")
 
 
-@query("word_error_rate")
+WORDS_OF = "list_filter(string_split_regex(lower({0}), '\\s+'), lambda w: w <> '')"
+
+
+@query(
+    "word_error_rate",
+    # One row of the table for each reference word, filled in from left to right.
+    oracle(
+        """select conv_id, turn, round(case when len(r) = 0 then least(len(h), 1)::double else list_reduce(
+          list_prepend(range(0, len(h) + 1), [[x] for x in r]), lambda row, w: list_reduce(
+            list_prepend([row[1] + 1], [[j] for j in range(1, len(h) + 1)]), lambda done, j:
+              list_append(done, least(row[j[1] + 1] + 1, done[-1] + 1, row[j[1]] + (h[j[1]] <> w[1])::int))))[-1]
+          / len(r)::double end, 6) as wer from h_coded""",
+        h_coded="""select conv_id, turn, [list_position(known, w)::bigint for w in r] as r, [list_position(known, w)::bigint for w in h] as h
+          from (select *, list_distinct(r || h) as known from h_words)""",
+        h_words=f"select conv_id, turn, {WORDS_OF.format('ref')} as r, {WORDS_OF.format('hyp')} as h from h_pairs",
+        h_pairs="""select u.conv_id, u.turn, u.words as ref, a.words as hyp from v_turns u
+          join v_turns a on a.conv_id = u.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant'""",
+    ),
+)
 def _(spark, d):
     return gates.word_error_rate(spread(turn_pairs(spark, d))).select(
         "conv_id", "turn", rounded("wer").alias("wer")

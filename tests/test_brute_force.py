@@ -51,6 +51,23 @@ def accepted(blocks, step):
     return out
 
 
+def test_word_error_rate_of_long_pairs(spark, monkeypatch):
+    """Pairs beyond the table take the other way, with the same result."""
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randrange(60)}é" for _ in range(r.randrange(0, 180))) for _ in range(40)]
+    rows = [(i, texts[i], texts[i - 1]) for i in range(40)] + [(40, None, "a"), (41, "a", None), (42, "", ""), (43, "a", "")]
+    df = spark.createDataFrame(rows, "i int, ref string, hyp string").withColumn("words", F.lit(1))
+    table = {x["i"]: x["wer"] for x in gates.word_error_rate(df).collect()}
+    monkeypatch.setattr(gates, "TABLE_CELLS", 900)
+    mixed = {x["i"]: x["wer"] for x in gates.word_error_rate(df).collect()}
+    monkeypatch.setattr(gates, "TABLE_CELLS", -1)
+    other = {x["i"]: x["wer"] for x in gates.word_error_rate(df).collect()}
+    assert table == mixed == other and table[40] is None and table[41] is None and table[43] == 1.0
+    for i in range(0, 40, 5):
+        a, b = rows[i][1].split(), rows[i][2].split()
+        assert table[i] == pytest.approx(edit(a, b) / len(a) if a else float(bool(b)))
+
+
 @pytest.mark.parametrize("strict", [False, True])
 @pytest.mark.parametrize("span", [1, 600, 1 << 18])
 def test_min_gap(spark, monkeypatch, strict, span):
