@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from contest_analytics import config as C
 from contest_analytics.functions.curves import as_col, bell, clip, ramp
 from contest_analytics.functions.vectors import distance, dot, norm, scaled, total
+from contest_analytics.operators.boundaries import section_boundaries
 from contest_analytics.operators.embeddings import mean_pairwise_cosine, mean_vector, sum_vector
 from contest_analytics.operators.lookups import fifths_distance
 from contest_analytics.scale import (
-    OWN,
     around,
     block_cells,
     is_hot,
@@ -29,10 +29,7 @@ from contest_analytics.scale import (
     ordered,
     owned,
     quantiles,
-    resolve_in_tiles,
     running_sum,
-    shared_dir,
-    tiles,
     with_index,
 )
 
@@ -444,153 +441,6 @@ def segment_contrast(
     )
 
 
-def novelty(df: DataFrame, key: str, order: Sequence[str], vec: str, k: int, hot: bool) -> DataFrame:
-    """``(key, idx, _size, novelty)``: smoothed checkerboard novelty of unit vectors.
-
-    The block means of the similarity matrix only need the sums L and R of the k
-    vectors before and after a frame: (|L|^2 + |R|^2)/2 - L.R = |L - R|^2 / 2, over
-    k^2. No similarity matrix is formed.
-    """
-    u = df.select(key, *order, unit(vec).alias("_u"))
-    placed = with_index(u, [key], order, hot=hot)
-    sizes = placed.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
-    cut = tiles(lookup(placed, sizes, [key]), [key], k, k, hot)
-    w = around([key])
-    size = F.least(F.lit(k), F.floor(F.col("_size") / 2)).cast("int")
-    sides = cut.withColumn("_k", size).withColumn(
-        "_l", F.collect_list("_u").over(w.rowsBetween(-k, -1))
-    ).withColumn("_r", F.collect_list("_u").over(w.rowsBetween(0, k - 1)))
-
-    def added(a: Column) -> Column:
-        zero = F.transform(F.col("_u"), lambda v: v * 0.0)
-        return F.aggregate(a, zero, lambda s, v: F.zip_with(s, v, lambda p, q: p + q))
-
-    left = F.slice("_l", F.greatest(F.size("_l") - F.col("_k") + 1, F.lit(1)), F.col("_k"))
-    right = F.slice("_r", F.lit(1), F.col("_k"))
-    i = F.col("idx") - 1
-    inside = (i >= F.col("_k")) & (i < F.col("_size") - F.col("_k")) & (F.col("_k") >= 2)
-    gap = owned(sides.withColumn("_ls", added(left)).withColumn("_rs", added(right)))
-    d = F.zip_with("_ls", "_rs", lambda a, b: a - b)
-    raw = gap.select(
-        key,
-        "idx",
-        "_size",
-        F.greatest(F.lit(3), F.floor(F.col("_k") / 2)).cast("int").alias("_w"),
-        F.when(inside, F.try_divide(dot(d, d), 2.0 * F.col("_k") * F.col("_k"))).otherwise(0.0).alias("_nv"),
-    )
-    # Both ends are zero over more than the smoothing width, so edges need no mirror.
-    wide = max(3, k // 2)
-    half = wide // 2
-    again = tiles(raw, [key], half, wide - half - 1 or 1, hot)
-    near = F.collect_list("_nv").over(w.rowsBetween(-half, wide - half - 1))
-    spots = F.collect_list("idx").over(w.rowsBetween(-half, wide - half - 1))
-    lo = F.col("idx") - F.floor(F.col("_w") / 2)
-    kept = F.transform(
-        F.arrays_zip(F.col("_near"), F.col("_spots")),
-        lambda z: F.when(
-            (z["_spots"] >= lo) & (z["_spots"] < lo + F.col("_w")), z["_near"]
-        ).otherwise(0.0),
-    )
-    return owned(again.withColumn("_near", near).withColumn("_spots", spots)).select(
-        key, "idx", "_size", (total(kept) / F.col("_w")).alias("novelty")
-    )
-
-
-def _falls(part: np.ndarray, top: float, prominence: float, complete: bool) -> int:
-    """Walking away from a peak: 1 it falls far enough, 0 it does not, -1 not visible."""
-    at, step = 0, 64
-    while at < len(part):
-        piece = part[at : at + step]
-        higher = piece > top
-        low = top - piece >= prominence
-        if higher.any() or low.any():
-            return int(low.any() and (not higher.any() or low.argmax() < higher.argmax()))
-        at, step = at + step, step * 2
-    return 0 if complete else -1
-
-
-def _peaks(values: np.ndarray, distance: int, prominence: float, from_start: bool, to_end: bool):
-    """Status per sample: 1 peak, 0 none, -1 cannot be told from these rows.
-
-    Local maxima (middle of a plateau), then from the highest down those closer
-    than ``distance`` are removed, then those that do not fall by ``prominence`` on
-    both sides before the signal rises above them.
-    """
-    n = len(values)
-    status = np.zeros(n, np.int8)
-    change = np.flatnonzero(np.diff(values)) + 1
-    starts = np.concatenate(([0], change))
-    ends = np.concatenate((change, [n]))
-    tops, unsure = [], []
-    for j, (a, b) in enumerate(zip(starts, ends)):
-        rises = j > 0 and values[a - 1] < values[a]
-        falls = j < len(starts) - 1 and values[b] < values[a]
-        at = (a + b - 1) // 2
-        if rises and falls:
-            tops.append(at)
-        elif (j == 0 and not from_start and (falls or j == len(starts) - 1)) or (
-            j == len(starts) - 1 and not to_end and (rises or j == 0)
-        ):
-            unsure.extend(range(a, b))
-    tops = np.array(tops, dtype=int)
-    status[unsure] = -1
-    if len(tops) == 0:
-        return status
-    state = np.full(len(tops), -1)  # -1 open, 1 kept, 0 removed, -2 unknown
-    gap = math.ceil(distance)
-    for j in np.argsort(values[tops], kind="stable")[::-1]:
-        near = range(*np.searchsorted(tops, (tops[j] - gap + 1, tops[j] + gap)))
-        above = [m for m in near if m != j and (values[tops[m]], m) > (values[tops[j]], j)]
-        blind = (not from_start and tops[j] < gap) or (not to_end and tops[j] >= n - gap)
-        blind = blind or any(abs(u - tops[j]) < gap for u in unsure)
-        if any(state[m] == 1 for m in above):
-            state[j] = 0
-        elif blind or any(state[m] == -2 for m in above):
-            state[j] = -2
-        else:
-            state[j] = 1
-    for j, at in enumerate(tops):
-        if state[j] == 0:
-            continue
-        sides = []
-        for part, complete in ((values[:at][::-1], from_start), (values[at + 1 :], to_end)):
-            sides.append(_falls(part, values[at], prominence, complete))
-        if 0 in sides:
-            status[at] = 0
-        elif -1 in sides or state[j] == -2:
-            status[at] = -1
-        else:
-            status[at] = 1
-    return status
-
-
-def section_boundaries(
-    df: DataFrame,
-    key: str,
-    order: Sequence[str],
-    vec: str = "vec",
-    k: int = 16,
-    min_gap: int = 2,
-    prominence: float = 0.05,
-) -> DataFrame:
-    """``(key, idx)`` of the frames that open a new section (never the first frame)."""
-    hot = is_hot(df, [key])
-    nov = novelty(df, key, order, vec, k, hot)
-
-    def decide(pdf: pd.DataFrame, from_start: bool, to_end: bool) -> pd.DataFrame:
-        status = _peaks(pdf["novelty"].to_numpy(), min_gap, prominence, from_start, to_end)
-        out = pd.DataFrame({key: pdf[key], "idx": pdf["idx"], "unresolved": status == -1})
-        return out[pdf[OWN].to_numpy() & (status != 0)]
-
-    kind = df.schema[key].dataType.simpleString()
-    found = resolve_in_tiles(
-        nov, [key], max(8 * min_gap, 64), decide, f"{key} {kind}, idx long, unresolved boolean", hot
-    )
-    # A small table that later steps read several times; see it computed once.
-    shared_dir(df.sparkSession)
-    return found.filter("idx > 1").checkpoint()
-
-
 def assign_sections(placed: DataFrame, key: str, boundaries: DataFrame) -> DataFrame:
     """Adds ``section`` (0, 1, ...) to rows with ``idx``: boundaries passed so far."""
     marks = boundaries.select(key, "idx", F.lit(1).alias("_m"))

@@ -261,23 +261,111 @@ def boundaries(spark, d):
     return ss.section_boundaries(view(spark, d, "v_chroma"), ID, ORDER, k=4, min_gap=4, prominence=0.01)
 
 
-@query("section_boundaries")
+#: The sections' openings in SQL, from the novelty of unit vectors to the tops that are prominent.
+def _boundaries(prominence: str) -> dict[str, str]:
+    return {
+        "h_open": f"""select series_id, i as idx from (
+          select *, (select bool_or(t.v - q.v >= {prominence}::double) from h_nov q where q.series_id = t.series_id and q.i > t.higher and q.i < t.i) as lefts,
+            (select bool_or(t.v - q.v >= {prominence}::double) from h_nov q where q.series_id = t.series_id and q.i > t.i and q.i < t.beyond) as rights from (
+            select s.series_id, s.i, any_value(s.v) as v, coalesce(max(q.i) filter (q.i < s.i and q.v > s.v), 0) as higher,
+              coalesce(min(q.i) filter (q.i > s.i and q.v > s.v), 1000000) as beyond
+            from h_apart s join h_nov q using (series_id) group by s.series_id, s.i) t) where lefts and rights and i > 1""",
+        "h_apart": """select series_id, i, v from h_tops t where i in (select unnest(stay) from (
+          select series_id, list_reduce(list([i] order by v desc, i desc), lambda x, y:
+            case when list_min([abs(q - y[1]) for q in x]) >= 4 then list_append(x, y[1]) else x end) as stay
+          from h_tops group by series_id) l where l.series_id = t.series_id)""",
+        "h_tops": """select series_id, (a + b) // 2 as i, v from (
+          select *, lag(v) over w as p, lead(v) over w as q from (
+            select series_id, run, min(i) as a, max(i) as b, any_value(v) as v from (
+              select *, sum(case when v = before then 0 else 1 end) over (partition by series_id order by i) as run from (
+                select *, lag(v) over (partition by series_id order by i) as before from h_nov)) group by series_id, run)
+          window w as (partition by series_id order by a)) where p < v and q < v""",
+        "h_nov": """select series_id, i, (coalesce(lag(raw) over w, 0) + raw + coalesce(lead(raw) over w, 0)) / 3e0 as v from (
+          select series_id, i, case when k >= 2 and i > k and i <= n - k then sum(g * g) / (2e0 * k * k) else 0e0 end as raw from (
+            select a.series_id, a.i, a.j, a.n, a.k, sum(case when b.i < a.i then b.x else -b.x end) as g from h_parts a join h_parts b
+              on b.series_id = a.series_id and b.j = a.j and b.i >= a.i - a.k and b.i < a.i + a.k group by a.series_id, a.i, a.j, a.n, a.k)
+          group by series_id, i, n, k) window w as (partition by series_id order by i)""",
+        "h_parts": f"""select series_id, i, n, least(4, n // 2) as k, unnest(u) as x, unnest(range(12)) as j from (
+          select series_id, row_number() over ({W}) as i, count(*) over (partition by series_id) as n, {_unit("vec")} as u from v_chroma)""",
+    }
+
+
+#: Rows with the number of openings up to them.
+def _sectioned(source: str) -> str:
+    return f"""select r.*, (select count(*) from h_open o where o.series_id = r.series_id and o.idx <= r.i) as section from (
+      select *, row_number() over ({W}) as i, count(*) over (partition by series_id) as n from {source}) r"""
+
+
+@query("section_boundaries", oracle("select series_id, idx from h_open", **_boundaries("1e-2")))
 def _(spark, d):
     return boundaries(spark, d)
 
 
-@query("sections")
+_NEAR = 0.35 * 0.3
+_WANT = "greatest(4e0 * f / 3e1, 1e0)"
+_LOW = f"greatest(1e0, floor({_WANT} * 5e-1))"
+_FILL = "least(1e0, 5e-1 + 5e-1 * least({0} / " + _WANT + ", 15e-1))"
+
+
+@query(
+    "sections",
+    oracle(
+        f"""select series_id, s as sections, round({_clip(f"case when s >= {_LOW} then {_FILL.format('s')} else s / {_LOW} * {_FILL.format(_LOW)} end")}, 6) as count_score,
+          round(case when s < 2 then 25e-2 else {_clip(f"case when 1 - g >= {_NEAR!r}::double then least(1e0, 5e-1 + (1 - g) * 2) else greatest(0e0, (1 - g) / ({_NEAR!r}::double + 1e-8) * 71e-2) end")} end, 6) as variety_score
+        from (select series_id, any_value(s) as s, any_value(f) as f, (sum(t * t) - any_value(q)) / (any_value(s) * (any_value(s) - 1e0)) as g from (
+          select series_id, j, count(*) as s, any_value(f) as f, sum(x) as t from h_means group by series_id, j)
+          join (select series_id, sum(x * x) as q from h_means group by series_id) using (series_id) group by series_id)""",
+        h_means="""select series_id, section, j, f, m / (sqrt(sum(m * m) over (partition by series_id, section)) + 1e-8) as x from (
+          select series_id, section, j, any_value(n) as f, avg(x) as m from (
+            select series_id, section, n, unnest(vec) as x, unnest(range(12)) as j from h_rows) group by series_id, section, j)""",
+        h_rows=_sectioned("v_chroma"),
+        **_boundaries("5e-2"),
+    ),
+)
 def _(spark, d):
     return tidy(ss.sections(view(spark, d, "v_chroma"), ID, ORDER, k=4, min_gap=4))
 
 
-@query("edge_sections")
+@query(
+    "edge_sections",
+    oracle(
+        """select series_id, l + 1 as sections, round(case when l < 2 or m < 1e-8 then 25e-2 when got > 0 then got
+            when abs(r0 - m) / (m + 1e-8) > 3e-1 or abs(r1 - m) / (m + 1e-8) > 3e-1 then 3e-1 else 0e0 end, 6) as score from (
+          select *, (case when coalesce(r0 / m < 8e-1, false) or (n0 > 8 and e0 > s0 * 13e-1) then 5e-1 else 0e0 end)
+              + (case when coalesce(r1 / m < 8e-1, false) or (n1 > 8 and s1 > e1 * 13e-1) then 5e-1 else 0e0 end) as got from (
+            select series_id, any_value(last) as l, avg(r) filter (section > 0 and section < last) as m,
+              any_value(r) filter (section = 0) as r0, any_value(len) filter (section = 0) as n0,
+              any_value(a) filter (section = 0) as s0, any_value(z) filter (section = 0) as e0,
+              any_value(r) filter (section = last) as r1, any_value(len) filter (section = last) as n1,
+              any_value(a) filter (section = last) as s1, any_value(z) filter (section = last) as e1 from h_spans group by series_id))""",
+        h_spans="""select series_id, section, any_value(last) as last, any_value(len) as len, sqrt(avg(x * x)) as r,
+            sqrt(avg(x * x) filter (place < len // 4)) as a, sqrt(avg(x * x) filter (place >= len - len // 4)) as z from (
+          select *, max(section) over (partition by series_id) as last, count(*) over s as len, i - min(i) over s as place
+          from h_levels window s as (partition by series_id, section)) group by series_id, section""",
+        h_levels="select series_id, section, i, sqrt(list_dot_product(vec, vec)) as x from h_rows",
+        h_rows=_sectioned("v_spectra"),
+        **_boundaries("1e-2"),
+    ),
+)
 def _(spark, d):
     v = view(spark, d, "v_spectra").withColumn("x", level("vec"))
     return tidy(ss.edge_sections(v, ID, ORDER, boundaries(spark, d), long=8))
 
 
-@query("boundary_ratio")
+@query(
+    "boundary_ratio",
+    oracle(
+        """select series_id, round(b / med, 6) as ratio,
+            round(case when coalesce(n, 0) < 2 or b is null or med < 1e-10 then 25e-2 else 1e0 - least(b / med / 3e0, 1e0) end, 6) as score
+          from (select distinct series_id from v_spectra) left join (
+            select series_id, count(*) as n, quantile_cont(f, 0.5) as med from h_flux group by series_id) using (series_id) left join (
+            select o.series_id, avg(f) as b from (select series_id, least(idx + 1, n) as i from h_open join (
+                select series_id, max(i) as n from h_flux group by series_id) using (series_id)) o
+              join h_flux f on f.series_id = o.series_id and f.i = o.i group by o.series_id) using (series_id)""",
+        **_flux("v_spectra"),
+        **_boundaries("1e-2"),
+    ),
+)
 def _(spark, d):
     return tidy(ss.boundary_ratio(view(spark, d, "v_spectra"), ID, ORDER, boundaries(spark, d)))
 

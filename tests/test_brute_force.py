@@ -11,7 +11,7 @@ from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from contest_analytics.operators import allocation, composite, embeddings, gates, greedy
+from contest_analytics.operators import allocation, boundaries, composite, embeddings, gates, greedy
 from contest_analytics.operators import leaderboard as lb
 from contest_analytics.operators import preference as pf
 from contest_analytics.operators import series_values as sv
@@ -192,6 +192,31 @@ def plain_peaks(x, distance, prominence):
     return out
 
 
+@pytest.mark.parametrize(("gap", "prominence", "levels"), [(1, 0.2, 4), (5, 0.3, 5), (4, 0.0, 9), (9, 0.45, 40)])
+def test_peaks_across_tiles(spark, monkeypatch, gap, prominence, levels):
+    """Plateaus, walks and chains of tops that are longer than a tile and a group of tiles."""
+    monkeypatch.setattr(boundaries, "GROUP", 2)
+    rng = np.random.default_rng(gap)
+    size, lines = 2 * gap + 5, {}
+    for s in range(6):
+        steps = rng.integers(-1, 2, 400) if s < 3 else np.repeat(rng.integers(-2, 3, 40), 10)
+        lines[s] = np.round(np.abs((np.cumsum(steps) % (2 * levels)) - levels) / levels, 6)
+    lines[6] = np.arange(300) / 300 + 0.5 * (np.arange(300) % 3 == 0)  # tops in one long chain
+    lines[7] = np.full(50, 0.25)
+    rows = []
+    for s, v in lines.items():
+        marks = boundaries.marks_of(v)
+        rows += [(s, i + 1, len(v), i // size, float(x), int(marks[i])) for i, x in enumerate(v)]
+    line = spark.createDataFrame(rows, "s int, idx long, _size long, _tile long, v double, mark int")
+    monkeypatch.setattr(boundaries, "TILE_ROWS", size)
+    spark.conf.set("contest_analytics.tileRows", str(size))
+    tops = boundaries._spread_out(boundaries._tops(line, "s"), "s", gap, "int")
+    got = {(r["s"], r["idx"]) for r in boundaries._prominent(line, tops, "s", prominence, size, "int").collect()}
+    spark.conf.unset("contest_analytics.tileRows")
+    want = {(s, p + 1) for s, v in lines.items() for p in plain_peaks(v.tolist(), gap, prominence)}
+    assert got == want and len(want) > 20
+
+
 def plain_boundaries(vectors, k, gap, prominence):
     u = np.array([v / (np.linalg.norm(v) + 1e-8) for v in vectors])
     n = len(u)
