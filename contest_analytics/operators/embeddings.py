@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from contest_analytics import config as C
 from contest_analytics.functions.curves import as_col, clip, remap
 from contest_analytics.functions.vectors import dot, norm, scaled
+from contest_analytics.operators.autocorrelation import lag_sums
 from contest_analytics.scale import (
     around,
     block_cells,
@@ -311,71 +312,15 @@ def group_agreement(df: DataFrame, key: str, layer: str, vec: str = "vec") -> Da
     return mean_pairwise_cosine(unit, [key], "_m").select(key, "agreement")
 
 
-def diagonal_sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sums of ``a @ b.T`` along its diagonals j - i = -len(a)+1 .. len(b)-1.
-
-    Writing each row of the product one place further right turns diagonals into
-    columns.
-    """
-    rows, cols = len(a), len(b)
-    wide = np.zeros((rows, rows + cols))
-    wide[:, :cols] = a[::-1] @ b.T
-    return wide.ravel()[: rows * (rows + cols - 1)].reshape(rows, -1).sum(0)
-
-
-def lagged_products(
-    df: DataFrame, keys: Sequence[str], values: str, is_vector: bool, block: int = 512
-) -> DataFrame:
-    """``(keys, lag, _sum, _pairs)``: sum over i of x(i)·x(i+lag), for every lag.
-
-    ``df`` has a dense ``idx``. Pairs of blocks are multiplied as matrices and only
-    the sums along their diagonals leave the task.
-    """
-    cells = block_cells(df, keys, "idx", [values], block)
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(batches):
-        for pdf in batches:
-            found = []
-            for i in range(len(pdf)):
-                a, b = pdf[f"left_{values}"].iloc[i], pdf[f"right_{values}"].iloc[i]
-                a, b = (np.stack(a), np.stack(b)) if is_vector else (a[:, None], b[:, None])
-                base = int(pdf["right_start"].iloc[i] - pdf["left_start"].iloc[i])
-                offs = np.arange(-len(a) + 1, len(b))
-                pairs = np.minimum(
-                    np.minimum(len(a), len(b) - offs), np.minimum(len(a) + offs, len(b))
-                )
-                keep = offs + base > 0
-                found.append(((offs + base)[keep], diagonal_sums(a, b)[keep], pairs[keep]))
-            if found:
-                times = [len(lags) for lags, _, _ in found]
-                yield pd.DataFrame(
-                    {
-                        **{k: pdf[k].repeat(times).to_numpy() for k in keys},
-                        "lag": np.concatenate([f[0] for f in found]),
-                        "_sum": np.concatenate([f[1] for f in found]),
-                        "_pairs": np.concatenate([f[2] for f in found]),
-                    }
-                )
-
-    parts = cells.drop("left_block", "right_block").mapInPandas(
-        run, f"{kinds}, lag long, _sum double, _pairs long"
-    )
-    return parts.groupBy(*keys, "lag").agg(F.sum("_sum").alias("_sum"), F.sum("_pairs").alias("_pairs"))
-
-
 def sequence_periodicity(
     df: DataFrame, key: str, order: Sequence[str], vec: str = "vec", minimum: int = 8
 ) -> DataFrame:
     """``(key, periodicity)``: largest mean lagged cosine over lags 1..T/2-1."""
     unit = df.select(key, *order, scaled(vec, 1.0 / F.greatest(norm(vec), F.lit(1e-12))).alias("_u"))
-    placed = with_index(unit, [key], order)
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_t"))
-    sums = lagged_products(placed, [key], "_u", True)
-    ok = (F.col("lag") < F.floor(F.col("_t") / 2)) & (F.col("_t") >= minimum)
-    joined = lookup(sums, sizes, [key])
-    best = joined.filter(ok).groupBy(key).agg(F.max(F.col("_sum") / F.col("_pairs")).alias("periodicity"))
-    return lookup(sizes.select(key), best, [key])
+    sums = lag_sums(unit, key, order, "_u", lambda n: (1, n // 2 if n >= minimum else 0))
+    mean = F.col("_sum") / (F.col("_n") - F.col("lag"))
+    best = sums.groupBy(key).agg(F.max(mean).alias("periodicity"))
+    return lookup(df.select(key).distinct(), best, [key])
 
 
 def calibrate(df: DataFrame, metric: str = "metric", value: str = "value") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contest_analytics.functions.curves import bell, clip, ramp
-from contest_analytics.operators.embeddings import lagged_products
+from contest_analytics.operators.autocorrelation import Span, lag_sums
 from contest_analytics.operators.greedy import thinned
 from contest_analytics.scale import (
     around,
@@ -267,16 +267,15 @@ def interval_mix(df: DataFrame, key: str, order: Sequence[str], x: str = "x") ->
     )
 
 
-def centred_lags(df: DataFrame, key: str, order: Sequence[str], x: str) -> tuple[DataFrame, DataFrame]:
-    """``(lags, facts)``: autocovariance sums per lag, and count and sum of squares."""
-    placed = with_index(df.select(key, *order, x), [key], order)
-    facts = placed.groupBy(key).agg(
+def centred_lags(df: DataFrame, key: str, order: Sequence[str], x: str, span: Span) -> tuple[DataFrame, DataFrame]:
+    """``(lags, facts)``: autocovariance sums of the lags of ``span``, and count, mean and sum of squares."""
+    facts = df.groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"),
         F.avg(x).alias("_mean"),
         (F.var_pop(x) * F.count(x)).alias("_zero"),
     )
-    c = lookup(placed, facts, [key]).select(key, "idx", (F.col(x) - F.col("_mean")).alias("_c"))
-    return lookup(lagged_products(c, [key], "_c", False), facts, [key]), facts
+    c = lookup(df, facts, [key]).select(key, *order, (F.col(x) - F.col("_mean")).alias("_c"))
+    return lookup(lag_sums(c, key, order, "_c", span).drop("_n"), facts, [key]), facts
 
 
 def contour(df: DataFrame, key: str, order: Sequence[str], x: str = "x") -> DataFrame:
@@ -285,11 +284,9 @@ def contour(df: DataFrame, key: str, order: Sequence[str], x: str = "x") -> Data
     moves = steps(p, key, order, "_s").groupBy(key).agg(
         F.stddev_pop(F.abs(F.col("_s") - F.col("_p"))).alias("step_std")
     )
-    lags, facts = centred_lags(p, key, order, "_s")
-    low = F.greatest(F.lit(1), F.floor(F.col("_n") / 10))
-    inside = (F.col("lag") >= low) & (F.col("lag") < F.floor(F.col("_n") / 2))
+    lags, facts = centred_lags(p, key, order, "_s", lambda n: (max(1, n // 10), n // 2))
     share = F.when(F.col("_zero") > 0, F.col("_sum") / F.col("_zero")).otherwise(F.col("_sum"))
-    peaks = lags.filter(inside).groupBy(key).agg(F.max(share).alias("peak"))
+    peaks = lags.groupBy(key).agg(F.max(share).alias("peak"))
     joined = lookup(lookup(facts, moves, [key]), peaks, [key])
     smooth = bell("step_std", 1.0, 2.0)
     periodic = F.when(
@@ -305,7 +302,7 @@ def contour(df: DataFrame, key: str, order: Sequence[str], x: str = "x") -> Data
 
 def half_decay(df: DataFrame, key: str, order: Sequence[str], x: str = "x") -> DataFrame:
     """First lag whose autocorrelation is under one half, relative to the length."""
-    lags, facts = centred_lags(df, key, order, x)
+    lags, facts = centred_lags(df, key, order, x, lambda n: (1, n))
     under = lags.filter(F.col("_sum") / (F.col("_zero") + 1e-10) < 0.5)
     first = under.groupBy(key).agg(F.min("lag").alias("_lag"))
     r = F.coalesce("_lag", "_n") / F.col("_n")

@@ -11,7 +11,7 @@ from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from contest_analytics.operators import allocation, boundaries, composite, embeddings, gates, greedy
+from contest_analytics.operators import allocation, autocorrelation, boundaries, composite, embeddings, gates, greedy
 from contest_analytics.operators import leaderboard as lb
 from contest_analytics.operators import preference as pf
 from contest_analytics.operators import series_values as sv
@@ -422,3 +422,30 @@ def test_row_order_and_partitions_do_not_matter(spark):
         state = 0.2 * (i * 37 % 11) / 11 + 0.8 * state
     assert one[3] == pytest.approx(state)
     assert math.isclose(sum(one.values()), 5 * one[0], rel_tol=1e-9)
+
+
+def test_lag_sums_of_long_series(spark, monkeypatch):
+    """Whole series, and longer ones in strips, against the plain sums."""
+    rng = np.random.default_rng(3)
+    series = {s: rng.normal(size=(n, 1)) for s, n in enumerate([1, 2, 9, 64, 333, 1000])}
+    rows = [(s, i, float(v[0]), v.tolist()) for s, x in series.items() for i, v in enumerate(x)]
+    wide = {s: rng.normal(size=(n, 3)) for s, n in enumerate([5, 40, 257])}
+    vectors = [(s, i, 0.0, v.tolist()) for s, x in wide.items() for i, v in enumerate(x)]
+
+    def check(data, held, column):
+        df = spark.createDataFrame(held, "s int, i int, x double, v array<double>")
+        out = autocorrelation.lag_sums(df, "s", ["i"], column, lambda n: (1, n - 1))
+        got = {(r["s"], r["lag"]): (r["_sum"], r["_n"]) for r in out.collect()}
+        want = {
+            (s, lag): (float((x[lag:] * x[: len(x) - lag]).sum()), len(x)) for s, x in data.items() for lag in range(1, len(x) - 1)
+        }
+        assert got.keys() == want.keys()
+        assert all(got[k] == (pytest.approx(want[k][0], abs=1e-9), want[k][1]) for k in want)
+
+    check(series, rows, "x")
+    check(wide, vectors, "v")
+    monkeypatch.setattr(autocorrelation, "STRIP", 128)
+    spark.conf.set("contest_analytics.wholeSeries", "50")
+    check(series, rows, "x")
+    check(wide, vectors, "v")
+    spark.conf.unset("contest_analytics.wholeSeries")
