@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -20,6 +21,7 @@ from contest_analytics.functions.curves import as_col, clip, remap
 from contest_analytics.functions.vectors import dot, norm, scaled
 from contest_analytics.operators.autocorrelation import lag_sums
 from contest_analytics.scale import (
+    TILE,
     around,
     block_cells,
     broadcast_if_small,
@@ -59,19 +61,71 @@ def cosine_score(a, b) -> Column:
     return remap(unit, C.COSINE_FLOOR, C.COSINE_CEILING)
 
 
+def _units(vectors: pa.Array) -> np.ndarray:
+    """Vectors as unit rows; not a number for null vectors and components."""
+    sizes = np.nan_to_num(vectors.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    data = np.zeros((len(vectors), sizes.max(initial=0)))
+    data[np.arange(data.shape[1]) < sizes[:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
+    data[vectors.is_null().to_numpy(zero_copy_only=False)] = np.nan
+    return data / (np.sqrt((data * data).sum(axis=1, keepdims=True)) + 1e-8)
+
+
+def banded_means(units: np.ndarray, first: np.ndarray, skip: int, n: int, chunk: int = 256) -> np.ndarray:
+    """For each row from ``skip`` on, the mean distance to the up to ``n`` rows before it, from
+    ``first`` of it on; one half where there are none."""
+    out = np.empty(len(units) - skip)
+    for start in range(skip, len(units), chunk):
+        rows = np.arange(start, min(start + chunk, len(units)))
+        from_row = np.maximum(first[rows - skip], rows - n)
+        base = max(start - n, 0)
+        gaps = np.clip(1.0 - units[rows] @ units[base : rows[-1]].T, 0.0, 1.0)
+        places = np.arange(base, rows[-1])
+        inside = (places >= from_row[:, None]) & (places < rows[:, None])
+        held = inside.sum(axis=1)
+        total = np.where(inside, gaps, 0.0).sum(axis=1)
+        out[rows - skip] = np.where(held > 0, total / np.maximum(held, 1), 0.5)
+    return out
+
+
 def history_diversity(
     df: DataFrame, key: str, order: Sequence[str], vec: str = "vec", n: int = C.HISTORY
 ) -> DataFrame:
-    """Adds ``own_diversity``: mean distance to the up to ``n`` previous vectors of the key."""
-    unit = df.withColumn("_u", scaled(vec, 1.0 / (norm(vec) + 1e-8)))
-    tiled = ordered(unit, [key], order, before=n)
-    past = F.collect_list("_u").over(around([key]).rowsBetween(-n, -1))
-    tiled = owned(tiled.withColumn("_past", past))
-    gaps = F.transform("_past", lambda p: clip(1.0 - dot(F.col("_u"), p)))
-    mean = F.try_divide(F.aggregate(gaps, F.lit(0.0), lambda s, v: s + v), F.size("_past"))
-    return tiled.withColumn(
-        "own_diversity", F.when(F.size("_past") == 0, 0.5).otherwise(mean)
-    ).drop("_u", "_past", "idx")
+    """Adds ``own_diversity``: mean distance to the up to ``n`` previous vectors of the key.
+
+    Rows pass through in the order of their key; a batch is multiplied with itself and the ``n``
+    vectors carried over from the batch before, along the band that counts. Null where the vector
+    or one of the previous ones is null.
+    """
+    hot = is_hot(df, [key])
+    tiled = ordered(df, [key], order, before=n, hot=hot)
+    if hot:
+        tiled = tiled.repartition(key, TILE)
+    spot_key, spot_tile = tiled.columns.index(key), tiled.columns.index(TILE)
+    spot_vec = tiled.columns.index(vec)
+    schema = T.StructType([*tiled.schema.fields, T.StructField("own_diversity", T.DoubleType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried, current = np.empty((0, 0)), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = list(zip(batch.column(spot_key).to_pylist(), batch.column(spot_tile).to_pylist(), strict=True))
+            units = _units(batch.column(spot_vec))
+            if names[0] != current:
+                carried = carried[:0]
+            width = max(units.shape[1], carried.shape[1])
+            pad = lambda m: np.pad(m, ((0, 0), (0, width - m.shape[1])))
+            whole, skip = np.concatenate([pad(carried), pad(units)]), len(carried)
+            new = np.array([i > 0 and names[i] != names[i - 1] for i in range(len(names))])
+            # Where each row's key begins among the carried and the new vectors.
+            first = np.maximum.accumulate(np.where(new, np.arange(len(names)) + skip, 0))
+            means = banded_means(whole, first, skip, n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(means, from_pandas=True)], schema.names)
+            current = names[-1]
+            carried = whole[max(int(first[-1]), len(whole) - n) :]
+
+    rows = tiled.sortWithinPartitions(key, TILE, "idx").mapInArrow(run, schema)
+    return owned(rows).drop("idx")
 
 
 def population_diversity(

@@ -138,6 +138,21 @@ def _(spark, d):
     )
 
 
+@query(
+    "vector_covariance",
+    oracle(
+        """select a.i, b.i as j, round(covar_samp(a.x, b.x), 6) as cov, count(*) as n from h_e a join h_e b using (seq)
+          group by a.i, b.i""",
+        h_e="select seq, unnest(vec) as x, unnest(range(1, len(vec) + 1)) as i from v_vectors",
+    ),
+)
+def _(spark, d):
+    m = em.vector_moments(view(spark, d, "v_vectors")).select("n", F.posexplode("cov").alias("i", "row"))
+    return m.select("n", "i", F.posexplode("row").alias("j", "cov")).select(
+        (F.col("i") + 1).cast("long").alias("i"), (F.col("j") + 1).cast("long").alias("j"), rounded("cov").alias("cov"), "n"
+    )
+
+
 @query("frechet_distance")
 def _(spark, d):
     out = em.frechet_distance(
@@ -146,6 +161,48 @@ def _(spark, d):
     return out.select("contributor", "n", rounded("distance").alias("distance"))
 
 
+#: Moments of unit vectors in the plane. The root of a 2 x 2 matrix M with roots of its own has the
+#: trace sqrt(tr M + 2 sqrt(det M)), so the distance of two normal distributions has a closed form.
+PLANE = "select * replace ([vec[1], vec[2]] as vec) from v_vectors"
+
+
+def plane_moments(rows: str, key: str) -> str:
+    return f"""select {key} as k, count(*) as n, avg(x) as mx, avg(y) as my, var_samp(x) + 1e-6 as a, var_samp(y) + 1e-6 as b,
+      covar_samp(x, y) as c from (select {key}, vec[1] / sqrt(vec[1] ** 2 + vec[2] ** 2) as x, vec[2] / sqrt(vec[1] ** 2 + vec[2] ** 2) as y
+      from {rows}) group by {key}"""
+
+
+PLANE_DISTANCE = """greatest(0e0, (p.mx - r.mx) ** 2 + (p.my - r.my) ** 2 + p.a + p.b + r.a + r.b - 2e0 * sqrt(
+  p.a * r.a + 2e0 * p.c * r.c + p.b * r.b + 2e0 * sqrt(greatest(0e0, (p.a * p.b - p.c * p.c) * (r.a * r.b - r.c * r.c)))))"""
+PLANE_H = {
+    "h_last": plane_moments("h_recent", "contributor"),
+    "h_recent": "select * from h_plane qualify row_number() over (partition by contributor order by seq desc) <= 50",
+    "h_ref": plane_moments("(select *, 0 as one from h_plane where contributor < 5)", "one"),
+    "h_plane": PLANE,
+}
+
+
+def plane(spark, d):
+    return view(spark, d, "v_vectors").withColumn("vec", F.slice("vec", 1, 2))
+
+
+def plane_reference(spark, d):
+    return em.fit_distribution(plane(spark, d).filter("contributor < 5"))
+
+
+@query(
+    "frechet_distance_plane",
+    oracle(
+        f"""select p.k as contributor, p.n, round(case when p.n >= 10 and r.n >= 10 then {PLANE_DISTANCE} end, 6) as distance
+          from h_last p cross join h_ref r""",
+        **PLANE_H,
+    ),
+)
+def _(spark, d):
+    out = em.frechet_distance(plane(spark, d), plane_reference(spark, d), "contributor", ["seq"])
+    return out.select("contributor", "n", rounded("distance").alias("distance"))
+
+
 @query(
     "distance_penalty",
     oracle("""select id, round(case when id % 6 = 0 then 1e0 else

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from contest_analytics.functions.curves import rounded
 from contest_analytics.functions.hooks import ScorerRegistry, batch_scorer, expand_rows
 from contest_analytics.plans.adapters import SPARK_VIEWS, oracle, view
-from contest_analytics.plans.embedding_queries import reference
+from contest_analytics.plans.embedding_queries import PLANE_DISTANCE, PLANE_H, plane, plane_reference, reference
 from contest_analytics.plans.leaderboard_queries import EMA_SQL
 from contest_analytics.plans.preference_queries import VOTE
 from contest_analytics.plans.registry import ORACLES, query
@@ -74,6 +74,26 @@ def _(spark, d):
     return flat.select("contributor", "n", rounded("distance").alias("distance"), rounded("penalty").alias("penalty"))
 
 
+@query(
+    "stream_window_distance_plane",
+    oracle(
+        f"""select contributor, n, round(distance, 6) as distance, round(case when distance is null then 1e0
+            else 5e-1 + 5e-1 / (1e0 + pow(distance / 15e0, 2)) end, 6) as penalty from (
+          select p.k as contributor, p.n, case when p.n >= 10 and r.n >= 10 then {PLANE_DISTANCE} end as distance
+          from h_last p cross join h_ref r)""",
+        **PLANE_H,
+    ),
+)
+def _(spark, d):
+    """In five micro-batches, so that the windows of fifty vectors move on."""
+    stateful.use_rocksdb(spark)
+    row = plane_reference(spark, d).first()
+    rows = sinks.feed(plane(spark, d).select("contributor", "seq", "vec"), "seq", 5)
+    out = stateful.stream_window_distance(rows, (row["mean"], row["cov"]) if row else None)
+    flat = sinks.drain(out, keys=["contributor"])
+    return flat.select("contributor", "n", rounded("distance").alias("distance"), rounded("penalty").alias("penalty"))
+
+
 @query(
     "stream_epoch_agg",
     oracle("""select sec - e as epoch_start, case when e < 60 then 'sync' when (e - 60) // 240 < 4 then 'round' else 'cooldown' end as phase,

@@ -104,14 +104,19 @@ class _Window(StatefulProcessor):
         self.state = handle.getListState("vectors", "vec array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = [list(v[0]) for v in self.state.get()] if self.state.exists() else []
-        for vec in in_order(rows, self.order)["vec"]:
-            size = None if vec is None else float(np.linalg.norm(vec))
-            if size is not None and size >= 1e-8:
-                held.append([float(v) / size for v in vec])
+        held = [v[0] for v in self.state.get()] if self.state.exists() else []
+        # Only the last ``n`` usable vectors of the batch can matter; no more are ever held.
+        latest = None
+        for part in rows:
+            sizes = part["vec"].map(lambda v: 0.0 if v is None else float(np.linalg.norm(v)))
+            part = part.assign(size=sizes)[sizes >= 1e-8]
+            latest = part if latest is None else pd.concat([latest, part])
+            latest = latest.sort_values(self.order, kind="stable").tail(self.n)
+        if len(latest):
+            held += list(np.stack(latest["vec"].to_numpy()) / latest["size"].to_numpy()[:, None])
         held = held[-self.n :]
         if held:
-            self.state.put([(v,) for v in held])
+            self.state.put([([float(x) for x in v],) for v in held])
         distance = None
         if self.reference is not None and len(held) >= C.MIN_VECTORS:
             x = np.array(held)
