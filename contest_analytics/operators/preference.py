@@ -6,7 +6,8 @@ import warnings
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -160,6 +161,23 @@ def model_weights(model: LogisticRegressionModel) -> list[float]:
     return [float(v) for v in model.coefficients]
 
 
+def fit_certificate(pairs: DataFrame, weights: Sequence[float], reg: float = 0.01, tolerance: float = 1e-4) -> DataFrame:
+    """One row ``(n, dims, slope, optimal)``: is the loss that ``fit_preference`` minimises flat at ``weights``?
+
+    ``slope`` is the largest entry of its gradient, mean((sigmoid(w.d) - 1) d) + reg w. The loss is
+    strictly convex, so a flat place is the one minimum.
+    """
+    w = F.array(*[F.lit(float(x)) for x in weights])
+    diff = pairs.select(F.zip_with("preferred_vec", "rejected_vec", lambda x, y: x - y).alias("d"))
+    pull = diff.withColumn("_p", logistic(dot("d", w)) - 1.0)
+    means = pull.agg(
+        F.count(F.lit(1)).alias("n"),
+        vector_to_array(Summarizer.mean(array_to_vector(F.transform("d", lambda v: v * F.col("_p"))))).alias("_g"),
+    )
+    slope = F.array_max(F.zip_with("_g", w, lambda g, x: F.abs(g + reg * x)))
+    return means.select("n", F.size("_g").alias("dims"), slope.alias("slope"), (slope <= tolerance).alias("optimal"))
+
+
 def preference_score(df: DataFrame, weights: Sequence[float] | None, vec: str = "vec") -> DataFrame:
     """Adds ``preference``; 0.5 without a model or a vector."""
     if not weights:

@@ -2,6 +2,7 @@
 
 from contest_analytics.plans import (  # noqa: F401
     embedding_queries,
+    file_queries,
     leaderboard_queries,
     lookup_queries,
     preference_queries,

@@ -359,3 +359,16 @@ def _(spark, d):
         .groupBy("reason")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+
+
+@query(
+    "validate_lyrics",
+    oracle("""select id, array_to_string(list_filter([case when length(text) not between 1 and 2000 then 'prompt' end,
+      case when length(text) > 5000 then 'lyrics' end], lambda r: r is not null), ',') as reasons from v_text"""),
+)
+def _(spark, d):
+    """Whole documents as prompts and lyrics: every length that the tables hold."""
+    none = {c: F.lit(None).cast("double") for c in ("tempo_bpm", "duration_seconds", "num_variations")}
+    v = view(spark, d, "v_text").select("id", F.col("text").alias("prompt"), F.col("text").alias("lyrics"))
+    out = src.validate_requests(v.withColumns({**none, "format": F.lit("wav")}))
+    return out.select("id", F.array_join("reasons", ",").alias("reasons"))

@@ -130,6 +130,22 @@ def _(spark, d):
     return out.select("pair_id", rounded("score_preferred").alias("score_preferred"), rounded("score_rejected").alias("score_rejected"))
 
 
+@query(
+    "fit_certificate",
+    oracle(
+        """select count(*) - greatest(1, floor(count(*) * 0.2::double))::bigint as n, 64::int as dims, true as optimal
+          from h_ann where preferred <> 'skip' and a % 17 <> 0 and b % 17 <> 0""",
+        **PREF,
+    ),
+)
+def _(spark, d):
+    """The fitted weights are where the regularised loss is flat, on all training pairs."""
+    good, _dropped = pf.oriented_pairs(annotations(spark, d), cached_vectors(spark, d))
+    training = pf.split_pairs(good).filter("not is_validation")
+    weights = pf.model_weights(pf.fit_preference(training))
+    return pf.fit_certificate(training, weights).select("n", "dims", "optimal")
+
+
 @query("heldout_metrics")
 def _(spark, d):
     return pf.pairwise_metrics(held_out(spark, d))
@@ -203,6 +219,23 @@ def _(spark, d):
     return out.withColumn("reliability", rounded("reliability"))
 
 
+@query(
+    "resolved_reliability",
+    oracle(
+        """select annotator, round(list_reduce(list_prepend(1e0, list(case when agreed then 1e-1 else 0e0 end order by ts, event_id)),
+          lambda r, g: greatest(g + 9e-1 * r, 1e-1)), 6) as reliability, count(*) as votes from h_agree group by annotator""",
+        h_agree=RESOLVED.replace("0.52", "0.6").replace("v_votes", "h_daily"),
+        h_daily="select * replace (ts // 86400000000 * 40 + pair % 40 as pair) from v_votes",
+    ),
+)
+def _(spark, d):
+    """Agreement with the winner of each vote's pair, in the order of the votes."""
+    v = view(spark, d, "v_votes")
+    daily = v.withColumn("pair", F.floor(F.col("ts") / 86_400_000_000) * 40 + F.col("pair") % 40)
+    out = pf.annotator_reliability(pf.vote_agreement(daily), order=["ts", "event_id"])
+    return out.withColumn("reliability", rounded("reliability"))
+
+
 DAILY = "select day, contributor as uid, avg(raw) as score from v_scores group by day, contributor"
 
 
@@ -232,6 +265,23 @@ def _(spark, d):
     return pf.retrain_due(annotations(spark, d), now=100_000, last_run=90_000, last_count=100)
 
 
+@query(
+    "retrain_blocked",
+    oracle("""select kind, case when kind = 'empty' then 0 else n end as total, case when kind = 'empty' then 0 when kind = 'known' then 4 else n end as new_pairs,
+      case kind when 'empty' then 'too_few_total' when 'known' then 'too_few_new' when 'soon' then 'cooldown' end as blocked_by, kind = 'later' as due
+      from (select count(*) as n from v_votes), (select unnest(['empty', 'known', 'soon', 'later']) as kind)"""),
+)
+def _(spark, d):
+    """Every reason that blocks a run, and a run that is due."""
+    votes = view(spark, d, "v_votes").select("event_id")
+    seen = votes.count() - 4
+    cases = [("empty", votes.filter("event_id is null"), 9_000, 0), ("known", votes, 9_000, seen), ("soon", votes, 7_199, 0), ("later", votes, 7_200, 0)]
+    parts = [
+        pf.retrain_due(rows, now=now, last_run=0, last_count=known).withColumn("kind", F.lit(kind)) for kind, rows, now, known in cases
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 # --- allocation -------------------------------------------------------------
 
 

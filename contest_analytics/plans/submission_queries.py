@@ -122,6 +122,23 @@ def _(spark, d):
     return gates.payload_gate(v).select("contributor", "batch", "seq", "reject_reason")
 
 
+@query(
+    "payload_sizes",
+    oracle("""select seq, case when seq % 250 = 3 then 'too_large' when seq % 250 = 7 then 'too_long' end as reject_reason from v_vectors"""),
+)
+def _(spark, d):
+    """Payloads one byte beyond the limit, and exactly at it."""
+    over, full = (F.encode(F.repeat(F.lit("x"), C.MAX_PAYLOAD_BYTES + n), "utf-8") for n in (1, 0))
+    v = view(spark, d, "v_vectors").withColumns(
+        {
+            "payload": F.when(F.col("seq") % 250 == 3, over).when(F.col("seq") % 250 == 7, full).otherwise(F.encode(F.lit("x"), "utf-8")),
+            "seconds": F.when(F.col("seq") % 250 == 7, C.MAX_SECONDS + 0.5).otherwise(C.MAX_SECONDS * 1.0),
+            "samples": F.col("vec"),
+        }
+    )
+    return gates.payload_gate(v).select("seq", "reject_reason")
+
+
 @query(
     "sanitize_score",
     oracle("""select event_id, case when event_id % 10 in (0, 2) then 0e0

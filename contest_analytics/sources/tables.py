@@ -83,17 +83,73 @@ def scan_files(
     folder: str,
     exts: Sequence[str] = ("wav", "mp3", "flac", "ogg"),
     max_files: int | None = None,
+    ordered: bool = True,
 ) -> DataFrame:
-    """Binary files below ``folder`` in path order. Listing reads no content when
-    only ``path`` and ``length`` are used."""
+    """Binary files below ``folder``, in path order if ``ordered``. Listing reads no content
+    when only ``path`` and ``length`` are used."""
     found = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     )
     suffix = F.lower(F.substring_index("path", ".", -1))
-    kept = found.filter(suffix.isin([e.lower().lstrip(".") for e in exts])).orderBy("path")
+    kept = found.filter(suffix.isin([e.lower().lstrip(".") for e in exts]))
+    if ordered or max_files is not None:
+        kept = kept.orderBy("path")
     return kept if max_files is None else kept.limit(max_files)
 
 
+#: A round's sidecar.
+SIDECAR = T.StructType(
+    [
+        T.StructField("prompt", T.StringType()),
+        T.StructField("genre", T.StringType()),
+        T.StructField("duration_seconds", T.DoubleType()),
+    ]
+)
+
+
+def round_of(path) -> Column:
+    """The challenge a file belongs to: its folder, or the folder ``challenge=...`` above it."""
+    named = F.regexp_extract(as_col(path), r"/challenge=([^/]+)/", 1)
+    return F.coalesce(F.nullif(named, F.lit("")), F.regexp_extract(as_col(path), r"([^/]+)/[^/]+$", 1))
+
+
+def uid_of(path) -> Column:
+    """The contributor of a file: the number in its name, or in the folder ``uid=...`` above it."""
+    named = F.regexp_extract(as_col(path), r"/uid=([^/]+)/", 1)
+    stem = F.regexp_extract(as_col(path), r"([^/]+?)(?:\.[^./]+)?$", 1)
+    return F.coalesce(F.nullif(named, F.lit("")), stem).try_cast("long")
+
+
+def read_round_tree(
+    spark: SparkSession, folder: str, exts: Sequence[str] = ("wav", "mp3", "flac", "ogg"), sidecar: str = "*.json"
+) -> DataFrame:
+    """Responses kept as files: ``<challenge>/<uid>.<ext>`` beside a sidecar of the challenge.
+
+    Returns ``challenge_id``, ``prompt``, ``genre``, ``duration_seconds``, ``uid``, ``path``, ``length``
+    and ``payload``, a row for each file. Folders may also be written by ``partitionBy``, as
+    ``challenge=<challenge>/uid=<uid>/``. A challenge without a sidecar keeps its files, with nulls;
+    of several sidecars the first by path counts; a file whose name is no number has a null ``uid``.
+    """
+    files = scan_files(spark, folder, exts, ordered=False).select(
+        round_of("path").alias("challenge_id"),
+        uid_of("path").alias("uid"),
+        "path",
+        "length",
+        F.col("content").alias("payload"),
+    )
+    meta = (
+        spark.read.schema(SIDECAR)
+        .option("multiLine", True)
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", sidecar)
+        .json(folder)
+        .select(F.col("_metadata.file_path").alias("at"), *SIDECAR.names)
+    )
+    first = meta.groupBy(round_of("at").alias("challenge_id")).agg(F.min_by(F.struct(*SIDECAR.names), "at").alias("m"))
+    joined = files.join(first, "challenge_id", "left")
+    return joined.select("challenge_id", *[F.col(f"m.{c}").alias(c) for c in SIDECAR.names], "uid", "path", "length", "payload")
+
+
 def attach_metadata(
     pairs: DataFrame, meta: DataFrame, folder_a: str = "folder_a", folder_b: str = "folder_b"
 ) -> DataFrame:

@@ -136,3 +136,23 @@ assert abs(gates.word_error_rate(rows).first().wer - 1 / 3) < 1e-9
 """
     env = {**os.environ, "PYTHONPATH": root}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=180)
+
+
+def test_round_tree(spark, tmp_path):
+    for name in ("c1/7.wav", "c1/8.mp3", "c1/notes.txt", "c2/9.wav", "c2/x.wav", "challenge=c3/uid=10/part-0.wav"):
+        p = tmp_path / "tree" / name
+        p.parent.mkdir(exist_ok=True, parents=True)
+        p.write_bytes(name.encode())
+    (tmp_path / "tree/c1/metadata.json").write_text(json.dumps({"prompt": "p", "genre": "g", "duration_seconds": 3, "mood": "m"}, indent=2))
+    (tmp_path / "tree/c1/older.json").write_text(json.dumps({"prompt": "second"}))
+    (tmp_path / "tree/challenge=c3/metadata.json").write_text(json.dumps({"prompt": "q"}))
+    rows = tables.read_round_tree(spark, str(tmp_path / "tree")).collect()
+    got = {(r["challenge_id"], r["uid"]): (r["prompt"], r["genre"], r["duration_seconds"], bytes(r["payload"]).decode()) for r in rows}
+    assert got == {
+        ("c1", 7): ("p", "g", 3.0, "c1/7.wav"),
+        ("c1", 8): ("p", "g", 3.0, "c1/8.mp3"),
+        ("c2", 9): (None, None, None, "c2/9.wav"),
+        ("c2", None): (None, None, None, "c2/x.wav"),
+        ("c3", 10): ("q", None, None, "challenge=c3/uid=10/part-0.wav"),
+    }
+    assert all(r["length"] == len(r["payload"]) for r in rows)
