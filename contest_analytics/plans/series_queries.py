@@ -157,8 +157,8 @@ CENTRED = "select *, sum(c * c) over (partition by series_id) as z from (select
           round(list_avg([(d > 5e0 and d <= 12e0)::int for d in moves]), 6) as leaps,
           round(list_avg([(d > 12e0)::int for d in moves]), 6) as jumps,
           round(case when n < 2 then 0e0 when len(moves) = 0 or list_unique([round_even(x, 0) for x in notes]) <= 2 then 15e-2 else
-            {_clip("""list_avg([case when d <= 5e0 then 1e0 when d <= 12e0 then 5e-1 else -5e-1 end for d in moves])
-              + least(15e-2, 15e-3 * list_unique([round_even(d, 0) for d in moves]))""")} end, 6) as score from h_moves""",
+            {_clip("""list_avg([(d >= 5e-1 and d <= 5e0)::int for d in moves]) + 5e-1 * list_avg([(d > 5e0 and d <= 12e0)::int for d in moves])
+              - 5e-1 * list_avg([(d > 12e0)::int for d in moves]) + least(15e-2, 15e-3 * list_unique([round_even(d, 0) for d in moves]))""")} end, 6) as score from h_moves""",
         h_moves="select *, [abs(notes[j + 1] - notes[j]) for j in range(1, len(notes))] as moves from h_notes",
         h_notes=f"""select series_id, any_value(n) as n, list_reduce(list([s] order by i), lambda x, y:
           case when abs(y[1] - x[-1]) >= 5e-1 then list_append(x, y[1]) else x end) as notes from h_pitch group by series_id""",
