@@ -18,7 +18,19 @@ from contest_analytics import config as C
 from contest_analytics.functions.curves import clip, sanitize_score
 from contest_analytics.operators.lookups import match_identity
 from contest_analytics.operators.greedy import spaced
-from contest_analytics.scale import are_hot, around, is_hot, lookup, ordered, owned, quantiles, with_index
+from contest_analytics.scale import (
+    FACTS,
+    are_hot,
+    around,
+    facts,
+    is_hot,
+    key_sizes,
+    lookup,
+    ordered,
+    owned,
+    quantiles,
+    with_index,
+)
 
 
 def ema(
@@ -192,6 +204,12 @@ def tiered_weights(
     Zero scores sort last, so a rank <= k with a positive score is elite in both
     senses the contest uses. Tier totals are two sums per contest, joined back.
     """
+    # A large contest is ranked in runs: its rows are then joined where they are.
+    number = FACTS + 1
+    if hot is None:
+        hot, number = key_sizes(board, contest)
+    elif hot:
+        number = board.select(*contest).distinct().count()
     ranked = ranked_board(board, contest, key, hot).withColumn(
         "tier", F.when(F.col("rank") <= k, "elite").otherwise("rest")
     )
@@ -200,7 +218,8 @@ def tiered_weights(
         F.sum(F.when(F.col("tier") == "elite", F.col("_raw"))).alias("_elite"),
         F.sum(F.when(F.col("tier") == "rest", F.col("_raw"))).alias("_rest"),
     )
-    joined = lookup(ranked, sums, contest)
+    # Ranked in one window, the rows are together by contest already.
+    joined = facts(ranked, sums, contest, number if hot else FACTS + 1)
     rest = F.coalesce(F.col("_rest"), F.lit(0.0))
     share = (
         F.when(F.col("tier") == "rest", 1.0 - pool).when(rest > 0, pool).otherwise(1.0)
@@ -249,7 +268,7 @@ def normalize_weights(df: DataFrame, partition: Sequence[str], w: str = "w") ->
     sums = df.groupBy(*partition).agg(
         F.sum(pos).alias("_total"), F.count(F.lit(1)).alias("_n")
     )
-    joined = lookup(df, sums, partition)
+    joined = facts(df, sums, partition, df.select(*partition).distinct().count())
     return joined.withColumn(
         "share",
         F.when(F.col("_total") > 0, pos / F.col("_total")).otherwise(1.0 / F.col("_n")),
@@ -279,7 +298,7 @@ def cap_weights(
     sums = df.groupBy(*partition).agg(
         F.sum(w).alias("_total"), F.count(F.lit(1)).alias("_n"), F.max(w).alias("_max")
     )
-    facts = lookup(sums, tops, partition)
+    known = lookup(sums, tops, partition)
     # For the r-th largest share e_r: everything above it is lifted down to e_r, and
     # its part of the remaining mass is e_r / ((r-1) e_r + sum of shares up to it).
     # Entries at or above the limit number k = the first r (from the top) that fails.
@@ -294,22 +313,23 @@ def cap_weights(
         / ((r - 1) * F.element_at(F.col("_shares"), r) + (1.0 - above(r)) + eps)
         >= limit,
     )
-    facts = facts.withColumn("_shares", shares).withColumn("_k", F.size(over))
+    known = known.withColumn("_shares", shares).withColumn("_k", F.size(over))
     below = 1.0 - F.aggregate(
         F.slice("_shares", F.lit(1), F.col("_k")), F.lit(0.0), lambda s, v: s + v
     )
     cutoff = F.try_divide(limit * below - eps, 1.0 - limit * F.col("_k")) * F.col("_total")
-    facts = facts.withColumn(
+    known = known.withColumn(
         "_mode",
         F.when((F.col("_total") == 0) | (F.col("_n") * limit <= 1), "uniform")
         .when(F.try_divide("_max", "_total") <= limit, "plain")
         .otherwise("cut"),
     ).withColumn("_cut", F.when(F.col("_mode") == "cut", cutoff))
     # Next to nothing below the limit: every entry is cut down to the same value.
-    facts = facts.withColumn(
+    known = known.withColumn(
         "_mode", F.when(F.col("_cut") < 0, "uniform").otherwise(F.col("_mode"))
     )
-    joined = lookup(df, facts.select(*partition, "_mode", "_cut", "_n", "_total"), partition)
+    number = df.select(*partition).distinct().count()
+    joined = facts(df, known.select(*partition, "_mode", "_cut", "_n", "_total"), partition, number)
     # What is left after the cut: the cutoff may lie below entries that are not among the k.
     capped = F.when(F.col("_mode") == "cut", F.least(F.col(w), F.col("_cut"))).otherwise(F.col(w))
     left = (
@@ -318,7 +338,7 @@ def cap_weights(
         .agg(F.sum(F.least(F.col(w), F.col("_cut"))).alias("_left"))
     )
     return (
-        lookup(joined, left, partition)
+        facts(joined, left, partition, number)
         .withColumn(
             "share",
             F.when(F.col("_mode") == "uniform", 1.0 / F.col("_n")).otherwise(
@@ -362,19 +382,20 @@ def smooth_weights(
     cadence), so their numbering is a small table.
     """
     pubs = with_index(df.select(publication).distinct(), [], [publication], "_p")
-    numbered = lookup(df.filter(F.col(w) != 0), pubs, [publication])
+    number = pubs.count()
+    numbered = facts(df.filter(F.col(w) != 0), pubs, [publication], number)
     spread = numbered.select(
         key,
         w,
         F.explode(F.sequence(F.col("_p"), F.col("_p") + (n - 1))).alias("_p"),
     )
     sums = spread.groupBy("_p", key).agg(F.sum(w).alias("_s"))
-    avg = sums.join(pubs, "_p").select(
+    avg = facts(sums, pubs, ["_p"], number, "inner").select(
         publication, key, (F.col("_s") / F.least(F.col("_p"), F.lit(n))).alias("smoothed")
     )
     totals = avg.groupBy(publication).agg(F.sum("smoothed").alias("_t"))
     return (
-        lookup(avg, totals, [publication])
+        facts(avg, totals, [publication], number)
         .withColumn("share", F.try_divide("smoothed", "_t"))
         .drop("_t")
     )

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
 TILE_ROWS = 65_536
+#: Facts of one row for each key that may be sent to every task.
+FACTS = 200_000
 
 TILE = "_tile"
 OWN = "_own"
@@ -47,12 +49,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def is_hot(df: DataFrame, keys: Sequence[str]) -> bool:
-    """True when some key holds more rows than one task should take."""
+def key_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[bool, int]:
+    """Whether some key holds more rows than one task should take, and the number of keys."""
     limit = _conf_int(df.sparkSession, "hotRows", HOT_ROWS)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0]
-    return (largest or 0) > limit
+    row = sizes.agg(F.max("n"), F.count(F.lit(1))).first()
+    return (row[0] or 0) > limit, row[1]
+
+
+def is_hot(df: DataFrame, keys: Sequence[str]) -> bool:
+    """True when some key holds more rows than one task should take."""
+    return key_sizes(df, keys)[0]
 
 
 def are_hot(df: DataFrame, outer: Sequence[str], inner: Sequence[str]) -> tuple[bool, bool]:
@@ -86,6 +93,11 @@ def lookup(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "lef
     return df.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def facts(df: DataFrame, small: DataFrame, keys: Sequence[str], number: int, how: str = "left") -> DataFrame:
+    """:func:`lookup` of ``number`` facts: up to ``FACTS`` are sent to every task, so no row of ``df`` moves."""
+    return lookup(df, F.broadcast(small) if number <= FACTS else small, keys, how)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Gives a small input enough partitions for work that is heavy per row.
 
@@ -97,7 +109,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if few and cores > 1 else df
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+def broadcast_if_small(df: DataFrame, rows: int = FACTS) -> DataFrame:
     """``df`` with a broadcast hint when it has at most ``rows`` rows, else as it is.
 
     Meant for checkpointed results, whose size Spark cannot estimate: without the
