@@ -6,8 +6,10 @@ paragraphs that ends with one whose hash starts with 0 to 3: boundaries follow t
 content, and an insertion changes one section and not all later ones. A section's
 hash is the SHA-256 of its paragraphs' hashes, the root that of the sections' hashes.
 
-Equal roots mean equal texts. Where roots differ, only sections that the other tree
-lacks are opened, and their paragraphs that the other tree lacks are the edits.
+Equal roots mean equal texts. Where roots differ, sections are compared first, and only
+those that the other tree lacks are opened: :func:`edit_place` narrows the stretch of
+paragraphs that differ down to its ends, :func:`locate_edits` lists every paragraph that was
+removed, added or moved.
 
 Everything here is DataFrame functions.
 """
@@ -33,18 +35,22 @@ def leaf_hashes(text: Column) -> Column:
     return F.transform(paragraphs(text), lambda p: F.sha2(p, 256))
 
 
-def section_hashes(leaves: Column) -> Column:
+def branches(leaves: Column) -> Column:
+    """The sections in order: structs of ``hash`` and ``size``, the number of paragraphs."""
     ends = F.transform(leaves, lambda h: F.when(h < "4", F.concat(h, F.lit(MARK))).otherwise(h))
-    return F.transform(F.split(F.array_join(ends, ""), r"\|", -1), lambda s: F.sha2(s, 256))
+    return F.transform(
+        F.split(F.array_join(ends, ""), r"\|", -1),
+        lambda s: F.struct(F.sha2(s, 256).alias("hash"), (F.length(s) / 64).cast("int").alias("size")),
+    )
 
 
-def root_hash(leaves: Column) -> Column:
-    return F.sha2(F.array_join(section_hashes(leaves), ""), 256)
+def root_hash(sections: Column) -> Column:
+    return F.sha2(F.array_join(F.transform(sections, lambda s: s["hash"]), ""), 256)
 
 
-def short(leaves: Column) -> Column:
-    """The leaves' first 64 bits as longs, enough to compare two documents."""
-    return F.transform(leaves, lambda h: F.conv(F.substring(h, 1, 15), 16, 10).cast("long"))
+def short(hash_of: Column) -> Column:
+    """The first 60 bits of a hash as a long, enough to compare two documents."""
+    return F.conv(F.substring(hash_of, 1, 15), 16, 10).cast("long")
 
 
 def likeness(root: Column, leaves: Column, other_root: Column, other_leaves: Column) -> Column:
@@ -55,21 +61,71 @@ def likeness(root: Column, leaves: Column, other_root: Column, other_leaves: Col
 
 
 def with_tree(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
-    """Adds ``<prefix>root`` and ``<prefix>leaves`` for the column ``text`` (no nulls)."""
-    hashed = df.withColumn("_hashes", leaf_hashes(F.col(text)))
+    """Adds ``<prefix>root``, ``<prefix>leaves`` and ``<prefix>sections`` for the column ``text`` (no nulls)."""
+    hashed = df.withColumn("_hashes", leaf_hashes(F.col(text))).withColumn("_sections", branches(F.col("_hashes")))
     return hashed.select(
         *df.columns,
-        root_hash(F.col("_hashes")).alias(f"{prefix}root"),
-        short(F.col("_hashes")).alias(f"{prefix}leaves"),
+        root_hash(F.col("_sections")).alias(f"{prefix}root"),
+        F.transform("_hashes", short).alias(f"{prefix}leaves"),
+        F.transform("_sections", lambda s: F.struct(short(s["hash"]).alias("hash"), s["size"].alias("size"))).alias(
+            f"{prefix}sections"
+        ),
+    )
+
+
+def _alike(one: Column, other: Column) -> Column:
+    """How many entries two arrays have in common from the start."""
+    n = F.least(F.size(one), F.size(other))
+    same = F.zip_with(F.slice(one, 1, n), F.slice(other, 1, n), lambda x, y: x == y)
+    differs = F.array_position(same, False).cast("int")
+    return F.when(differs == 0, n).otherwise(differs - 1)
+
+
+def _covered(sections: Column, number: Column) -> Column:
+    return F.aggregate(F.slice(sections, 1, number), F.lit(0), lambda n, s: n + s["size"])
+
+
+def _after(leaves: Column, skip: Column) -> Column:
+    return F.slice(leaves, skip + 1, F.greatest(F.size(leaves) - skip, F.lit(0)))
+
+
+def edit_place(df: DataFrame, prefix: str, name: str) -> DataFrame:
+    """Adds ``name``: ``first:removed:added`` of the trees without and with ``prefix``.
+
+    The stretch of paragraphs that differ begins at the paragraph ``first``; it has ``removed``
+    paragraphs in one tree and ``added`` in the other. Equal leading and trailing sections are
+    passed over whole; only in what is left are paragraphs compared. Empty for equal trees.
+    """
+    one, other = F.col("sections"), F.col(f"{prefix}sections")
+    passed = df.withColumn("_front", _covered(one, _alike(one, other)))
+    passed = passed.withColumn("_back", _covered(F.reverse(one), _alike(F.reverse(one), F.reverse(other))))
+    sides = ("leaves", f"{prefix}leaves")
+    begun = passed.withColumn("_first", F.col("_front") + _alike(*[_after(F.col(c), F.col("_front")) for c in sides]))
+    # What follows the first difference, from its end; sections there may reach over it.
+    rest = begun.withColumns({f"_rest{i}": F.reverse(_after(F.col(c), F.col("_first"))) for i, c in enumerate(sides)})
+    least = F.least(F.col("_back"), F.size("_rest0"), F.size("_rest1"))
+    ended = rest.withColumn("_back", least).withColumn(
+        "_last", F.col("_back") + _alike(*[_after(F.col(f"_rest{i}"), F.col("_back")) for i in range(2)])
     )
+    removed, added = (F.size(f"_rest{i}") - F.col("_last") for i in range(2))
+    place = F.concat_ws(":", "_first", removed, added)
+    return ended.select(*df.columns, F.when(F.col("root") == F.col(f"{prefix}root"), "").otherwise(place).alias(name))
 
 
 def tree_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The tree as rows: ``doc_id``, ``paragraph``, ``start``, ``length`` (code points),
-    ``section`` (from 0), ``hash``, ``section_hash``. Ids are unique; null texts are empty."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    cut = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(paragraphs(text)).alias("paragraph", "_p"))
-    before = W.partitionBy("doc_id").orderBy("paragraph").rowsBetween(W.unboundedPreceding, -1)
+    """The tree as rows: ``doc_id``, ``copy``, ``paragraph``, ``start``, ``length`` (code points),
+    ``section`` (from 0), ``hash``, ``section_hash``.
+
+    Defined cases: a null text is empty, its tree one empty paragraph; a null id is an id; rows
+    that share an id are its copies from 0 on, in the order of their text's SHA-256; an empty
+    table gives no rows; other columns are ignored.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    named = docs.select(
+        F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("_row"), F.sha2(text, 256).alias("_sha"), text.alias("_text")
+    )
+    cut = named.select("doc_id", "_row", "_sha", F.posexplode(paragraphs(F.col("_text"))).alias("paragraph", "_p"))
+    before = W.partitionBy("doc_id", "_row").orderBy("paragraph").rowsBetween(W.unboundedPreceding, -1)
     closes = F.when(F.col("hash") < "4", 1).otherwise(0)
     rows = (
         cut.withColumn("length", F.length("_p"))
@@ -78,18 +134,61 @@ def tree_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         .withColumn("start", F.coalesce(F.sum("length").over(before), F.lit(0)))
         .withColumn("section", F.coalesce(F.sum(closes).over(before), F.lit(0)))
     )
-    inside = W.partitionBy("doc_id", "section").orderBy("paragraph").rowsBetween(
+    inside = W.partitionBy("doc_id", "_row", "section").orderBy("paragraph").rowsBetween(
         W.unboundedPreceding, W.unboundedFollowing
     )
     joined = F.array_join(F.collect_list("hash").over(inside), "")
-    return rows.withColumn("section_hash", F.sha2(joined, 256))
+    copy = F.dense_rank().over(W.partitionBy("doc_id").orderBy("_sha", "_row")) - 1
+    return rows.withColumn("section_hash", F.sha2(joined, 256)).select(
+        "doc_id", copy.alias("copy"), "paragraph", "start", "length", "section", "hash", "section_hash"
+    )
+
+
+def _opened(tree: DataFrame, other: DataFrame) -> DataFrame:
+    """Paragraphs of the sections that the other tree does not hold as often."""
+    numbered = lambda t: t.select("doc_id", "copy", "section", "section_hash").distinct().withColumn(
+        "_nth", F.row_number().over(W.partitionBy("doc_id", "copy", "section_hash").orderBy("section"))
+    )
+    mine, theirs = numbered(tree).alias("a"), numbered(other).alias("b")
+    names = ["doc_id", "copy", "section_hash", "_nth"]
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in names]
+    changed = mine.join(theirs, same, "left_anti").select("doc_id", "copy", "section").alias("c")
+    here = [F.col(f"t.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("doc_id", "copy", "section")]
+    held = tree.alias("t").join(changed, here, "left_semi")
+    nth = F.row_number().over(W.partitionBy("doc_id", "copy", "hash").orderBy("paragraph"))
+    return held.select("doc_id", "copy", "paragraph", "start", "length", "hash", nth.alias("_nth"))
 
 
 def locate_edits(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of ``new`` (both from :func:`tree_rows`) in differing sections whose paragraph
-    the old document does not hold: the places that were edited or added."""
-    opened = new.join(old.select("doc_id", "section_hash"), ["doc_id", "section_hash"], "left_anti")
-    return opened.join(old.select("doc_id", "hash"), ["doc_id", "hash"], "left_anti").select(*new.columns)
+    """What changed between two tables of :func:`tree_rows`, document by document.
+
+    ``doc_id``, ``copy``, ``edit``, ``hash``, and ``old_paragraph``, ``old_start``, ``new_paragraph``,
+    ``new_start``, ``length``. Only sections that the other tree lacks (or holds less often) are
+    opened. Their paragraphs are matched one to one, the first with the first of equal ones:
+    without a match they were ``removed`` or ``added``; matched ones that no longer stand in the
+    same place among the matched have ``moved``. Documents of one table alone are removed or
+    added whole.
+    """
+    a, b = _opened(old, new).alias("a"), _opened(new, old).alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "copy", "hash", "_nth")]
+    either = lambda c: F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c)
+    paired = a.join(b, same, "full").select(
+        either("doc_id"),
+        either("copy"),
+        either("hash"),
+        either("length"),
+        *[F.col(f"{side}.{c}").alias(f"{name}_{c}") for side, name in (("a", "old"), ("b", "new")) for c in ("paragraph", "start")],
+    )
+    both = F.col("old_paragraph").isNotNull() & F.col("new_paragraph").isNotNull()
+    place = lambda c: F.row_number().over(W.partitionBy("doc_id", "copy", both).orderBy(c))
+    edit = (
+        F.when(F.col("new_paragraph").isNull(), "removed")
+        .when(F.col("old_paragraph").isNull(), "added")
+        .when(place("old_paragraph") != place("new_paragraph"), "moved")
+    )
+    return paired.withColumn("edit", edit).filter("edit is not null").select(
+        "doc_id", "copy", "edit", "hash", "old_paragraph", "old_start", "new_paragraph", "new_start", "length"
+    )
 
 
 def id_ranges(ids: DataFrame, name: str, parts: int) -> Column:
@@ -152,7 +251,7 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
 def edit_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited form, and how alike they are.
 
-    The edited text is the text with its last ``floor(n_chars / 4)`` code points replaced by
+    ``edit`` is the place of the edit in the tree, see :func:`edit_place`. The edited text is the text with its last ``floor(n_chars / 4)`` code points replaced by
     the first as many of the next document's (see :func:`with_next`).
 
     Defined cases: a null text is empty and its tree one empty paragraph; a null id stays
@@ -169,6 +268,7 @@ def edit_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .withColumn("edited", F.concat(kept, F.substring(F.col("next_text"), F.lit(1), quarter)))
     )
     trees = with_tree(with_tree(with_tree(paired, "text"), "edited", "edited_"), "next_text", "next_")
+    trees = edit_place(trees, "edited_", "edit")
     mine = [F.col("root"), F.col("leaves")]
     return trees.select(
         "doc_id",
@@ -178,4 +278,5 @@ def edit_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("edited_root").alias("edited_fingerprint"),
         likeness(*mine, F.col("edited_root"), F.col("edited_leaves")).alias("near_edited"),
         likeness(*mine, F.col("next_root"), F.col("next_leaves")).alias("near_next"),
+        "edit",
     )

@@ -115,6 +115,8 @@ _ROOT = """
 _LIKE = """
     case when {0}_root = {1}_root then 1e0 else len(list_distinct(list_intersect({0}_leaves, {1}_leaves)))
       / len(list_distinct(list_concat({0}_leaves, {1}_leaves))) end"""
+#: Equal paragraphs from the start, and from the end of what is left.
+_ALIKE = "coalesce(list_position([{0}[i] = {1}[i] for i in range(1, least(len({0}), len({1})) + 1)], false) - 1, least(len({0}), len({1})))"
 _PAIRED = """
     select doc_id, text, length(text) as n_chars, coalesce(lead(text) over line, first_value(text) over line) as next_text
     from (select doc_id, coalesce(text, '') as text from documents) window line as (order by doc_id nulls last, sha256(text))"""
@@ -168,7 +170,11 @@ ORACLES: dict[str, str] = {
   leaves as (select doc_id, n_chars, sha256(edited) as edited_sha256, {_TREES.format("text")} as a_leaves,
     {_TREES.format("edited")} as b_leaves, {_TREES.format("next_text")} as c_leaves from edits),
   roots as (select *, {_ROOT.format("a_leaves")} as a_root, {_ROOT.format("b_leaves")} as b_root,
-    {_ROOT.format("c_leaves")} as c_root from leaves)
+    {_ROOT.format("c_leaves")} as c_root from leaves),
+  fronts as (select *, {_ALIKE.format("a_leaves", "b_leaves")} as front from roots),
+  rests as (select *, list_reverse(a_leaves[front + 1 :]) as a_rest, list_reverse(b_leaves[front + 1 :]) as b_rest from fronts),
+  ends as (select *, {_ALIKE.format("a_rest", "b_rest")} as back from rests)
   select doc_id, n_chars, edited_sha256, a_root as fingerprint, b_root as edited_fingerprint,
-    {_LIKE.format("a", "b")} as near_edited, {_LIKE.format("a", "c")} as near_next from roots"""
+    {_LIKE.format("a", "b")} as near_edited, {_LIKE.format("a", "c")} as near_next,
+    case when a_root = b_root then '' else front || ':' || (len(a_rest) - back) || ':' || (len(b_rest) - back) end as edit from ends"""
 }

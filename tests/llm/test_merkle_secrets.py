@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import time
 
@@ -45,6 +46,7 @@ def test_edit_check(spark, sf_dir, monkeypatch, parts):
         assert got[i].fingerprint == brute_root(text)
         assert (got[i].near_edited == 1) == (text == edited) or got[i].near_edited < 1
         assert 0 <= got[i].near_next <= 1
+        assert got[i].edit == plain_place(text, edited)
 
 
 def test_merkle_odd_rows(spark, odd, docs_of):
@@ -57,13 +59,61 @@ def test_merkle_odd_rows(spark, odd, docs_of):
     assert only[0].near_next == 1 and only[0].edited_sha256 == sha("alone healo"[:8] + "al")
 
 
+def edits_of(docs_of, old, new):
+    rows = merkle.locate_edits(merkle.tree_rows(docs_of(old)), merkle.tree_rows(docs_of(new))).collect()
+    return sorted(((r.doc_id, r.edit, r.old_paragraph, r.new_paragraph) for r in rows), key=str), rows
+
+
 def test_edits_are_located(docs_of):
-    old = "first line.\nsecond line, cut.\nthird line.\n" + "".join(f"line {n}.\n" for n in range(50))
-    new = old.replace("line 30.", "line thirty.")
-    edits = merkle.locate_edits(
-        merkle.tree_rows(docs_of([(1, old), (2, old)])), merkle.tree_rows(docs_of([(1, new), (2, old)]))
-    ).collect()
-    assert [(r.doc_id, new[r.start : r.start + r.length]) for r in edits] == [(1, "line thirty.\n")]
+    lines = ["first line.\n", "second line, ", "cut.\n", *[f"line {n}.\n" for n in range(50)], "tail"]
+    text = "".join(lines)
+    change = lambda new: edits_of(docs_of, [(1, text), (2, text), (None, text)], [(1, "".join(new)), (2, text), (None, text)])
+    found, rows = change([*lines[:33], "line thirty.\n", *lines[34:]])
+    assert found == [(1, "added", None, 33), (1, "removed", 33, None)]
+    added = next(r for r in rows if r.edit == "added")
+    new = text.replace("line 30.", "line thirty.")
+    assert new[added.new_start : added.new_start + added.length] == "line thirty.\n"
+    assert change(lines[:20] + lines[21:])[0] == [(1, "removed", 20, None)]
+    assert change([*lines[:9], lines[4], *lines[9:]])[0] == [(1, "added", None, 9)]
+    swapped = [*lines[:12], lines[13], lines[12], *lines[14:]]
+    assert change(swapped)[0] == [(1, "moved", 12, 13), (1, "moved", 13, 12)]
+    assert change(lines)[0] == []
+
+
+def test_edits_of_odd_documents(docs_of):
+    old = [(1, None), (2, "a.\nb.\n"), (3, "x.\ny.\n"), (3, "x.\ny.\n"), (None, "n.\n"), (4, "gone.\n")]
+    new = [(1, ""), (2, "a.\nb.\n"), (3, "x.\ny.\n"), (3, "x.\nz.\n"), (None, "n.\nm.\n"), (5, "here.\n")]
+    found, _ = edits_of(docs_of, old, new)
+    assert [f for f in found if f[0] in (1, 2)] == []
+    assert [f[:2] for f in found if f[0] == 3] == [(3, "added"), (3, "removed")]
+    assert [f for f in found if f[0] is None] == [(None, "added", None, 1)]
+    assert [f[1] for f in found if f[0] == 4] == ["removed"] * 2 and [f[1] for f in found if f[0] == 5] == ["added"] * 2
+    assert edits_of(docs_of, [], [])[0] == []
+
+
+def plain_place(old, new):
+    if old == new:
+        return ""
+    cut = lambda t: re.split(r"""(?<=\n)|(?<=[!-/:-@\[-`{-~] )""", t)
+    a, b = cut(old), cut(new)
+    front = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[front:][::-1], b[front:][::-1]
+    back = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return f"{front}:{len(a) - back}:{len(b) - back}"
+
+
+def test_place_of_an_edit(spark):
+    rng = random.Random(3)
+    rows = []
+    for n in range(120):
+        lines = [f"{rng.choice('abcdefgh')} {rng.randrange(9)}.\n" for _ in range(rng.randrange(1, 40))]
+        at, cut = rng.randrange(len(lines)), rng.randrange(0, 4)
+        other = lines[:at] + [f"new {m}.\n" for m in range(rng.randrange(0, 3))] + lines[at + cut :]
+        rows.append((n, "".join(lines), "".join(other)))
+    both = spark.createDataFrame(rows, "n int, one string, two string")
+    trees = merkle.with_tree(merkle.with_tree(both, "one"), "two", "other_")
+    got = {r.n: r.edit for r in merkle.edit_place(trees, "other_", "edit").collect()}
+    assert got == {n: plain_place(one, two) for n, one, two in rows}
 
 
 def brute_spans(text):
