@@ -17,7 +17,8 @@ of distinct vectors, so a bucket's size does not grow with the data. Queries who
 takes in more buckets than ``most_buckets``, and those with fewer than ``k`` candidates
 found, are compared with all rows, in blocks. Many buckets make a group of bounded size, where a query meets the vectors of all
 its buckets there at once and keeps its ``k`` best; a bucket of many vectors is cut into
-slices that go to groups of their own.
+slices that go to groups of their own. Queries are dealt to blocks, so that no group has more
+than about ``ASKED`` of them.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ SUCCESS = 0.6
 SAMPLE = 2000
 #: Rows a bucket should hold; rows of a group, and of a bucket's slice, about.
 BUCKET, SLICE = 64, 16_384
+#: Queries of a block, about.
+ASKED = 4096
 #: Moves a bucket's next slice to another group.
 STRIDE = 7919
 #: Cells of one projection that hold most rows.
@@ -309,8 +312,16 @@ def _found(held: DataFrame, asked: DataFrame, index: Index, rows: int, k: int) -
             F.array("key").alias("keys"),
         )
     )
-    right = visits.unionByName(more)
-    return right.groupBy("group").cogroup(left.groupBy("group")).applyInPandas(_best_visited(k, len(index.planes)), PAIRS).distinct()
+    # Queries of one place may be many: they are dealt to blocks, each with a copy of the rows.
+    blocks = max(1, ceil(asked.count() / ASKED))
+    right = visits.unionByName(more).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    held_in = _in_blocks(left, blocks)
+    pairs = right.groupBy("group", "block").cogroup(held_in.groupBy("group", "block"))
+    return pairs.applyInPandas(_best_visited(k, len(index.planes)), PAIRS).distinct()
+
+
+def _in_blocks(rows: DataFrame, blocks: int) -> DataFrame:
+    return rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
 
 def _all_pairs(held: DataFrame, asked: DataFrame, k: int) -> DataFrame:
@@ -321,9 +332,12 @@ def _all_pairs(held: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         "size", F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int").alias("slice"), "vec_id", "vec"
     )
     copies = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
-    right = asked.withColumn("size", F.size("vec")).join(sizes, "size").select("size", copies, "vec_id", "vec")
+    blocks = max(1, ceil(asked.count() / ASKED))
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
+    right = asked.withColumn("size", F.size("vec")).join(sizes, "size").select("size", copies, "vec_id", "vec", block)
     # Both sides stem from one table; new names for one of them tell their columns apart.
-    pairs = right.toDF(*right.columns).groupBy("size", "slice").cogroup(left.groupBy("size", "slice"))
+    cell = ("size", "slice", "block")
+    pairs = right.toDF(*right.columns).groupBy(*cell).cogroup(_in_blocks(left, blocks).groupBy(*cell))
     return pairs.applyInPandas(_best(k), PAIRS).distinct()
 
 

@@ -31,9 +31,10 @@ def run(spark, rows, **options):
     return got
 
 
-@pytest.mark.parametrize("slice_rows", [16_384, 40])
-def test_recall_and_ties(spark, monkeypatch, slice_rows):
+@pytest.mark.parametrize(("slice_rows", "asked"), [(16_384, 4096), (40, 2)])
+def test_recall_and_ties(spark, monkeypatch, slice_rows, asked):
     monkeypatch.setattr(ann, "SLICE", slice_rows)
+    monkeypatch.setattr(ann, "ASKED", asked)
     rng = np.random.default_rng(5)
     data = rng.standard_normal((1500, 32)).astype(np.float32)
     data[300:800] = data[300]  # a third of the rows are equal
