@@ -85,6 +85,33 @@ def test_near_copies_by_five_word_similarity(spark, docs_of, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == want and 25 < len(want) < 150
 
 
+def test_one_large_group_of_near_copies(spark, docs_of, monkeypatch):
+    """Its members are connected block by block; the work grows with their number, not its square."""
+    monkeypatch.setattr(similar, "BLOCK", 8)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(9000)}" for _ in range(300)]
+    texts = []
+    for _ in range(240):
+        copy = list(base)
+        for at in rng.sample(range(300), rng.randrange(4)):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    for n in range(12):  # a chain that leads away from the group, step by step
+        for at in range(10 * n, 10 * n + 10):
+            base[at] = f"y{rng.randrange(10**6)}"
+        texts.append(" ".join(base))
+    docs = docs_of(list(enumerate(texts)))
+    sizes = []
+    whole = similar._left_over
+    monkeypatch.setattr(similar, "_left_over", lambda *a: sizes.append(whole(*a).count()) or whole(*a))
+    counted = []
+    cells = similar._cells
+    monkeypatch.setattr(similar, "_cells", lambda keyed, keys: counted.append((cells(keyed, keys).count(), keyed.count())) or cells(keyed, keys))
+    kept = pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(alike_groups(dict(enumerate(texts))).values()))
+    assert counted[0][0] < 1.3 * counted[0][1] and sizes[0] < 4 * counted[0][1]
+
+
 def test_near_copies_of_odd_rows(spark, odd):
     kept = pipeline.drop_near_duplicates(spark, odd, "")
     assert kept.columns == odd.columns
