@@ -42,7 +42,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     found = steps[-1]
     for step in reversed(steps[:-1]):
         later = found.toDF("root", "last")
-        found = step.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+        # Each is written, so that no plan holds the joins of all rounds.
+        found = saved(step.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root")))
     return found
 
 

@@ -203,12 +203,17 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_links, "a long, b long").distinct()
 
 
+def linked_roots(prints: DataFrame) -> DataFrame:
+    """``node``, ``root`` of the fingerprints that link with another one."""
+    return connected_components(fingerprint_links(prints))
+
+
 def classes(
-    prints: DataFrame, least: Column, links_of: Callable[[DataFrame], DataFrame] = fingerprint_links
+    prints: DataFrame, least: Column, roots_of: Callable[[DataFrame], DataFrame] = linked_roots
 ) -> DataFrame:
     """``fp``, ``least``: the smallest value of ``least`` among the rows of its component."""
     distinct = saved(prints.groupBy("fp").agg(F.min(least).alias("own")))
-    roots = connected_components(links_of(distinct.select("fp")))
+    roots = roots_of(distinct.select("fp"))
     named = saved(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left"))
     # Fingerprints without a link are their own component and need no more work.
     alone = named.filter("root is null").select("fp", F.col("own").alias("least"))
