@@ -34,6 +34,7 @@ from contest_analytics.scale import (
     lookup,
     ordered,
     owned,
+    plain,
     running_sum,
     shared_dir,
     tiles,
@@ -144,7 +145,7 @@ def _spread_out(tops: DataFrame, key: str, gap: int, kind: str) -> DataFrame:
             if all(abs(c - at[j]) >= gap for c in close):
                 taken = np.insert(taken, spot, at[j])
                 stay.append(j)
-        return pdf.iloc[stay][[key, "idx", "v"]]
+        return plain(pdf.iloc[stay][[key, "idx", "v"]], key)
 
     rest = known.filter(~F.col("_lead") & ~F.col("_near"))
     decided = rest.groupBy(key, "_part").applyInPandas(decide, f"{key} {kind}, idx long, v double")
@@ -173,7 +174,7 @@ def _prominent(line: DataFrame, tops: DataFrame, key: str, prominence: float, si
 
     def walk(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(asked):
-            return pd.DataFrame({n: [] for n in names})
+            return plain(pd.DataFrame({n: [] for n in names}), key)
         rows = rows.sort_values("idx")
         v, first, n = rows["v"].to_numpy(), int(rows["idx"].iloc[0]), int(rows["_size"].iloc[0])
         out = []
@@ -181,7 +182,7 @@ def _prominent(line: DataFrame, tops: DataFrame, key: str, prominence: float, si
             at = idx - first
             for side, part, complete in ((0, v[:at][::-1], first == 1), (1, v[at + 1 :], first + len(v) - 1 == n)):
                 out.append((k, idx, top, side, tile, falls(part, top, prominence, complete)))
-        return pd.DataFrame(out, columns=names)
+        return plain(pd.DataFrame(out, columns=names), key)
 
     asked = mine.select(key, "idx", F.col("_tile"), "v").toDF(key, "idx", "tile", "v")
     shared_dir(spark)
@@ -214,7 +215,7 @@ def _walk_on(line: DataFrame, open_ones: DataFrame, key: str, prominence: float,
             else:
                 both = above[hit[0]] and below[hit[0]]
                 out.append((k, idx, v, side, int(tile[there[hit[0]]]), -1 if both else int(below[hit[0]])))
-        return pd.DataFrame(out, columns=names)
+        return plain(pd.DataFrame(out, columns=names), key)
 
     dealt = open_ones.withColumn("block", F.floor(F.col("_tile") / GROUP))
     sent = dealt.groupBy(key, "block").cogroup(every.groupBy(key, "block")).applyInPandas(skip, told).checkpoint()
@@ -224,7 +225,7 @@ def _walk_on(line: DataFrame, open_ones: DataFrame, key: str, prominence: float,
         ends = [
             falls(v[::-1] if side == 0 else v, top, prominence, True) for top, side in zip(asked["v"], asked["side"], strict=True)
         ]
-        return asked.assign(falls=ends)[names] if len(asked) else pd.DataFrame({n: [] for n in names})
+        return plain(asked.assign(falls=ends)[names], key) if len(asked) else plain(pd.DataFrame({n: [] for n in names}), key)
 
     unsure = sent.filter("falls = -1")
     looked = unsure.groupBy(key, "_tile").cogroup(line.groupBy(key, "_tile")).applyInPandas(look, told)

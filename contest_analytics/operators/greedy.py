@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contest_analytics.scale import TILE_ROWS, _conf_int, is_hot, lookup, shared_dir, with_index
+from contest_analytics.scale import TILE_ROWS, _conf_int, is_hot, lookup, plain, shared_dir, with_index
 
 #: Tiles of a group.
 GROUP = 64
@@ -183,7 +183,7 @@ def _thinned_tiles(df: DataFrame, key: str, order: Sequence[str], s: str, apart:
     def sum_up(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         found = Summary.of(pdf["note"].to_numpy(float), int(pdf["idx"].iloc[0]), apart)
-        return pd.DataFrame([{key: pdf[key].iloc[0], "_tile": pdf["_tile"].iloc[0], **found.row()}])
+        return plain(pd.DataFrame([{key: pdf[key].iloc[0], "_tile": pdf["_tile"].iloc[0], **found.row()}]), key)
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_tile")
@@ -191,7 +191,7 @@ def _thinned_tiles(df: DataFrame, key: str, order: Sequence[str], s: str, apart:
         for row in pdf.itertuples():
             one = Summary.read(row)
             whole = one if whole is None else whole.then(one, apart)
-        return pd.DataFrame([{key: pdf[key].iloc[0], "_group": pdf["_group"].iloc[0], **whole.row()}])
+        return plain(pd.DataFrame([{key: pdf[key].iloc[0], "_group": pdf["_group"].iloc[0], **whole.row()}]), key)
 
     def walk(pdf: pd.DataFrame, by: str, start: float) -> pd.DataFrame:
         pdf = pdf.sort_values(by)
@@ -199,7 +199,7 @@ def _thinned_tiles(df: DataFrame, key: str, order: Sequence[str], s: str, apart:
         for row in pdf.itertuples():
             entries.append(at[0])
             at = Summary.read(row).enter(at, apart)[1]
-        return pd.DataFrame({key: pdf[key], by: pdf[by], "entry": entries})
+        return plain(pd.DataFrame({key: pdf[key], by: pdf[by], "entry": entries}), key)
 
     def walk_groups(pdf: pd.DataFrame) -> pd.DataFrame:
         # Nothing has stayed before the first row, so it is far from everything.
@@ -213,7 +213,7 @@ def _thinned_tiles(df: DataFrame, key: str, order: Sequence[str], s: str, apart:
         v = pdf["note"].to_numpy(float)
         far = np.flatnonzero(np.abs(v - pdf["entry"].iloc[0]) >= apart)
         stay = reached(successors(v, np.full(len(v), len(v)), apart), far[:1])
-        return pdf.loc[stay, [key, "idx", "note"]]
+        return plain(pdf.loc[stay, [key, "idx", "note"]], key)
 
     shared_dir(df.sparkSession)
     tiles = (
@@ -286,14 +286,14 @@ def spaced(df: DataFrame, key: str, number: str, step: int) -> DataFrame:
     def sum_up(pdf: pd.DataFrame) -> pd.DataFrame:
         tile = int(pdf["_tile"].iloc[0])
         found = Bars.of(np.sort(pdf[number].to_numpy(np.int64)), tile * span, step)
-        return pd.DataFrame([{key: pdf[key].iloc[0], "_tile": tile, **row_of(found)}])
+        return plain(pd.DataFrame([{key: pdf[key].iloc[0], "_tile": tile, **row_of(found)}]), key)
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_tile")
         whole, start = None, int(pdf["_tile"].iloc[0]) * span
         for row in pdf.itertuples():
             whole = read(row) if whole is None else whole.then(read(row), start, step)
-        return pd.DataFrame([{key: pdf[key].iloc[0], "_group": pdf["_group"].iloc[0], **row_of(whole)}])
+        return plain(pd.DataFrame([{key: pdf[key].iloc[0], "_group": pdf["_group"].iloc[0], **row_of(whole)}]), key)
 
     def walk(pdf: pd.DataFrame, by: str, start: int) -> pd.DataFrame:
         pdf = pdf.sort_values(by)
@@ -301,7 +301,7 @@ def spaced(df: DataFrame, key: str, number: str, step: int) -> DataFrame:
         for row in pdf.itertuples():
             entries.append(int(at[0]))
             at = read(row).enter(at)
-        return pd.DataFrame({key: pdf[key], by: pdf[by], "bar": entries})
+        return plain(pd.DataFrame({key: pdf[key], by: pdf[by], "bar": entries}), key)
 
     def walk_groups(pdf: pd.DataFrame) -> pd.DataFrame:
         return walk(pdf.rename(columns={"_group": "group"}), "group", np.iinfo(np.int64).min)
@@ -313,7 +313,7 @@ def spaced(df: DataFrame, key: str, number: str, step: int) -> DataFrame:
         held = np.sort(pdf[number].to_numpy(np.int64))
         start = np.flatnonzero(held >= pdf["bar"].iloc[0])[:1]
         stay = reached(np.searchsorted(held, held + step), start)
-        return pd.DataFrame({key: pdf[key].iloc[0], number: held[stay]})
+        return plain(pd.DataFrame({key: pdf[key].iloc[0], number: held[stay]}), key)
 
     tiles = (
         once.groupBy(key, "_tile")

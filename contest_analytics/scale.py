@@ -17,6 +17,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -202,6 +203,11 @@ def tiles(
     return spread.select(*indexed.columns, f"_copy.{TILE}", f"_copy.{OWN}")
 
 
+def plain(pdf: pd.DataFrame, key: str) -> pd.DataFrame:
+    """The frame with its key as plain objects: text columns of some pandas versions come in chunks."""
+    return pdf.astype({key: object})
+
+
 def around(keys: Sequence[str]) -> W:
     """Window over one tile of :func:`ordered` output."""
     return W.partitionBy(*keys, TILE).orderBy("idx")
