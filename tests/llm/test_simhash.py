@@ -92,6 +92,22 @@ def test_components_of_chain_star_and_nothing(spark):
     assert components.connected_components(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("small", "most"), [(0, 99), (30, 99), (1_000_000, 2)])
+def test_components_by_rounds_and_at_once(spark, monkeypatch, small, most):
+    """A small graph takes few steps of the driver; rounds before that give the same components."""
+    monkeypatch.setattr(components, "SMALL", small)
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-150, 150, (160, 2))] + [(500 + n, 501 + n) for n in range(40)]
+    edges = spark.createDataFrame([*pairs, (7, None)], "a long, b long")
+    written = []
+    monkeypatch.setattr(components, "saved", lambda df, f=components.saved: written.append(1) or f(df))
+    found = {r.node: r.root for r in components.connected_components(edges).collect()}
+    want = brute_components([p for p in pairs if p[0] != p[1]], sorted({x for p in pairs if p[0] != p[1] for x in p}))
+    groups = lambda of: sorted(sorted(n for n in of if of[n] == r) for r in set(of.values()))
+    assert groups(found) == groups(want)
+    assert len(written) <= most
+
+
 def test_odd_rows(odd):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
