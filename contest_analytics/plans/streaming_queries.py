@@ -24,8 +24,8 @@ def stream(spark, d, name):
     """A view over its table read as a stream."""
     source, exprs = SPARK_VIEWS[name]
     schema = spark.read.parquet(f"{d}/{source}.parquet").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", f"{source}.parquet")
-    return files.parquet(d).selectExpr(*exprs)
+    # A table is one file or a folder of them; a stream takes either by a pattern, and no file by its path.
+    return spark.readStream.schema(schema).parquet(f"{d}/{{{source}.parquet}}").selectExpr(*exprs)
 
 
 @query("stream_leaderboard", ORACLES["ema_with_resets"].replace(", any_value(resets) as resets", ""))
