@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -428,6 +429,8 @@ def with_shingles(df: DataFrame, text: str, out: str, size: int = 5) -> DataFram
     return df.withColumn("_w", w).withColumn(out, whole).drop("_w")
 
 
+#: Bytes of text whose words are held at a time.
+CODE_BYTES = 4 << 20
 SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
@@ -435,29 +438,48 @@ def shingle_codes(text: Column, size: int = 5) -> Column:
     """Distinct 64-bit codes of a lower-cased text's word n-grams.
 
     Words of an Arrow batch are hashed once each; a code is a polynomial of the
-    hashes of neighbouring words, computed for a whole text at a time.
+    hashes of neighbouring words, computed for a whole text at a time. The words of at most
+    ``CODE_BYTES`` of texts, or of one longer text, are held in Python.
     """
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def codes(texts: pd.Series) -> pd.Series:
-        split = [[w for w in SPACE.split(t) if w] if t else [] for t in texts]
-        flat = np.array([w for ws in split for w in ws], dtype=object)
-        which, unique = pd.factorize(flat)
-        hashes = pd.util.hash_array(unique)[which] if len(flat) else np.array([], np.uint64)
-        out, at = [], 0
-        for ws in split:
-            h = hashes[at : at + len(ws)]
-            at += len(ws)
-            width = min(size, len(h))
-            code = np.zeros(len(h) - width + 1, np.uint64)
-            for k in range(width):
-                code = code * np.uint64(6364136223846793005) + h[k : k + len(code)]
-            out.append(np.unique(code).view(np.int64))
-        return pd.Series(out)
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def codes(texts: pa.Array) -> pa.Array:
+        return code_lists(texts, size)
 
     return codes(text)
 
 
+def code_lists(texts: pa.Array, size: int) -> pa.Array:
+    """The distinct codes of each text; null and empty texts have that of no words."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    out, at = [], 0
+    while at < len(texts):
+        start = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, start + CODE_BYTES, "right")))
+        out += _codes(texts.slice(at, stop - at).to_pylist(), size)
+        at = stop
+    places = np.cumsum([0, *map(len, out)])
+    values = np.concatenate(out) if out else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(values))
+
+
+def _codes(texts: list[str | None], size: int) -> list[np.ndarray]:
+    split = [[w for w in SPACE.split(t) if w] if t else [] for t in texts]
+    flat = np.array([w for ws in split for w in ws], dtype=object)
+    which, unique = pd.factorize(flat)
+    hashes = pd.util.hash_array(unique)[which] if len(flat) else np.array([], np.uint64)
+    out, at = [], 0
+    for ws in split:
+        h = hashes[at : at + len(ws)]
+        at += len(ws)
+        width = min(size, len(h))
+        code = np.zeros(len(h) - width + 1, np.uint64)
+        for k in range(width):
+            code = code * np.uint64(6364136223846793005) + h[k : k + len(code)]
+        out.append(np.unique(code).view(np.int64))
+    return out
+
+
 def known_content_penalty(
     subs: DataFrame,
     catalogue: DataFrame,
