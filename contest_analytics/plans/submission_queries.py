@@ -377,7 +377,8 @@ W_TOTAL = "(" + " + ".join(f"w_{s}" for s in C.SIGNALS) + ")"
     ),
 )
 def _(spark, d):
-    s = view(spark, d, "v_submissions").select(
+    # Dealt by submission (its whole-number keys) before there is a row for each signal: no such row is shuffled.
+    s = view(spark, d, "v_submissions").select(*UNIQUE, "vocals").repartition(*UNIQUE[:4]).select(
         *UNIQUE,
         "vocals",
         F.explode(F.create_map(*[F.lit(x) for kv in C.SIGNAL_WEIGHTS.items() for x in kv])).alias(
