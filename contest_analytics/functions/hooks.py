@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 from contest_analytics.operators.composite import aggregate_submetrics
 
 Scorer = Callable[[DataFrame], DataFrame]
+#: Rows that a function of :func:`expand_rows` gets at a time.
+EXPAND_ROWS = 256
 
 
 class ScorerRegistry:
@@ -74,11 +76,14 @@ def batch_scorer(
 def expand_rows(
     df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str | StructType
 ) -> DataFrame:
-    """Each batch of rows through ``fn``, which may return any number of rows."""
+    """Each batch of rows through ``fn``, which may return any number of rows.
+
+    ``fn`` gets at most ``EXPAND_ROWS`` at a time: what it makes of them is held in Python.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                yield fn(pdf)
+            for at in range(0, len(pdf), EXPAND_ROWS):
+                yield fn(pdf.iloc[at : at + EXPAND_ROWS].reset_index(drop=True))
 
     return df.mapInPandas(run, schema)
