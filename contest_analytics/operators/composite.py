@@ -143,8 +143,14 @@ def breakdown_long(
 
 
 def breakdown_wide(long: DataFrame, keys: Sequence[str], signals: Sequence[str]) -> DataFrame:
-    """Back to one column per signal; the known signal list avoids a discovery pass."""
-    return long.groupBy(*keys).pivot("signal", list(signals)).agg(F.first("score"))
+    """Back to one column per signal; the known signal list avoids a discovery pass.
+
+    A plain aggregate: the rows of a submission, which lie together, are one before the shuffle,
+    where a pivot shuffles each of them by key and signal and then again by key. Where a signal
+    comes twice, its first score that is not null counts.
+    """
+    score = lambda s: F.first(F.when(F.col("signal") == s, F.col("score")), ignorenulls=True)
+    return long.groupBy(*keys).agg(*[score(s).alias(s) for s in signals])
 
 
 def geo_mean_penalty(cols: Sequence[str], floor: float = 0.1) -> Column:
