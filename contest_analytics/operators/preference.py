@@ -18,6 +18,8 @@ from contest_analytics.functions.vectors import dot
 from contest_analytics.scale import around, is_hot, lookup, ordered, owned, with_index
 
 PAIR_TILE = 1024
+#: Hex digits that hashes are counted by: 65,536 numbers come to the driver.
+DIGITS = 4
 
 
 def make_pairs(
@@ -132,10 +134,34 @@ def require_pairs(pairs: DataFrame, minimum: int = 10, advised: int = 50) -> int
 def split_pairs(
     df: DataFrame, fraction: float = 0.2, seed: str = "42", unique: str = "pair_id"
 ) -> DataFrame:
-    """Adds ``is_validation``: the first max(1, floor(n x fraction)) rows in hash order."""
-    shuffled = stable_shuffle(df, seed, unique)
-    n_val = max(1, int(df.count() * fraction))
-    return shuffled.withColumn("is_validation", F.col("position") <= n_val).drop("position")
+    """Adds ``is_validation``: the first max(1, floor(n x fraction)) rows in hash order.
+
+    Rows are not ordered for it, only the hash of the last validation row is looked up: by counts
+    of the hashes' first digits, then among the hashes that begin like it.
+    """
+    shown = df.withColumn("_mark", F.sha2(F.concat(F.lit(seed), F.col(unique).cast("string")), 256))
+    # Rows without an id come first.
+    begin = F.coalesce(F.substring("_mark", 1, DIGITS), F.lit(""))
+    counts = sorted(shown.groupBy(begin.alias("b")).count().collect())
+    if not counts:
+        return df.withColumn("is_validation", F.lit(False))
+    left = max(1, int(sum(n for _, n in counts) * fraction))
+    for start, n in counts:
+        if left <= n:
+            break
+        left -= n
+    for mark, n in sorted(shown.filter(begin == start).groupBy(F.coalesce("_mark", F.lit("")).alias("m")).count().collect()):
+        if left <= n:
+            break
+        left -= n
+    here = F.coalesce("_mark", F.lit(""))
+    if left == n:
+        return shown.withColumn("is_validation", here <= mark).drop("_mark")
+    # Copies of one id on both sides of the border: as many of them as there is place for.
+    copies = with_index(shown.filter(here == mark), [], [unique], "_place")
+    rest = shown.filter(here != mark).withColumn("is_validation", here < mark)
+    copies = copies.withColumn("is_validation", F.col("_place") <= left).drop("_place")
+    return rest.unionByName(copies).drop("_mark")
 
 
 def fit_preference(
