@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -54,22 +54,24 @@ class _Board(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("board", "ema double, rounds long, hotkey string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ema, rounds, hotkey = self.state.get() if self.state.exists() else (C.EMA_SEED, 0, None)
-        pdf = in_order(rows, self.order)
-        who = pdf["hotkey"]
-        before = who.shift(1).astype(object)
-        before.iloc[0] = hotkey
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.state.get()
+        ema, rounds, before = (C.EMA_SEED, 0, None) if held is None else held
+        # A key's rows of one micro-batch, nulls last; the trigger's size limit bounds them.
+        found = sorted(rows, key=lambda r: [(r[o] is None, r[o]) for o in self.order])
         # Only what follows the last change of identity counts.
-        anew = np.flatnonzero(before.notna() & who.ne(before))
-        if len(anew):
-            ema, rounds, pdf = C.EMA_SEED, 0, pdf.iloc[anew[-1] :]
-        ema = clipped_fold(ema, self.alpha * pdf["score"].to_numpy(float), 1 - self.alpha)
-        rounds, hotkey = rounds + len(pdf), pdf["hotkey"].iloc[-1]
-        self.state.update((float(ema), int(rounds), hotkey))
-        yield pd.DataFrame(
-            {self.key: [key[0]], "ema": [ema], "rounds": [rounds], "hotkey": [hotkey]}
-        )
+        anew = None
+        for n, row in enumerate(found):
+            if before is not None and row["hotkey"] != before:
+                anew = n
+            before = row["hotkey"]
+        if anew is not None:
+            ema, rounds, found = C.EMA_SEED, 0, found[anew:]
+        scores = np.array([row["score"] for row in found], float)
+        ema = float(clipped_fold(ema, self.alpha * scores, 1 - self.alpha))
+        rounds = int(rounds) + len(found)
+        self.state.update((ema, rounds, before))
+        yield Row(**{self.key: key[0], "ema": ema, "rounds": rounds, "hotkey": before})
 
     def close(self) -> None:
         pass
@@ -88,7 +90,8 @@ def stream_leaderboard(
     rows = stream.select(
         key, *order, sanitize_score(raw).alias("score"), F.col(hotkey).alias("hotkey")
     )
-    return rows.groupBy(key).transformWithStateInPandas(
+    # Rows and not frames: most keys have few rows in a batch, and a frame costs more than they do.
+    return rows.groupBy(key).transformWithState(
         _Board(key, list(order), alpha),
         outputStructType=f"{key} {kind}, ema double, rounds long, hotkey string",
         outputMode="Update",

@@ -1,0 +1,50 @@
+"""The leaderboard's state on plain rows, without a frame for each key."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import Row
+
+from contest_analytics import config as C
+from contest_analytics.streaming import stateful
+
+
+class Held:
+    """A value of state that counts how often it is asked for."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+def fold(ema, scores):
+    for s in scores:
+        ema = C.EMA_ALPHA * s + (1 - C.EMA_ALPHA) * ema
+    return ema
+
+
+def test_rows_of_a_key():
+    board, held = stateful._Board("contributor", ["micros", "event_id"], C.EMA_ALPHA), Held()
+    board.state = held
+    row = lambda m, e, s, h: Row(contributor=5, micros=m, event_id=e, score=s, hotkey=h)
+
+    def run(*rows):
+        held.calls = 0
+        (out,) = board.handleInputRows((5,), iter(rows), None)
+        assert held.calls == 2 and out["contributor"] == 5
+        return out["ema"], out["rounds"], out["hotkey"]
+
+    first = run(row(2, 1, 0.5, "h"), row(1, 9, 1.0, "h"), row(None, 3, 0.25, "h"))
+    assert first == (pytest.approx(fold(C.EMA_SEED, [1.0, 0.5, 0.25])), 3, "h")
+    again = run(row(4, 1, 0.75, "h"))
+    assert again == (pytest.approx(fold(first[0], [0.75])), 4, "h")
+    assert run(row(6, 1, 0.1, "i"), row(5, 1, 0.9, "h"), row(7, 1, 0.2, "i")) == (pytest.approx(fold(C.EMA_SEED, [0.1, 0.2])), 2, "i")
+    # A null identity is a change, and what follows it is none.
+    assert run(row(8, 1, 0.3, None), row(9, 1, 0.4, "j")) == (pytest.approx(fold(C.EMA_SEED, [0.3, 0.4])), 2, "j")
