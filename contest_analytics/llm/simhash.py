@@ -37,6 +37,8 @@ from contest_analytics.llm.components import connected_components
 BITS, REACH = 64, 4
 #: First bit and width of the ring's segments, from the highest bit down.
 SEGMENTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
+#: First bit of a key above those that ``chain_keys`` uses.
+SEED_BIT = 40
 #: Fingerprints of one key that are compared in one go.
 BLOCK = 2048
 #: Copies of each component's smallest value, so that a large component is joined by many tasks.
@@ -61,7 +63,11 @@ def shingle_hashes(text: str | None, words: int = 4, seed: int = 42) -> np.ndarr
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     """The 64-bit fingerprint of one text; zero for null and for a text without words."""
-    hashes = shingle_hashes(text, words, seed)
+    return majority(shingle_hashes(text, words, seed))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the (big-endian) hashes; zero without any."""
     n = len(hashes)
     if not n:
         return 0
@@ -121,7 +127,7 @@ def chain_keys(fp: Column) -> Column:
 _MASKS = np.array([((1 << w) - 1) << (BITS - f - w) for f, w in SEGMENTS], np.uint64)
 
 
-def near(one: np.ndarray, many: np.ndarray, start: int) -> np.ndarray:
+def near(one: np.ndarray, many: np.ndarray, start: int, reach: int = REACH) -> np.ndarray:
     """Which fingerprints link: the chain from segment ``start`` first, then all bits."""
     diff = one ^ many
     alive = np.arange(len(diff))
@@ -129,24 +135,24 @@ def near(one: np.ndarray, many: np.ndarray, start: int) -> np.ndarray:
     for length in range(1, len(SEGMENTS)):
         mask = _MASKS[(start + length - 1) % len(SEGMENTS)]
         total = total + np.bitwise_count(diff[alive] & mask)
-        keep = total <= length * REACH // len(SEGMENTS)
+        keep = total <= length * reach // len(SEGMENTS)
         alive, total = alive[keep], total[keep]
         if not len(alive):
             break
-    alive = alive[np.bitwise_count(diff[alive]) <= REACH]
+    alive = alive[np.bitwise_count(diff[alive]) <= reach]
     hit = np.zeros(len(diff), bool)
     hit[alive] = True
     return hit
 
 
-def _forest(fps: np.ndarray, start: int) -> list[tuple[int, int]]:
+def _forest(fps: np.ndarray, start: int, reach: int = REACH) -> list[tuple[int, int]]:
     """A spanning forest of the links among a key's fingerprints."""
     links, rest = [], fps
     while len(rest):
         stack, rest = [rest[0]], rest[1:]
         while stack and len(rest):
             one = stack.pop()
-            hit = near(one, rest, start)
+            hit = near(one, rest, start, reach)
             found = rest[hit]
             links += [(one, x) for x in found]
             stack.extend(found)
@@ -154,23 +160,14 @@ def _forest(fps: np.ndarray, start: int) -> list[tuple[int, int]]:
     return links
 
 
-def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within each (key, cell); rows come sorted by it, a group may span batches."""
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The rows of each (key, cell) with several; they come sorted by it, a group may span batches."""
     kept: list[np.ndarray] = []
 
-    def emit(pairs: list[tuple[int, int]] | np.ndarray) -> pa.RecordBatch:
-        ends = np.array(pairs, np.uint64).reshape(-1, 2)
-        ends = np.unique(ends, axis=0).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
-
-    def solve(rows: np.ndarray) -> list[tuple[int, int]]:
-        links = []
+    def cut(rows: np.ndarray) -> list[np.ndarray]:
         cuts = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True):
-            if b - a > 1:
-                group = rows[a:b]
-                links += _forest(group[:, 2].astype(np.int64).view(np.uint64), int(group[0, 0] & 255) // 6)
-        return links
+        ends = zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True)
+        return [rows[a:b] for a, b in ends if b - a > 1]
 
     for batch in batches:
         rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
@@ -180,14 +177,26 @@ def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = 0 if same.all() else len(rows) - int(same[::-1].argmin())
         kept = [rows[first:]]
         if first:
-            yield emit(solve(rows[:first]))
+            yield cut(rows[:first])
     if kept:
-        yield emit(solve(kept[0]))
+        yield cut(kept[0])
 
 
-def fingerprint_links(prints: DataFrame) -> DataFrame:
-    """``a``, ``b``: links that connect the distinct fingerprints ``fp``, a forest per key."""
-    keyed = prints.select("fp", F.explode(chain_keys(F.col("fp"))).alias("key"))
+def _trees(group: np.ndarray, reach: int = REACH) -> list[tuple[int, int]]:
+    """A spanning forest of the links within one (key, cell)."""
+    return _forest(group[:, 2].astype(np.int64).view(np.uint64), int(group[0, 0] & 255) // 6, reach)
+
+
+def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each (key, cell)."""
+    for groups in _groups(batches):
+        ends = np.array([pair for group in groups for pair in _trees(group)], np.uint64).reshape(-1, 2)
+        ends = np.unique(ends, axis=0).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+
+def _dealt(keyed: DataFrame) -> DataFrame:
+    """``key``, ``cell``, ``fp`` of the keys that several have, sorted, a cell in one task."""
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
     here = F.pmod(F.xxhash64("fp"), F.col("blocks"))
@@ -199,8 +208,41 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select("key", (low * F.col("blocks") + high).alias("cell"), "fp")
     )
-    dealt = cells.repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return dealt.mapInArrow(_links, "a long, b long").distinct()
+    return cells.repartition("key", "cell").sortWithinPartitions("key", "cell")
+
+
+def fingerprint_links(prints: DataFrame) -> DataFrame:
+    """``a``, ``b``: links that connect the distinct fingerprints ``fp``, a forest per key."""
+    keyed = prints.select("fp", F.explode(chain_keys(F.col("fp"))).alias("key"))
+    return _dealt(keyed).mapInArrow(_links, "a long, b long").distinct()
+
+
+def fingerprint_groups(prints: DataFrame, reach: int = REACH) -> DataFrame:
+    """``group``, ``seed``, ``fp``: the distinct fingerprints (``seed``, ``fp``) that link inside a key.
+
+    ``seed``, a small number, tells families of fingerprints apart. Members of a group are connected by
+    links of at most ``reach`` bits inside one chain key; a fingerprint is in a group for each key where it
+    links. Up to four bits every link is inside some key; of wider ones only those that share a key are.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in _groups(batches):
+            names, seeds, found = [], [], []
+            for group in groups:
+                root: dict[int, int] = {}
+                for one, other in _trees(group, reach):
+                    root[other] = root.setdefault(one, one)
+                key, cell = group[0, :2].tolist()
+                for fp, top in root.items():
+                    names.append(xxhash.xxh3_64_intdigest(f"{key} {cell} {top}"))
+                    seeds.append(key >> SEED_BIT)
+                    found.append(fp)
+            columns = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (names, seeds, found)]
+            yield pa.RecordBatch.from_arrays(columns, ["group", "seed", "fp"])
+
+    family = F.shiftleft(F.col("seed").cast("long"), SEED_BIT)
+    keyed = prints.select("seed", "fp", F.explode(chain_keys(F.col("fp"))).alias("key"))
+    return _dealt(keyed.select("fp", F.col("key").bitwiseOR(family).alias("key"))).mapInArrow(run, "group long, seed long, fp long")
 
 
 def linked_roots(prints: DataFrame) -> DataFrame:

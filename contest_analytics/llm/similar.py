@@ -1,10 +1,13 @@
 """Near-duplicate documents by the exact similarity of their word shingles.
 
 Two documents link when the Jaccard similarity of their sets of ``words``-word shingles is
-``similarity`` at least, and links are transitive. Candidates come from MinHash: ``BANDS``
-keys of ``ROWS`` smallest hashes each. A pair with similarity s shares a key with
-probability 1 - (1 - s ** ROWS) ** BANDS: 0.9993 at 0.8, more above. Every candidate
-is confirmed on the shingles themselves, so no other documents link.
+``similarity`` at least, and links are transitive. Candidates come from SimHash with pigeonring
+filtering (:mod:`simhash`): every set has ``SEEDS`` fingerprints, and sets whose fingerprints link
+inside a chain key, by ``REACH`` bits at most, are candidates. All pairs within four bits are among
+them, but a pair at 0.8 differs in about ten. So that no link is lost, there are MinHash keys
+beside: ``BANDS`` keys of ``ROWS`` smallest hashes each. A pair with similarity s shares one with
+probability 1 - (1 - s ** ROWS) ** BANDS: 0.9993 at 0.8, more above. Every candidate of either
+kind is confirmed on the shingles themselves, so no other documents link.
 
 Equal sets are merged before and count once, so copies make no pairs. Keys with the same
 members are compared once. Inside a key only a spanning forest of the links leaves the
@@ -28,10 +31,12 @@ from pyspark.sql import functions as F
 
 from contest_analytics.llm.common import free_name, saved, text_rows
 from contest_analytics.llm.components import connected_components
-from contest_analytics.llm.simhash import classes, shingle_hashes
+from contest_analytics.llm.simhash import classes, fingerprint_groups, majority, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
+#: Fingerprints of a set, and bits in which two of them may differ.
+SEEDS, REACH = 1, 10
 #: Sets of one key, and bytes of their shingles, that are compared in one go.
 BLOCK, BLOCK_BYTES = 128, 64 << 20
 
@@ -61,6 +66,16 @@ def bands(found: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def prints_of(found: np.ndarray) -> np.ndarray:
+    """The ``SEEDS`` fingerprints of one set; the shingles' hashes are mixed anew for each."""
+    prints = []
+    for flip in _FLIP[:SEEDS, 0]:
+        mixed = (found ^ flip) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        prints.append(majority((mixed ^ (mixed >> np.uint64(31))).astype(">u8")))
+    return np.array(prints, np.uint64).view(np.int64)
+
+
 def _node(found: np.ndarray) -> int:
     """The 64-bit name of a set."""
     return xxhash.xxh3_64_intdigest(found.tobytes())
@@ -95,12 +110,20 @@ def _forest(nodes: list[int], sets: list[np.ndarray], similarity: float) -> list
     return links
 
 
+def _near_prints(prints: DataFrame) -> DataFrame:
+    """``fp``, ``size``, ``key``: a key for each group of sets whose fingerprints are equal or link."""
+    every = prints.filter("size > 0").select("fp", "size", F.posexplode("sims").alias("seed", "sim"))
+    groups = fingerprint_groups(every.select("seed", F.col("sim").alias("fp")).distinct(), REACH)
+    linked = every.join(groups.withColumnRenamed("fp", "sim"), ["seed", "sim"]).select("fp", "size", F.col("group").alias("key"))
+    return every.select("fp", "size", F.xxhash64("seed", "sim").alias("key")).unionByName(saved(linked))
+
+
 def _keys(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``fp``, ``key`` of every set, and ``key``, ``blocks``, ``shared`` of the keys to compare.
 
     ``shared`` is the set that all blocks of a key get.
     """
-    keyed = prints.select("fp", "size", F.explode(F.array_distinct("bands")).alias("key"))
+    keyed = prints.select("fp", "size", F.explode(F.array_distinct("bands")).alias("key")).unionByName(_near_prints(prints))
     marks = [F.bit_xor(F.xxhash64(F.lit(n), F.col("fp"))).alias(f"m{n}") for n in (1, 2)]
     sizes = (
         keyed.groupBy("key")
@@ -215,10 +238,11 @@ def keep_one(
             nodes = pa.array(np.array([_node(s) for s in sets], np.uint64).view(np.int64))
             keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([nodes, keys, sizes, *rows.columns[1:]], ["fp", "bands", "size", "doc_id", key])
+            sims = pa.array([prints_of(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([nodes, keys, sizes, sims, *rows.columns[1:]], ["fp", "bands", "size", "sims", "doc_id", key])
 
     slim = keyed.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("doc_id"), key)
-    prints = saved(slim.mapInArrow(run, f"fp long, bands array<long>, size long, doc_id long, {key} string"))
+    prints = saved(slim.mapInArrow(run, f"fp long, bands array<long>, size long, sims array<long>, doc_id long, {key} string"))
     roots = _roots(prints, keyed, key, text_col, words, similarity)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col(key).alias("key"))
     stay = classes(prints, order, lambda _: roots).select(F.col("least.key").alias(key)).distinct()

@@ -7,7 +7,8 @@ stages but the last return the columns of ``documents``.
 1. ``quality``: documents that the quality classifier rejects go.
 2. ``language``: documents whose language is unknown or uncertain go.
 3. ``near_duplicates``: one document of each near-duplicate group stays, the smallest id;
-   texts link from a similarity of their five-word shingles of 0.8.
+   texts link from a similarity of their five-word shingles of 0.8; SimHash with pigeonring and
+   MinHash name candidates, each is confirmed.
 4. ``secrets``: secrets, and weak parts of a credential that occur together, are masked.
 5. ``packing``: the rest is tokenized and packed into sequences of at most 2048 ids.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from contest_analytics.llm import queries, similar
 
@@ -117,3 +119,19 @@ def test_near_copies_of_odd_rows(spark, odd):
     assert kept.columns == odd.columns
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 4, 5, 6, 7]
     assert pipeline.drop_near_duplicates(spark, odd.limit(0), "").count() == 0
+
+
+def test_fingerprints_name_candidates(spark, docs_of, monkeypatch):
+    """Without any MinHash key, SimHash and pigeonring alone connect copies within four bits."""
+    keys = similar._keys
+    monkeypatch.setattr(similar, "_keys", lambda prints: keys(prints.withColumn("bands", F.expr("cast(array() as array<long>)"))))
+    rng = random.Random(6)
+    texts, near = [], set()
+    for n in range(20):
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        texts += [" ".join(base), " ".join([*base[:-1], "other"])]
+        one, two = (similar.prints_of(similar.shingle_set(t)).view("uint64").tolist() for t in texts[-2:])
+        near |= {2 * n + 1} if any((a ^ b).bit_count() <= 4 for a, b in zip(one, two, strict=True)) else set()
+    kept = pipeline.drop_near_duplicates(spark, docs_of([*enumerate(texts), (99, "")]), "")
+    found = {r.doc_id for r in kept.collect()}
+    assert len(near) > 10 and not found & near and found >= {*range(0, 40, 2), 99}

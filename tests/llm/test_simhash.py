@@ -131,3 +131,24 @@ def test_queries_match_brute_force_on_a_table(spark, sf_dir):
     for row in simhash.near_duplicates(docs).collect():
         assert int(row.fingerprint, 16) == fps[row.doc_id]
         assert row.component_id == least[root[row.doc_id]]
+
+
+def test_groups_hold_all_links_of_a_family(spark):
+    """Fingerprints within four bits are in a group together; those of another family are in none."""
+    rng = random.Random(7)
+    rows, pairs = [], []
+    for _ in range(100):
+        one, two = rng.getrandbits(64), 0
+        for bit in rng.sample(range(64), rng.randrange(1, 5)):
+            two |= 1 << bit
+        ends = np.array([one, one ^ two], np.uint64).view(np.int64).tolist()
+        rows += [(0, ends[0]), (0, ends[1]), (1, ends[0])]
+        pairs.append(ends)
+    frame = spark.createDataFrame(rows, "seed int, fp long")
+    members = {}
+    for r in simhash.fingerprint_groups(frame).collect():
+        assert r.seed == 0
+        members.setdefault(r.group, set()).add(r.fp)
+    together = {frozenset(x) for x in members.values()}
+    assert all(any(set(p) <= x for x in together) for p in pairs)
+    assert simhash.fingerprint_groups(frame.limit(0)).count() == 0
