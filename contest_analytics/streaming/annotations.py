@@ -12,6 +12,10 @@ State is bounded by what is open. A timer closes a pair once the watermark is ``
 last vote: its votes are settled and its state goes. Settled votes at the head of an annotator's
 order are folded into one number; no vote with an earlier place can come any more, as every vote
 is announced when it arrives, with or without a winner, and later ones are past the watermark.
+
+What a key costs by itself is kept small: votes are held in chunks, not one by one, and the second
+operator gets annotators in ``BUCKETS`` groups, as a group of rows of their own costs more than a few
+votes do. State stays by annotator: a batch reads and writes only that of the annotators it names.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -29,8 +34,12 @@ from contest_analytics.streaming.stateful import clipped_fold
 
 #: Votes of a row group that leaves an operator.
 CHUNK = 4096
+#: Groups of annotators, dealt out by a hash.
+BUCKETS = 512
 #: Agreement of a vote whose pair has no winner.
 OPEN = -1
+#: An annotator's vote that may still change.
+HELD = np.dtype([("ts", "<i8"), ("event_id", "<i8"), ("agreed", "<i4"), ("settled", "?")])
 VOTE = ["annotator", "ts", "event_id", "choice"]
 NEWS = ["annotator", "ts", "event_id", "agreed", "settled", "now"]
 
@@ -43,38 +52,52 @@ def decide(a: float, b: float, threshold: float) -> str | None:
     return "a" if a / total > threshold else "b" if b / total > threshold else None
 
 
+def _packed(votes: pd.DataFrame) -> bytes:
+    batch = pa.RecordBatch.from_pandas(votes, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(chunk: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(chunk)).read_pandas()
+
+
 class _Pairs(StatefulProcessor):
     """Votes of a pair in; agreements of its annotators out, corrected when the winner changes."""
 
-    def __init__(self, kind: str, threshold: float, keep_ms: int) -> None:
-        self.kind, self.threshold, self.keep_ms = kind, threshold, keep_ms
+    def __init__(self, threshold: float, keep_ms: int) -> None:
+        self.threshold, self.keep_ms = threshold, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.sums = handle.getValueState("sums", "a double, b double, winner string, timer long")
-        self.votes = handle.getListState("votes", f"annotator {self.kind}, ts long, event_id long, choice string")
+        self.votes = handle.getListState("votes", "chunk binary")
 
-    def _news(self, votes: list[tuple], winner: str | None, settled: bool, now: int) -> Iterator[pd.DataFrame]:
-        for at in range(0, len(votes), CHUNK):
-            rows = pd.DataFrame(votes[at : at + CHUNK], columns=VOTE)
-            agreed = OPEN if winner is None else (rows["choice"] == winner).astype("int32")
-            out = rows.assign(agreed=agreed, settled=settled, now=pd.to_datetime(now, unit="ms"))
-            yield out[NEWS].astype({"agreed": "int32"})
+    def _news(self, chunks: Iterator[pd.DataFrame], winner: str | None, settled: bool, now: int) -> Iterator[pd.DataFrame]:
+        for votes in chunks:
+            for at in range(0, len(votes), CHUNK):
+                rows = votes.iloc[at : at + CHUNK]
+                agreed = OPEN if winner is None else (rows["choice"] == winner).astype("int32")
+                out = rows.assign(agreed=agreed, settled=settled, now=pd.to_datetime(now, unit="ms"))
+                yield out[NEWS].astype({"agreed": "int32"})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         a, b, before, timer = self.sums.get() if self.sums.exists() else (0.0, 0.0, None, None)
-        fresh: list[tuple] = []
+        fresh: list[pd.DataFrame] = []
         for part in rows:
             a += float(part["weight"].where(part["choice"] == "a", 0.0).sum())
             b += float(part["weight"].where(part["choice"] == "b", 0.0).sum())
-            fresh += list(part[VOTE].itertuples(index=False, name=None))
+            fresh.append(part[VOTE])
         winner = decide(a, b, self.threshold)
-        last = max(v[1] for v in fresh) // 1000
+        last = int(max(part["ts"].max() for part in fresh)) // 1000
         # Only a change of the winner reads the votes that were told before.
         told = fresh
         if winner != before and self.votes.exists():
-            told = list(map(tuple, self.votes.get())) + fresh
-        self.votes.appendList(fresh)
+            told = [_unpacked(v[0]) for v in self.votes.get()] + fresh
+        for part in fresh:
+            self.votes.appendValue((_packed(part),))
         ends = max(last + self.keep_ms, timer or 0)
         if ends != timer:
             if timer is not None:
@@ -87,7 +110,7 @@ class _Pairs(StatefulProcessor):
         if not self.sums.exists():
             return
         winner = self.sums.get()[2]
-        votes = list(map(tuple, self.votes.get()))
+        votes = [_unpacked(v[0]) for v in self.votes.get()]
         self.votes.clear()
         self.sums.clear()
         yield from self._news(votes, winner, True, timerValues.getCurrentWatermarkInMs() + 1)
@@ -96,46 +119,58 @@ class _Pairs(StatefulProcessor):
         pass
 
 
+def _merged(held: np.ndarray, news: np.ndarray) -> np.ndarray:
+    """Votes in their order, once each: as first settled, or else as told last."""
+    votes = np.concatenate([held, news])
+    votes = votes[np.lexsort((votes["event_id"], votes["ts"]))]
+    place = votes[["ts", "event_id"]]
+    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    if len(starts) == len(votes):
+        return votes
+    n = len(votes)
+    done = np.minimum.reduceat(np.where(votes["settled"], np.arange(n), n), starts)
+    return votes[np.where(done < n, done, np.r_[starts[1:], n] - 1)]
+
+
 class _Annotators(StatefulProcessor):
-    """Agreements of an annotator in; reliability and number of counted votes out."""
+    """Agreements of a bucket's annotators in; reliability and number of counted votes out."""
 
     def __init__(self, alpha: float, low: float) -> None:
         self.alpha, self.low = alpha, low
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.base = handle.getValueState("base", "reliability double, votes long")
-        self.open = handle.getListState("open", "ts long, event_id long, agreed int, settled boolean")
+        self.state = handle.getMapState(
+            "annotators", "name string, missing boolean", "reliability double, votes long, open binary"
+        )
 
     def _fold(self, start: float, agreed: np.ndarray) -> float:
         return clipped_fold(start, self.alpha * agreed[agreed != OPEN], 1.0 - self.alpha, self.low)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        start, counted = self.base.get() if self.base.exists() else (1.0, 0)
-        held = {(v[0], v[1]): (v[2], v[3]) for v in self.open.get()} if self.open.exists() else {}
-        for part in rows:
-            for ts, event_id, agreed, settled in part[["ts", "event_id", "agreed", "settled"]].itertuples(index=False, name=None):
-                if not held.get((ts, event_id), (0, False))[1]:
-                    held[ts, event_id] = (int(agreed), bool(settled))
-        order = sorted(held)
-        agreed = np.array([held[k][0] for k in order])
-        settled = np.array([held[k][1] for k in order])
+    def _add(self, name: str | None, news: np.ndarray) -> tuple[str | None, float, int, int]:
+        key = ("", True) if name is None else (name, False)
+        start, counted, held = self.state.getValue(key) or (1.0, 0, b"")
+        votes = _merged(np.frombuffer(bytes(held), HELD), news)
+        settled, agreed = votes["settled"], votes["agreed"]
         # The head of the order that nothing can change any more.
-        head = len(order) if settled.all() else int(settled.argmin())
+        head = len(votes) if settled.all() else int(settled.argmin())
         start, counted = self._fold(start, agreed[:head]), int(counted + (agreed[:head] != OPEN).sum())
-        self.base.update((start, counted))
-        if head < len(order):
-            self.open.put([(*k, *held[k]) for k in order[head:]])
-        elif self.open.exists():
-            self.open.clear()
+        self.state.updateValue(key, (start, counted, votes[head:].tobytes()))
         rest = agreed[head:]
-        yield pd.DataFrame(
-            {
-                "annotator": [key[0]],
-                "reliability": [self._fold(start, rest)],
-                "votes": [counted + int((rest != OPEN).sum())],
-                "open": [len(rest)],
-            }
-        )
+        return name, self._fold(start, rest), counted + int((rest != OPEN).sum()), len(rest)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True)
+        who, names = pd.factorize(pdf["name"], use_na_sentinel=False)
+        news = np.empty(len(pdf), HELD)
+        for field in HELD.names:
+            news[field] = pdf[field].to_numpy()
+        order = np.argsort(who, kind="stable")
+        ends = np.cumsum(np.bincount(who))
+        found = [
+            self._add(None if pd.isna(name) else name, news[order[b - n : b]])
+            for name, n, b in zip(names, np.bincount(who), ends, strict=True)
+        ]
+        yield pd.DataFrame(found, columns=["name", "reliability", "votes", "open"])
 
     def close(self) -> None:
         pass
@@ -171,15 +206,22 @@ def stream_annotations(
         F.timestamp_micros(F.col("ts").cast("long")).alias("at"),
     ).withWatermark("at", delay)
     news = timed.groupBy("pair").transformWithStateInPandas(
-        _Pairs(kind, threshold, keep * 1000),
+        _Pairs(threshold, keep * 1000),
         outputStructType=f"annotator {kind}, ts long, event_id long, agreed int, settled boolean, now timestamp",
         outputMode="Append",
         timeMode="EventTime",
         eventTimeColumnName="now",
     )
-    return news.groupBy("annotator").transformWithStateInPandas(
-        _Annotators(alpha, low),
-        outputStructType=f"annotator {kind}, reliability double, votes long, open long",
-        outputMode="Append",
-        timeMode="None",
+    # By their text, which stays exact in pandas beside nulls.
+    named = news.withColumn("name", F.col("annotator").cast("string")).drop("annotator")
+    dealt = named.withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(BUCKETS)))
+    return (
+        dealt.groupBy("bucket")
+        .transformWithStateInPandas(
+            _Annotators(alpha, low),
+            outputStructType="name string, reliability double, votes long, open long",
+            outputMode="Append",
+            timeMode="None",
+        )
+        .select(F.col("name").cast(kind).alias("annotator"), "reliability", "votes", "open")
     )

@@ -197,3 +197,18 @@ def test_annotators_of_empty_streams(spark):
     votes = spark.createDataFrame([], "pair long, annotator string, choice string, ts long, event_id long")
     out = annotations.stream_annotations(sinks.feed(votes, "ts", 1))
     assert out.columns == ["annotator", "reliability", "votes", "open"] and out.isStreaming
+
+
+def test_votes_of_many_annotators_share_a_group():
+    """A vote is as first settled, or else as told last; annotators meet in far fewer groups than there are of them."""
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.integers(0, 6)), int(rng.integers(0, 4)), int(rng.integers(-1, 2)), bool(rng.random() < 0.3)) for _ in range(200)]
+    held, seen = {}, set()
+    for ts, event_id, agreed, settled in rows:
+        if not held.get((ts, event_id), (0, False))[1]:
+            held[ts, event_id] = (agreed, settled)
+        seen.add((ts, event_id))
+    votes = np.array(rows, annotations.HELD)
+    got = annotations._merged(annotations._merged(votes[:0], votes[:120]), votes[120:])
+    assert [tuple(v) for v in got.tolist()] == [(*k, *held[k]) for k in sorted(seen)]
+    assert annotations.BUCKETS <= 4096
