@@ -201,8 +201,10 @@ def _dealt(keyed: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
     here = F.pmod(F.xxhash64("fp"), F.col("blocks"))
     low, high = F.least(F.col("mine"), F.col("other")), F.greatest(F.col("mine"), F.col("other"))
+    # Both sides have a row for each key; Spark sizes them as the fingerprints before the explode, and would
+    # send all keys through the driver.
     cells = (
-        keyed.join(sizes, "key")
+        keyed.join(sizes.hint("merge"), "key")
         .withColumn("blocks", blocks)
         .withColumn("mine", here)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -262,7 +264,8 @@ def classes(
     linked = named.filter("root is not null").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
     best = linked.groupBy("root").agg(F.min("own").alias("least"))
     copies = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return alone.unionByName(linked.join(copies, ["root", "salt"]).select("fp", "least"))
+    # Sized by Spark as one copy: never broadcast.
+    return alone.unionByName(linked.join(copies.hint("merge"), ["root", "salt"]).select("fp", "least"))
 
 
 def near_duplicates(

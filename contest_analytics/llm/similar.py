@@ -177,8 +177,10 @@ def _roots(prints: DataFrame, keyed_docs: DataFrame, key: str, text_col: str, wo
             sets = [shingle_set(t, words).tobytes() for t in rows.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.binary())], ["fp", "found"])
 
-    wanted = prints.select("fp", key).join(cells.select("fp").distinct(), "fp").groupBy("fp").agg(F.min(key).alias(key))
-    texts = keyed_docs.select(key, F.col(text_col).cast("string").alias("_text")).join(wanted, key).dropDuplicates(["fp"])
+    # Spark sizes texts, and what is made of them, by their compressed files; merged, they are never broadcast.
+    named = cells.select("fp").distinct().hint("merge")
+    wanted = prints.select("fp", key).join(named, "fp").groupBy("fp").agg(F.min(key).alias(key))
+    texts = keyed_docs.select(key, F.col(text_col).cast("string").alias("_text")).join(wanted.hint("merge"), key).dropDuplicates(["fp"])
     sets = texts.select("fp", "_text").mapInArrow(whole, "fp long, found binary")
     big = keys.filter("blocks > 1")
     if large := not big.isEmpty():
@@ -246,4 +248,4 @@ def keep_one(
     roots = _roots(prints, keyed, key, text_col, words, similarity)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col(key).alias("key"))
     stay = classes(prints, order, lambda _: roots).select(F.col("least.key").alias(key)).distinct()
-    return keyed.join(stay, key).dropDuplicates([key]).select(*docs.columns)
+    return keyed.join(stay.hint("merge"), key).dropDuplicates([key]).select(*docs.columns)

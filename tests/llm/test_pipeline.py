@@ -8,7 +8,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from contest_analytics.llm import queries, similar
+from contest_analytics.llm import queries, simhash, similar
 
 
 def alike_groups(texts):
@@ -135,3 +135,36 @@ def test_fingerprints_name_candidates(spark, docs_of, monkeypatch):
     kept = pipeline.drop_near_duplicates(spark, docs_of([*enumerate(texts), (99, "")]), "")
     found = {r.doc_id for r in kept.collect()}
     assert len(near) > 10 and not found & near and found >= {*range(0, 40, 2), 99}
+
+
+def joins(frame):
+    """Rows of ``frame``, and how often its plan, as it ran in the end, broadcasts and merges."""
+    rows = frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().executedPlan().toString()
+    return rows, plan.count("BroadcastExchange"), plan.count("SortMergeJoin")
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    """Spark sizes the keys of a fingerprint, and the copies of a group's facts, as one row."""
+    rng = random.Random(7)
+    fps = [rng.getrandbits(63) for _ in range(40)]
+    fps += [fp ^ 1 << rng.randrange(60) for fp in fps[:15]]
+    prints = spark.createDataFrame([(0, fp) for fp in fps], "seed int, fp long")
+    rows, broadcasts, merges = joins(simhash.fingerprint_groups(prints.distinct()))
+    assert {r.fp for r in rows} == {*fps[:15], *fps[40:]} and (broadcasts, merges) == (0, 1)
+    numbered = spark.createDataFrame(list(enumerate(fps)), "doc_id long, fp long")
+    rows, broadcasts, merges = joins(simhash.classes(numbered, F.col("doc_id")))
+    want = {fp: n - 40 if n >= 40 else n for n, fp in enumerate(fps)}
+    assert {r.fp: r.least for r in rows} == want and (broadcasts, merges) == (0, 1)
+
+
+def test_texts_are_not_broadcast(spark, docs_of, monkeypatch, tmp_path):
+    """The compressed files say nothing of the size of texts."""
+    base = [f"w{n}" for n in range(60)]
+    rows = [(n, " ".join([*base, f"x{n % 3}"] * 50)) for n in range(30)] + [(99, "another text")]
+    docs_of(rows).coalesce(1).write.parquet(f"{tmp_path}/docs")
+    found, components = [], similar.connected_components
+    monkeypatch.setattr(similar, "connected_components", lambda links: found.append(joins(links)) or components(links))
+    kept, broadcasts, merges = joins(pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/docs"), ""))
+    assert sorted(r.doc_id for r in kept) == [0, 99] and (broadcasts, merges) == (0, 2)
+    assert len(found) == 1 and found[0][2] == 2
